@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+from probloom.plans import preparation  # noqa: E402, F401  (registers its queries)
