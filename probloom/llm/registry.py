@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probloom.llm import neighbours
-from probloom.runtime import table
+from probloom.llm import clusters, mixing, neighbours, overlap, packing, proportions, tokens
+from probloom.runtime import stored, table
+from probloom.schema import Feature, features_of, known, plain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +59,187 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest images, by the curves alone, of every image whose id is divisible by 20."""
     index = _image_index(spark, sf_dir)
     return neighbours.search(index, index.rows.select("id").where(F.col("id") % 20 == 0), 10).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+# --- overlaps across splits -------------------------------------------------
+
+#: Milligrams per decilitre of one mmol/L of glucose.
+MMOL = 18.016
+SOURCES = {"glass": "lab_code", "pima_indians_diabetes": "clinic_code"}
+
+
+def split_records(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[Feature]]:
+    """Records of a table with known values of its compared fields, glucose in mg/dL."""
+    spec = features_of(table(spark, sf_dir, "feature_domain"), name)
+    fields = [f for f in spec.values() if f.tolerance is not None]
+    df = table(spark, sf_dir, name)
+    value = {f.name: F.col(f.name) for f in fields}
+    if "glucose" in value:
+        value["glucose"] = F.col("glucose") * F.when(plain(F.col("glucose_unit")) == "mmol/l", F.lit(MMOL)).otherwise(F.lit(1.0))
+    at = F.unix_micros(F.col("measured_at").cast("timestamp")) / 1e6
+    return df.select("record_id", "split", F.col(SOURCES[name]).alias("source"), at.alias("at"), *[known(value[f.name], f).alias(f.name) for f in fields]), fields
+
+
+def _p3_sql() -> str:
+    parts = []
+    for name, fields in {
+        "glass": "ri na2o mgo al2o3 sio2 k2o cao bao fe203".split(),
+        "pima_indians_diabetes": "pregnant glucose bmi diabetes_pedigree age".split(),
+    }.items():
+        value = {f: f"t.{f}" for f in fields} | ({"glucose": "t.glucose * CASE WHEN lower(trim(t.glucose_unit)) = 'mmol/l' THEN 18.016 ELSE 1 END"} if "glucose" in fields else {})
+        pick = lambda f, c: f"(SELECT {c} FROM feature_domain WHERE table_name = '{name}' AND field_name = '{f}')"
+        known_ = ", ".join(f"CASE WHEN {value[f]} BETWEEN {pick(f, 'domain_lo')} AND {pick(f, 'domain_hi')} AND NOT isnan(({value[f]})::DOUBLE) THEN {value[f]} END AS {f}" for f in fields)
+        close = " AND ".join(f"coalesce(abs(a.{f} - b.{f}) <= {pick(f, 'overlap_tolerance')} * (1 + 1e-9), true)" for f in fields)
+        gone = " + ".join(f"(a.{f} IS NULL OR b.{f} IS NULL)::INT" for f in fields)
+        parts.append(f"""SELECT '{name}' AS table_name, least(a.record_id, b.record_id) AS record_a, greatest(a.record_id, b.record_id) AS record_b
+          FROM (SELECT DISTINCT record_id, lower(trim(split)) AS split, measured_at, {known_} FROM {name} t) a
+          JOIN (SELECT DISTINCT record_id, lower(trim(split)) AS split, measured_at, {known_} FROM {name} t) b
+          ON a.split = 'train' AND b.split IN ('valid', 'test') AND a.measured_at BETWEEN b.measured_at - INTERVAL 48 HOUR AND b.measured_at + INTERVAL 48 HOUR
+          AND {close} AND {gone} <= 1""")
+    return " UNION ALL ".join(parts)
+
+
+@query("p3_found", _p3_sql())
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for name in SOURCES:
+        records, fields = split_records(spark, sf_dir, name)
+        found.append(overlap.cross_split_pairs(records, fields).select(F.lit(name).alias("table_name"), "record_a", "record_b"))
+    return found[0].unionByName(found[1])
+
+
+@query("p3_report")
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps with the training split per evaluation split and lab or clinic."""
+    out = []
+    for name in SOURCES:
+        records, fields = split_records(spark, sf_dir, name)
+        pairs = stored(overlap.cross_split_pairs(records, fields), "overlaps")
+        out.append(overlap.overlap_report(records, pairs).select(F.lit(name).alias("table_name"), "*"))
+    return out[0].unionByName(out[1])
+
+
+# --- similarity clusters ----------------------------------------------------
+
+
+def glass_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Feature]]:
+    fields = [f for f in features_of(table(spark, sf_dir, "feature_domain"), "glass").values() if f.step is not None]
+    return table(spark, sf_dir, "glass").select("record_id", *[known(F.col(f.name), f).alias(f.name) for f in fields]), fields
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = clusters.similarity_clusters(*glass_points(spark, sf_dir)).select("record_id", "cluster_id")
+    pairs = table(spark, sf_dir, "glass_pairs").select("record_a", "record_b")
+    wanted = pairs.select(F.explode(F.array("record_a", "record_b")).alias("record_id")).distinct()
+    of = stored(members.join(wanted, "record_id"), "pair-members")
+    side = lambda c: of.select(F.col("record_id").alias(c), F.col("cluster_id").alias(f"in_{c}"))
+    return pairs.join(side("record_a"), "record_a").join(side("record_b"), "record_b").where("in_record_a = in_record_b").select("record_a", "record_b").distinct()
+
+
+@query("p4_clusters")
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and most typical specimens; strays are marked."""
+    points, fields = glass_points(spark, sf_dir)
+    return clusters.describe_clusters(stored(clusters.similarity_clusters(points, fields), "members"), fields)
+
+
+# --- samples of target proportions ------------------------------------------
+
+CATEGORY = {"glass": "glass_type", "pima_indians_diabetes": "class_code"}
+
+
+def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of both tables with their recorded category, NULL where outside its codes."""
+    parts = []
+    for name, c in CATEGORY.items():
+        spec = features_of(table(spark, sf_dir, "feature_domain"), name)[c]
+        parts.append(table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "record_id", "cohort_key", known(F.col(c), spec).cast("int").alias("category_code")))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "p2_found",
+    """
+    WITH r AS (
+      SELECT DISTINCT 'glass' AS table_name, record_id, cohort_key, glass_type AS c FROM glass
+      UNION ALL SELECT DISTINCT 'pima_indians_diabetes', record_id, cohort_key, class_code FROM pima_indians_diabetes),
+    n AS (SELECT table_name, cohort_key, c, count(*) AS available FROM r WHERE c IS NOT NULL GROUP BY ALL)
+    SELECT request_no, category_code FROM sample_requests q
+    LEFT JOIN n ON n.table_name = q.table_name AND n.cohort_key = q.cohort_key AND n.c = q.category_code
+    WHERE coalesce(available, 0) < greatest(min_rows, floor(target_share * sample_size + 0.5 + 1e-9))""",
+)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = proportions.plan_samples(table(spark, sf_dir, "sample_requests"), proportions.category_counts(categorised(spark, sf_dir)))
+    return plan.where("available < needed").select("request_no", "category_code")
+
+
+@query("p2_sample")
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn records of every request."""
+    return proportions.matched_sample(categorised(spark, sf_dir), table(spark, sf_dir, "sample_requests"))[1]
+
+
+@query("p2_report")
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, need, supply and allocation of every request and category."""
+    plan = proportions.plan_samples(table(spark, sf_dir, "sample_requests"), proportions.category_counts(categorised(spark, sf_dir)))
+    short = F.greatest(F.col("needed") - F.col("allocated"), F.lit(0)).alias("short")
+    return plan.select("request_no", "table_name", "cohort_key", "category_code", "sample_size", "target_share", "min_rows", "needed", "available", "allocated", short)
+
+
+# --- containers and mixes ---------------------------------------------------
+
+#: A character that isn't white space, for DuckDB.
+VISIBLE = r"[^\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SIZE_SQL = f"CASE WHEN regexp_matches(text, '{VISIBLE}') THEN octet_length(encode(text)) ELSE 0 END"
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "container_specs").select("spec_code", F.col("capacity_tokens").alias("capacity"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.sized_documents(table(spark, sf_dir, "documents")), _specs(spark, sf_dir))
+
+
+@query("p6_found", f"SELECT spec_code, doc_id FROM documents, container_specs WHERE {SIZE_SQL} > capacity_tokens")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).where("pieces > 1 AND piece = 0").select("spec_code", "doc_id")
+
+
+@query("p6_packed")
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or piece of one, per spec."""
+    return _packed(spark, sf_dir)
+
+
+@query("p6_report")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and their fill, per spec."""
+    return packing.pack_report(_packed(spark, sf_dir), _specs(spark, sf_dir))
+
+
+@query(
+    "p7_found",
+    f"""
+    WITH s AS (SELECT lower(trim(source)) AS source, sum({SIZE_SQL}) AS size FROM documents WHERE trim(source) <> '' GROUP BY ALL)
+    SELECT plan_no, p.source FROM mix_plans p LEFT JOIN s USING (source)
+    WHERE target_share * size_factor * (SELECT sum(size) FROM s) > max_repeats * coalesce(size, 0)""",
+)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotas = mixing.plan_quotas(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans"))
+    return quotas.where("short").select("plan_no", "source")
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed blocks of every plan as parts of documents."""
+    return mixing.mix(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans"))
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of every plan and source."""
+    items, plans = tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans")
+    return mixing.mix_report(items, plans, mixing.mix(items, plans))
