@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probloom.llm import clusters, mixing, neighbours, overlap, packing, proportions, tokens
+from probloom.llm import clusters, mixing, neighbours, overlap, packing, proportions, sentences, tokens
 from probloom.runtime import stored, table
 from probloom.schema import Feature, features_of, known, plain
 
@@ -243,3 +243,22 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of every plan and source."""
     items, plans = tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans")
     return mixing.mix_report(items, plans, mixing.mix(items, plans))
+
+
+# --- sentences --------------------------------------------------------------
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.sentence_units(documents, sentences.train(documents))
+
+
+@query("p8_lengths")
+def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units and characters in units per language as recorded."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    units = sentences.sentence_units(documents, sentences.train(documents))
+    per = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.col("sent_end") - F.col("sent_start")).alias("chars"))
+    lang = table(spark, sf_dir, "documents").select("doc_id", plain(F.col("lang")).alias("lang"))
+    return lang.join(per, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("units").alias("units"), F.round(F.sum("chars") / F.sum("units"), 3).alias("mean_chars"))
