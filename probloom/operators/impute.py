@@ -199,8 +199,10 @@ def fill_missing(
     num, cat = [f.name for f in numeric], [f.name for f in categorical]
     named = {f"__x{i}": known(values.get(f.name, F.col(f.name)), f) for i, f in enumerate(numeric)}
     named |= {f"__c{i}": F.expr("CASE " + " ".join(f"WHEN `{f.name}` = {float(c)} THEN {j}" for j, c in enumerate(f.codes)) + " END").cast("int") for i, f in enumerate(categorical)}
-    base = df.dropDuplicates([id_col]).withColumns({"__id": F.col(id_col), "__g": F.col(group_col).cast("string")} | named)
-    base = stored(base, "records")
+    # Columns go under names of our own, whatever they are called.
+    own = {c: f"__u{i}" for i, c in enumerate(df.columns)}
+    base = df.select(*[F.col(f"`{c}`").alias(u) for c, u in own.items()], F.col(id_col).alias("__id"), F.col(group_col).cast("string").alias("__g"), *[v.alias(k) for k, v in named.items()])
+    base = stored(base.dropDuplicates(["__id"]), "records")
     xs = [f"__x{i}" for i in range(len(num))]
     over = base.agg(*[F.avg(x).alias(f"{x}_m") for x in xs], *[F.stddev_pop(x).alias(f"{x}_s") for x in xs]).first()
     mean = [over[f"{x}_m"] if over[f"{x}_m"] is not None else (f.lo + f.hi) / 2 for x, f in zip(xs, numeric)]
@@ -257,8 +259,8 @@ def fill_missing(
         if c in targets:
             i = targets.index(c)
             lost = F.col(f"__x{num.index(c)}" if c in num else f"__c{cat.index(c)}").isNull()
-            out.append(F.when(lost, F.col(f"__f{i}").cast(dict(df.dtypes)[c])).otherwise(F.col(c)).alias(c))
+            out.append(F.when(lost, F.col(f"__f{i}").cast(dict(df.dtypes)[c])).otherwise(F.col(own[c])).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(F.col(own[c]).alias(c))
     marks = [F.col(f"__x{num.index(t)}" if t in num else f"__c{cat.index(t)}").isNull().alias(f"{t}_filled") for t in targets]
     return joined.select(*out, *marks)
