@@ -113,6 +113,7 @@ def _walk(name: str, request: int, code: int, n: int) -> tuple[int, int]:
     return step, (raw >> 64) % n
 
 
+RECORD = ("table_name", "cohort_key", "category_code", "record_id")
 PLAN = "request_no long, table_name string, cohort_key string, category_code int, sample_size int, target_share double, min_rows int, needed int, available long, allocated long, step long, start long"
 
 
@@ -127,8 +128,9 @@ def plan_samples(requests: DataFrame, counts: DataFrame) -> DataFrame:
     size, the greatest of them are cut, so that as many as can be are kept. ``needed`` - ``allocated`` is what a
     category is short of.
     """
-    # eqNullSafe isn't wanted here: a null cohort matches no record
-    got = requests.join(counts, ["table_name", "cohort_key", "category_code"], "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
+    on = ["table_name", "cohort_key", "category_code"]
+    requests = requests.select("request_no", *on, "sample_size", "target_share", "min_rows").where("category_code IS NOT NULL AND sample_size IS NOT NULL")
+    got = requests.join(counts.select(*on, "available"), on, "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
     leaf = F.struct("category_code", "target_share", "min_rows", "available")
     grouped = got.groupBy("request_no", "table_name", "cohort_key", "sample_size").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))  # as many as there are categories
 
@@ -152,13 +154,13 @@ def category_counts(records: DataFrame) -> DataFrame:
 
     Records without an id, cohort or category count for none.
     """
-    return records.dropna().distinct().groupBy("table_name", "cohort_key", "category_code").agg(F.count(F.lit(1)).alias("available"))
+    return records.select(*RECORD).dropna().distinct().groupBy("table_name", "cohort_key", "category_code").agg(F.count(F.lit(1)).alias("available"))
 
 
 def draw(records: DataFrame, plan: DataFrame) -> DataFrame:
     """(request_no, category_code, record_id) of the drawn records, none twice in a request."""
     group = ["table_name", "cohort_key", "category_code"]
-    ranked = salted_rank(records.dropna().distinct().select(*group, "record_id"), group, [F.col("record_id")], "place")
+    ranked = salted_rank(records.select(*RECORD).dropna().distinct(), group, [F.col("record_id")], "place")
     slots = plan.where("allocated > 0").select("request_no", *group, "available", "step", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("allocated") - 1)).alias("j"))
     slots = slots.select("request_no", *group, F.pmod(F.col("j") * F.col("step") + F.col("start"), F.col("available")).alias("place"))
     return slots.join(ranked, [*group, "place"]).select("request_no", "category_code", "record_id")
@@ -166,6 +168,6 @@ def draw(records: DataFrame, plan: DataFrame) -> DataFrame:
 
 def matched_sample(records: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The plan (also the report) and the sample."""
-    held = stored(records.dropna().distinct(), "categorised")
+    held = stored(records.select(*RECORD).dropna().distinct(), "categorised")
     plan = stored(plan_samples(requests, category_counts(held)), "sample-plan")
     return plan, draw(held, plan)
