@@ -45,10 +45,10 @@ class Mixture:
     tables: list[np.ndarray] = field(default_factory=list)
 
 
-def log_joint(m: Mixture, x: np.ndarray, cats: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_joint(m: Mixture, x: np.ndarray, cats: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per row and component: log density of the observed cells, and expectation of all numeric cells.
 
-    Also the conditional covariance summed by missing pattern: (pattern of each row, covariance of each pattern).
+    Also the pattern of missing cells of each row and the conditional covariances of each pattern.
     NaN marks a missing number, -1 a missing code.
     """
     n, d = x.shape
@@ -64,13 +64,13 @@ def log_joint(m: Mixture, x: np.ndarray, cats: np.ndarray, prior: np.ndarray | N
         o = np.nonzero(~gone[rows[0]])[0]
         u = np.nonzero(gone[rows[0]])[0]
         seen = x[np.ix_(rows, o)]
+        fill[np.ix_(rows, range(k), o)] = seen[:, None]
         for j in range(k):
             if len(o):
                 inv = np.linalg.inv(m.covs[j][np.ix_(o, o)])
                 _, logdet = np.linalg.slogdet(m.covs[j][np.ix_(o, o)])
                 off = seen - m.means[j, o]
                 ll[rows, j] -= 0.5 * ((off @ inv * off).sum(1) + logdet + len(o) * math.log(2 * math.pi))
-                fill[np.ix_(rows, [j], o)] = seen[:, None]
                 if len(u):
                     gain = m.covs[j][np.ix_(u, o)] @ inv
                     fill[np.ix_(rows, [j], u)] = (m.means[j, u] + off @ gain.T)[:, None]
@@ -80,7 +80,7 @@ def log_joint(m: Mixture, x: np.ndarray, cats: np.ndarray, prior: np.ndarray | N
     for c, table in enumerate(m.tables):
         seen = cats[:, c] >= 0
         ll[seen] += np.log(np.maximum(table[:, cats[seen, c]].T, 1e-300))
-    return ll, fill, covs[which] if n else np.zeros((0, k, d, d))
+    return ll, fill, which, covs
 
 
 def responsibilities(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +92,12 @@ def responsibilities(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def statistics(m: Mixture, x: np.ndarray, cats: np.ndarray) -> np.ndarray:
     """Sums of one batch: log-likelihood, rows, weights, first and second moments, code counts; flat."""
-    ll, fill, covs = log_joint(m, x, cats)
+    ll, fill, which, covs = log_joint(m, x, cats)
     r, logs = responsibilities(ll)
+    by_pattern = np.zeros((len(covs), r.shape[1]))
+    np.add.at(by_pattern, which, r)
     first = np.einsum("nk,nkd->kd", r, fill)
-    second = np.einsum("nkd,nke->kde", fill * r[:, :, None], fill) + np.einsum("nk,nkde->kde", r, covs)
+    second = np.stack([(fill[:, j] * r[:, j, None]).T @ fill[:, j] for j in range(r.shape[1])]) + np.einsum("pk,pkde->kde", by_pattern, covs)
     out = [np.array([logs.sum(), len(x)]), r.sum(0), first.ravel(), second.ravel()]
     for c, table in enumerate(m.tables):
         counts = np.zeros_like(table)
@@ -164,9 +166,8 @@ def fit(rows: DataFrame, numbers: list[str], kinds: list[str], codes: list[int],
         def reduce_(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    s = statistics(held.value, *_arrays(batch.slice(at, 4096), len(numbers), len(kinds)))
-                    total = s if total is None else total + s
+                s = statistics(held.value, *_arrays(batch, len(numbers), len(kinds)))
+                total = s if total is None else total + s
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
 
@@ -236,7 +237,7 @@ def fill_missing(
             at = len(zs) + len(cs)
             prior = np.stack([np.asarray(batch.column(at + j)) for j in range(k)], 1)
             centre = np.stack([np.asarray(batch.column(at + k + i)) for i in range(len(zs))], 1) if zs else np.zeros((batch.num_rows, 0))
-            ll, fill, _ = log_joint(m, x, c, prior / prior.sum(1, keepdims=True))
+            ll, fill, _, _ = log_joint(m, x, c, prior / prior.sum(1, keepdims=True))
             r, _ = responsibilities(ll)
             guess = np.einsum("nk,nkd->nd", r, fill) * np.array(scale) + centre
             out = [batch.column(batch.num_columns - 1)]
