@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probloom.runtime import stored
 from probloom.schema import Feature, plain
 
 #: A cell is so many tolerances wide: wider cells give fewer hashes and more comparisons.
@@ -46,7 +47,7 @@ def _hashed(rows: DataFrame, groups: list[list[Feature]], band: int, window_s: i
         cell = _cells(F.col(f.name), F.lit(slack), CELL * f.tolerance, probe) if f.tolerance else None
         out = out.withColumn(f"__c{i}", F.explode(cell) if cell is not None and probe else cell[0] if cell is not None else F.col(f.name))
         names.append(f"__c{i}")
-    return out.withColumn("__h", F.xxhash64(*names)).drop(*names)
+    return out.select(F.xxhash64(*names).alias("h"), F.col("record_id").alias("id"), "at")
 
 
 def cross_split_pairs(records: DataFrame, fields: list[Feature], window_hours: int = 48) -> DataFrame:
@@ -66,33 +67,32 @@ def cross_split_pairs(records: DataFrame, fields: list[Feature], window_hours: i
     lost = reduce(lambda a, b: a + b, [F.col(f.name).isNull().cast("int") for f in fields])
     rows = records.select("record_id", plain(F.col("split")).alias("split"), "source", F.col("at").cast("double").alias("at"), *[F.col(f.name).cast("double").alias(f.name) for f in fields])
     rows = rows.where(F.col("record_id").isNotNull() & F.col("at").isNotNull() & F.col("split").isin("train", "valid", "test") & (lost <= 1)).dropDuplicates(["record_id"])
+    rows = stored(rows, "split-records")
     train, other = rows.where(F.col("split") == "train"), rows.where(F.col("split") != "train")
-    parts = []
-    for band, used in enumerate(BANDS):
-        a = _hashed(train, groups, band, window_s, False).alias("a")
-        b = _hashed(other, groups, band, window_s, True).alias("b")
-        apart, same, missing, out = [], [], [], [[], [], []]
-        for g, members in enumerate(groups):
-            for f in members:
-                x, y = F.col(f"a.{f.name}"), F.col(f"b.{f.name}")
-                apart.append(F.coalesce(F.abs(x - y) <= F.lit((f.tolerance or 0) * (1 + 1e-9)), F.lit(True)))
-                same.append(x.eqNullSafe(y))
-                gone = (x.isNull() | y.isNull()).cast("int")
-                missing.append(gone)
-                out[g].append(gone)
-        total = reduce(lambda p, q: p + q, missing)
-        on = (F.col("a.__h") == F.col("b.__h")) & (F.abs(F.col("a.at") - F.col("b.at")) <= window_s) & (total <= 1)
-        if band:  # only pairs that the first band can't see: a field of the group left out here is missing
-            left_out = ({0, 1, 2} - set(used)).pop()
-            on = on & (reduce(lambda p, q: p + q, out[left_out], F.lit(0)) == 1)
-        on = reduce(lambda p, q: p & q, apart, on)
-        exact = reduce(lambda p, q: p & q, same)
-        parts.append(
-            a.join(b, on).select(
-                F.least("a.record_id", "b.record_id").alias("record_a"), F.greatest("a.record_id", "b.record_id").alias("record_b"), F.col("b.record_id").alias("record_id"), F.col("b.split").alias("split"), F.col("b.source").alias("source"), exact.alias("exact")
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    # Hashes travel with the id and time alone; the few records that meet are fetched for comparison.
+    met = []
+    for band in range(len(BANDS)):
+        a, b = _hashed(train, groups, band, window_s, False).alias("a"), _hashed(other, groups, band, window_s, True).alias("b")
+        on = (F.col("a.h") == F.col("b.h")) & (F.abs(F.col("a.at") - F.col("b.at")) <= window_s)
+        met.append(a.join(b, on).select(F.lit(band).alias("band"), F.col("a.id").alias("x"), F.col("b.id").alias("y")))
+    met = stored(reduce(DataFrame.unionByName, met), "met")
+    pairs = met.join(train.alias("a"), F.col("x") == F.col("a.record_id")).join(other.alias("b"), F.col("y") == F.col("b.record_id"))
+    apart, same, missing, out = [], [], [], [[], [], []]
+    for g, members in enumerate(groups):
+        for f in members:
+            x, y = F.col(f"a.{f.name}"), F.col(f"b.{f.name}")
+            apart.append(F.coalesce(F.abs(x - y) <= F.lit((f.tolerance or 0) * (1 + 1e-9)), F.lit(True)))
+            same.append(x.eqNullSafe(y))
+            gone = (x.isNull() | y.isNull()).cast("int")
+            missing.append(gone)
+            out[g].append(gone)
+    count = lambda xs: reduce(lambda p, q: p + q, xs, F.lit(0))
+    # The band that answers: the first, unless a field of the group that another band leaves out is missing.
+    own = F.when(count(out[0]) == 1, F.lit(1)).when(count(out[1]) == 1, F.lit(2)).otherwise(F.lit(0))
+    close = reduce(lambda p, q: p & q, apart, (count(missing) <= 1) & (F.col("band") == own))
+    return pairs.where(close).select(
+        F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"), F.col("y").alias("record_id"), F.col("b.split").alias("split"), F.col("b.source").alias("source"), reduce(lambda p, q: p & q, same).alias("exact")
+    )
 
 
 def overlap_report(records: DataFrame, pairs: DataFrame) -> DataFrame:
