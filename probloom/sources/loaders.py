@@ -49,7 +49,7 @@ def tokenised(spark: SparkSession, path: str, sep: str = ",", header: bool = Fal
     if header:
         first = lines.agg(F.min("line_no").alias("m"))
         lines = lines.join(F.broadcast(first), F.col("line_no") > F.col("m")).drop("m")  # one row
-    return lines.select("line_no", F.transform(F.split(F.regexp_replace("value", r"\.\s*$", ""), re.escape(sep)), F.trim).alias("tokens"))
+    return lines.select("line_no", F.transform(F.split(F.regexp_replace("value", r"\.\s*$", ""), re.escape(sep)), lambda x: F.trim(x)).alias("tokens"))
 
 
 def without_missing(spark: SparkSession, path: str, mark: str = "?") -> DataFrame:
@@ -121,7 +121,7 @@ def traffic(spark: SparkSession, path: str, columns: Sequence[str], time: str) -
 def sparse_counts(spark: SparkSession, path: str) -> DataFrame:
     """(doc, word, count) of lines ``id,word,count,word,count,..``; kept long."""
     parts = F.split("value", ",")
-    pairs = F.transform(F.sequence(F.lit(0), (F.size(parts) - 3) / 2), lambda i: F.struct(F.get(parts, (i * 2 + 1).cast("int")).alias("word"), F.get(parts, (i * 2 + 2).cast("int")).cast("long").alias("count")))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 3) / 2).cast("int")), lambda i: F.struct(F.get(parts, (i * 2 + 1).cast("int")).alias("word"), F.get(parts, (i * 2 + 2).cast("int")).cast("long").alias("count")))
     return spark.read.text(path).where(F.size(parts) >= 3).select(F.get(parts, F.lit(0)).alias("doc"), F.explode(pairs).alias("p")).select("doc", "p.word", "p.count")
 
 
