@@ -47,7 +47,9 @@ def _hashed(rows: DataFrame, groups: list[list[Feature]], band: int, window_s: i
         cell = _cells(F.col(f.name), F.lit(slack), CELL * f.tolerance, probe) if f.tolerance else None
         out = out.withColumn(f"__c{i}", F.explode(cell) if cell is not None and probe else cell[0] if cell is not None else F.col(f.name))
         names.append(f"__c{i}")
-    return out.select(F.xxhash64(*names).alias("h"), F.col("record_id").alias("id"), "at")
+    rest = [f for g in {0, 1, 2} - set(BANDS[band]) for f in groups[g]]
+    spoilt = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in rest], F.lit(False))
+    return out.select(F.xxhash64(*names).alias("h"), F.col("record_id").alias("id"), "at", spoilt.alias("spoilt"))
 
 
 def cross_split_pairs(records: DataFrame, fields: list[Feature], window_hours: int = 48) -> DataFrame:
@@ -74,7 +76,9 @@ def cross_split_pairs(records: DataFrame, fields: list[Feature], window_hours: i
     for band in range(len(BANDS)):
         a, b = _hashed(train, groups, band, window_s, False).alias("a"), _hashed(other, groups, band, window_s, True).alias("b")
         on = (F.col("a.h") == F.col("b.h")) & (F.abs(F.col("a.at") - F.col("b.at")) <= window_s)
-        met.append(a.join(b, on).select(F.lit(band).alias("band"), F.col("a.id").alias("x"), F.col("b.id").alias("y")))
+        # Bands after the first are for pairs of which one misses a field of the group left out: few records on one side.
+        sides = [(a, b)] if not band else [(a.where("spoilt"), b), (a.where("NOT spoilt"), b.where("spoilt"))]
+        met += [p.join(q, on).select(F.lit(band).alias("band"), F.col("a.id").alias("x"), F.col("b.id").alias("y")) for p, q in sides]
     met = stored(reduce(DataFrame.unionByName, met), "met")
     pairs = met.join(train.alias("a"), F.col("x") == F.col("a.record_id")).join(other.alias("b"), F.col("y") == F.col("b.record_id"))
     apart, same, missing, out = [], [], [], [[], [], []]
