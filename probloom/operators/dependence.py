@@ -1,7 +1,7 @@
 """Dependence between columns: randomised dependence coefficient, distance correlation, adjusted mutual information, parameter stability.
 
-Functions on arrays work on a bounded sample of a slice; the randomised
-dependence coefficient has a distributed form that sums its moments over all rows.
+Functions on arrays work on small matrices; the randomised dependence
+coefficient and the stability test have distributed forms over all rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probloom.operators.metrics import adjusted_mutual_information
+from probloom.operators.ordered import running_sums
 
 #: Random features of a column, scale of their weights, quantiles that stand for a column's distribution.
 FEATURES, SCALE, QUANTILES = 10, 1 / 6, 256
@@ -164,6 +165,48 @@ def stability_pvalues(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def stability_over_rows(df: DataFrame, groups: dict[int, Sequence[str]], key: Sequence[str], group: dict[str, str] | None = None) -> dict[int, np.ndarray]:
+    """``stability_pvalues`` over all rows of several groups: their columns by number; ties are in the order of ``key``, which is total.
+
+    ``group``: per column the name of the column that holds the number of the
+    row's group; without it all rows are one group. Needs no NULLs.
+    """
+    columns = sorted({c for cs in groups.values() for c in cs})
+    owner = {c: F.col(group[c]).cast("long") if group else F.lit(next(iter(groups))).cast("long") for c in columns}
+    first = {no: cs[0] for no, cs in groups.items()}
+    mine = {no: owner[c] == no for no, c in first.items()}
+    sums = df.agg(*[x for no, cs in groups.items() for x in (F.count_if(mine[no]).alias(f"n{no}"), *[F.avg(F.when(mine[no], F.col(c))).alias(f"m{no}_{c}") for c in cs])]).first()
+    squares = df.agg(*[F.sum(F.when(mine[no], (F.col(c) - (sums[f"m{no}_{c}"] or 0.0)) ** 2)).alias(f"q{no}_{c}") for no, cs in groups.items() for c in cs]).first()
+    out, open_ = {}, {}
+    for no, cs in groups.items():
+        n = sums[f"n{no}"]
+        low = int(max(math.ceil(0.1 * n), 10))
+        out[no] = np.ones((len(cs), len(cs))) if low < n - low or not n else np.zeros((len(cs), len(cs)))
+        if low < n - low:
+            open_[no] = (n, low)
+    if not open_:
+        return out
+    most = max(len(groups[no]) for no in open_)
+    scaled = lambda no, c: (F.col(c) - sums[f"m{no}_{c}"]) / math.sqrt(squares[f"q{no}_{c}"]) if squares[f"q{no}_{c}"] > 0 else F.lit(0.0)
+    # A row for each open group and each column that orders it: the residuals of all columns of the group.
+    lines = [
+        F.when(mine[no], F.struct(F.lit(no).cast("long").alias("__no"), F.lit(j).alias("__j"), F.col(c).cast("double").alias("__z"), *[(scaled(no, groups[no][i]) if i < len(groups[no]) else F.lit(0.0)).alias(f"__r{i}") for i in range(most)]))
+        for no in open_ for j, c in enumerate(groups[no])
+    ]
+    rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.explode(F.array(*lines)).alias("__l")).where("__l IS NOT NULL").select("__l.*", *[f"__k{i}" for i in range(len(key))])
+    rows = rows.withColumn("__one", F.lit(1).cast("long"))
+    path = running_sums(rows, ["__z", *[f"__k{i}" for i in range(len(key))]], {"__at": "__one"} | {f"__p{i}": f"__r{i}" for i in range(most)}, ["__no", "__j"])
+    bounds = F.broadcast(df.sparkSession.createDataFrame([(no, *v) for no, v in open_.items()], "__no long, __n long, __low long"))  # a row per group
+    t = F.col("__at") / F.col("__n")
+    path = path.join(bounds, "__no").where("__at >= __low AND __at <= __n - __low")
+    for r in path.groupBy("__no", "__j").agg(*[F.max(F.col(f"__p{i}") ** 2 / (t * (1 - t))).alias(f"__s{i}") for i in range(most)]).collect():
+        no, j, d = r["__no"], r["__j"], len(groups[r["__no"]])
+        for i, c in enumerate(groups[no]):
+            if i != j and squares[f"q{no}_{c}"] > 0:
+                out[no][i, j] = min(1.0, (d - 1) * sup_lm_pvalue(float(r[f"__s{i}"])))
+    return out
+
+
 def blockwise_pvalues(x: np.ndarray, block: int = 50) -> np.ndarray:
     """Median p-value over overlapping blocks of columns, for wide tables."""
     d = x.shape[1]

@@ -10,9 +10,25 @@ from probloom.runtime import stored
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with the number of their range; equal first keys share a range."""
+    """Rows with the number of their range; equal keys share a range."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(parts, order[0]).withColumn("__part", F.spark_partition_id()), "ranged")
+    return stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def running_sums(df: DataFrame, order: list[str], values: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Running sums ``values`` (out: column) in ``order`` (total within a group), of whole groups of any size.
+
+    Rows are range-partitioned by group and order; each range of a group is
+    summed on its own and shifted by the sums of its ranges before.
+    """
+    by = by or []
+    rows = _ranged(df, [*by, *order])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "__part").agg(*[F.sum(v).alias(f"__s_{o}") for o, v in values.items()])
+    sums = sums.select(*by, "__part", *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in values])  # a row per group and range
+    inner = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__in_{o}": F.sum(v).over(inner) for o, v in values.items()}).join(F.broadcast(sums), [*by, "__part"])
+    return rows.select(*df.columns, *[(F.col(f"__in_{o}") + F.col(f"__b_{o}")).alias(o) for o in values])
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from probloom.model.nodes import Product, Sum
 from probloom.operators import dependence, folds
 from probloom.plans.catalog import query
 from probloom.plans.tables import _glass, user_counts
-from probloom.runtime import table
+from probloom.runtime import stored, table
 from probloom.schema import features_of, known
 from probloom.streaming import scoring
 
@@ -314,12 +314,10 @@ def dependency_networks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stability_pvalues")
 def stability_pvalues(spark: SparkSession, d: str) -> DataFrame:
-    """Stability of the mean count of events of one kind along the others, on at most 2000 users of smallest hash."""
-    import numpy as np
-
+    """Stability of the mean count of events of one kind along the others, over all users."""
     cols = ["click", "view", "purchase"]
-    x = user_counts(spark, d).orderBy(F.xxhash64("user_id")).limit(2000).select(*cols).toPandas().to_numpy(float)
-    p = dependence.stability_pvalues(x) if len(x) else np.ones((3, 3))
+    x = stored(user_counts(spark, d).withColumn("h", F.xxhash64("user_id")), "user-counts")
+    p = dependence.stability_over_rows(x, {0: cols}, ["h", "user_id"])[0]
     return spark.createDataFrame([(a, b, round(float(p[i, j]), 8)) for i, a in enumerate(cols) for j, b in enumerate(cols) if i != j], "a string, b string, p double")
 
 
