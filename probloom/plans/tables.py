@@ -365,10 +365,10 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topics")
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    """Most telling words of five topics."""
+    """Most telling words of five topics; every document enters every round."""
     docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", S.words(F.col("text")).alias("words"))
     words = CountVectorizer(inputCol="words", outputCol="features", minDF=2, maxDF=0.95, vocabSize=200).fit(docs)
-    model = LDA(k=5, maxIter=8, seed=11, optimizer="online").fit(words.transform(docs).select("features"))
+    model = LDA(k=5, maxIter=8, seed=11, optimizer="online", subsamplingRate=1.0).fit(words.transform(docs).select("features"))
     names = F.array(*[F.lit(w) for w in words.vocabulary])
     return model.describeTopics(8).select("topic", F.transform("termIndices", lambda i: F.get(names, i)).alias("words"))
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from probloom.operators import dependence as D
-from probloom.plans import models
+from probloom.plans import models, tables
 
 
 def test_stability_takes_all_rows(spark, monkeypatch):
@@ -33,3 +33,18 @@ def test_stability_of_groups_and_of_few_rows(spark):
     assert np.allclose(got[1], D.stability_pvalues(x[300:]))
     assert (D.stability_over_rows(df.limit(15), {0: ["a", "b"]}, ["id"])[0] == 0).all()
     assert (D.stability_over_rows(df.limit(0), {0: ["a", "b"]}, ["id"])[0] == 1).all()
+
+
+def test_topics_use_every_document(spark, monkeypatch):
+    seen = []
+
+    class Watched(tables.LDA):
+        def fit(self, dataset, params=None):
+            seen.append(self.getMaxIter() * self.getSubsamplingRate() if self.getOptimizer() == "online" else 1)
+            assert self.getOptimizer() != "online" or self.getSubsamplingRate() == 1.0
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(tables, "LDA", Watched)
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 5} w{i % 3}") for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(tables, "table", lambda s, d, n: docs)
+    assert tables.topics(spark, "").count() == 5 and seen == [8.0]
