@@ -8,8 +8,9 @@ clusters. Each row carries, per column, the slice that owns that cell, so siblin
 slices over different columns cluster their rows independently.
 
 What reaches the driver is bounded by the number of slices: moments, at most
-``SAMPLE`` rows of each slice (for starts of clusterings, random choices and the
-tests that need rows), and leaf histograms of at most ``FINE_BINS`` cells.
+``SAMPLE`` rows of each slice (for starts of clusterings, random choices,
+distance correlation, medoids and density), ``QUANTILES`` quantiles a column,
+contingency tables and leaf histograms of at most ``FINE_BINS`` cells.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ from probloom.operators import dependence as D
 from probloom.operators.distances import gower_matrix, medoids
 from probloom.operators.graphs import above, significant
 from probloom.operators.histograms import FINE_BINS, domain_edges, leaf_of
+from probloom.operators.metrics import adjusted_mutual_information
 from probloom.runtime import stored
 
 #: Rows of a slice that may reach the driver, most values of a discrete column, rounds of k-means.
 SAMPLE, MOST_VALUES, LLOYD = 2000, 2000, 5
+#: Quantiles that stand for the distribution of a column in a slice of more than SAMPLE rows, most cells of a modal histogram.
+QUANTILES, MODAL_CELLS = 2048, 4096
 
 Assign = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -106,26 +110,92 @@ def _sums(data: DataFrame, d: int, parts: dict[int, Callable[[np.ndarray, np.nda
     return out
 
 
+def _numbered(base: DataFrame, own: list[str]) -> DataFrame:
+    """The rows with a hash ``h`` of their values and their number among equal rows, so that equal rows are drawn one by one.
+
+    Equal rows are counted and written out again by number, in pieces, so many equal rows are never in one task.
+    """
+    piece = 4096
+    rows = base.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).select(*own, "__n", F.explode(F.expr(f"sequence(0, (__n - 1) div {piece})")).alias("__p"))
+    rows = rows.repartition(*own, "__p").select(*own, F.explode(F.expr(f"sequence(__p * {piece}, least(__n, (__p + 1) * {piece}) - 1)")).alias("__i"))
+    return rows.select(*own, *[F.lit(0).cast("long").alias(f"s{x[1:]}") for x in own], F.xxhash64(*own, "__i").alias("h"))
+
+
 def _samples(data: DataFrame, d: int, slices: list[Slice]) -> None:
-    """A bounded sample of each slice, by hash of the row."""
-    share = {s.no: min(1.0, SAMPLE / max(s.rows, 1)) for s in slices}
+    """The ``SAMPLE`` rows of smallest hash of each slice."""
+    share = {s.no: min(1.0, (SAMPLE + 6 * math.sqrt(SAMPLE)) / max(s.rows, 1)) for s in slices}
     first = {s.no: s.features[0] for s in slices}
 
+    def uniform(h: np.ndarray) -> np.ndarray:
+        return (h.astype(np.uint64) % np.uint64(1 << 30)).astype(float) / (1 << 30)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, s, h = _owner(b, d)
-            u = (h.astype(np.uint64) % np.uint64(1 << 30)).astype(float) / (1 << 30)
+            u = uniform(h)
             for no in share:
                 mine = (s[:, first[no]] == no) & (u < share[no])
                 if mine.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), no, np.int64)), pa.array(h[mine]), pa.FixedSizeListArray.from_arrays(pa.array(x[mine].ravel()), d).cast(pa.list_(pa.float64()))], ["no", "h", "x"])
 
     got = data.mapInArrow(run, "no long, h long, x array<double>").toPandas()
+    got["u"] = uniform(got["h"].to_numpy())
     for s in slices:
-        g = got[got["no"] == s.no].sort_values("h")["x"]
+        g = got[got["no"] == s.no].sort_values(["u", "h"])["x"].head(SAMPLE)
         s.sample = np.array(g.tolist()).reshape(-1, d)
 
 
+def _quantiles(data: DataFrame, slices: list[Slice], of: dict[int, list[int]] | None = None) -> dict[int, dict[int, tuple[np.ndarray, float, float]]]:
+    """Per slice and feature the sorted values, or ``QUANTILES`` quantiles of all rows where the slice has more than its sample; the least, the greatest."""
+    of = of or {s.no: s.features for s in slices}
+    out: dict[int, dict[int, tuple[np.ndarray, float, float]]] = {}
+    for s in slices:
+        if s.rows <= SAMPLE:
+            out[s.no] = {f: (v, v[0], v[-1]) for f in of[s.no] for v in [np.sort(s.sample[:, f])]}
+    big = [s for s in slices if s.no not in out]
+    if big:
+        cells = [F.when(F.col(f"s{f}") == s.no, F.struct(F.col(f"s{f}").alias("no"), F.lit(f).alias("f"), F.col(f"x{f}").alias("v"))) for s in big for f in of[s.no]]
+        at = [(i + 1) / QUANTILES for i in range(QUANTILES)]
+        rows = data.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").select("c.*")
+        for r in rows.groupBy("no", "f").agg(F.percentile_approx("v", at, 20_000).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            out.setdefault(r["no"], {})[r["f"]] = (np.array(r["q"]), r["lo"], r["hi"])
+    return out
+
+
+def _contingency(data: DataFrame, d: int, slices: list[Slice], codes: dict[int, dict[int, Callable[[np.ndarray], np.ndarray]]]) -> dict[tuple[int, int, int], np.ndarray]:
+    """Per slice and pair of its features the table of counts over all rows, without empty rows and columns."""
+    owner = {s.no: (s.features[0], s.features) for s in slices}
+    wide = 1 << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            x, s, _ = _owner(b, d)
+            for no, (first, fs) in owner.items():
+                mine = s[:, first] == no
+                if not mine.any():
+                    continue
+                c = {f: codes[no][f](x[mine, f]).astype(np.int64) for f in fs}
+                for i, f in enumerate(fs):
+                    for g in fs[i + 1 :]:
+                        k, n = np.unique(c[f] * wide + c[g], return_counts=True)
+                        if (no, f, g) in total:
+                            old = total[no, f, g]
+                            k, where = np.unique(np.concatenate([old[0], k]), return_inverse=True)
+                            n = np.bincount(where, np.concatenate([old[1], n])).astype(np.int64)
+                        total[no, f, g] = (k, n)
+        for (no, f, g), (k, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), v, np.int64)) for v in (no, f, g)] + [pa.array(k), pa.array(n.astype(np.int64))], ["no", "f", "g", "k", "n"])
+
+    got = data.mapInArrow(run, "no long, f long, g long, k long, n long").groupBy("no", "f", "g", "k").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for key, t in got.groupby(["no", "f", "g"]):
+        a, b = (np.unique(v, return_inverse=True)[1] for v in (t["k"].to_numpy() // wide, t["k"].to_numpy() % wide))
+        out[key] = np.zeros((a.max() + 1, b.max() + 1))
+        out[key][a, b] = t["n"]
+    return out
+
+
 def _operation(s: Slice, root: bool, c: Settings) -> str:
     """What to do with a slice; the first rule that holds."""
     families = c.families if isinstance(c.families, tuple) else (c.families,)
@@ -149,12 +219,12 @@ def _operation(s: Slice, root: bool, c: Settings) -> str:
 # --- column splits -----------------------------------------------------------
 
 
-def _column_groups(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str], c: Settings) -> dict[int, list[int]]:
-    """Component of each feature of each slice."""
+def _column_groups(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str], limits: Sequence[float], c: Settings) -> dict[int, list[int]]:
+    """Component of each feature of each slice. ``limits``: the least value of every column."""
     if c.columns == "none":
         return {s.no: [1] * len(s.features) for s in slices}
     if c.columns == "rdc":
-        grids = {s.no: {f: np.sort(s.sample[:, f]) for f in s.features} for s in slices}
+        grids = {no: {f: q[0] for f, q in v.items()} for no, v in _quantiles(data, slices).items()}
         k = D.FEATURES
 
         def moments(no: int, features: list[int]) -> Callable:
@@ -170,20 +240,49 @@ def _column_groups(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence
             v, m = got[s.no], len(s.features) * k
             out[s.no] = above(D.rdc_from_moments(v[0], v[1 : m + 1], v[m + 1 :].reshape(m, m), len(s.features), k), c.threshold)
         return out
+    if c.columns == "distance":  # pairs of rows, hence the sample
+        return {s.no: above(D.distance_matrix(s.sample[:, s.features]), c.threshold) for s in slices}
+    if c.columns == "ami":
+        codes: dict[int, dict[int, Callable]] = {}
+        grids = _quantiles(data, slices, {s.no: [f for f in s.features if kinds[f] == "continuous"] for s in slices})
+        for s in slices:
+            codes[s.no] = {}
+            for f in s.features:
+                low = float(limits[f])
+                codes[s.no][f] = lambda x, low=low: x - low
+                if kinds[f] == "continuous":
+                    q, lo, hi = grids[s.no][f]
+                    edges = np.linspace(lo, hi, _cells(q, lo, hi, s.rows, 64) + 1)[1:-1]
+                    codes[s.no][f] = lambda x, edges=edges: np.digitize(x, edges)
+        tables = _contingency(data, d, slices, codes)
+        out = {}
+        for s in slices:
+            m = np.eye(len(s.features))
+            for i, f in enumerate(s.features):
+                for j in range(i + 1, len(s.features)):
+                    m[i, j] = m[j, i] = adjusted_mutual_information(tables[s.no, f, s.features[j]])
+            out[s.no] = above(m, c.threshold)
+        return out
+    blocks = {s.no: D.overlapping_blocks(len(s.features)) if c.columns == "blockwise" else [list(range(len(s.features)))] for s in slices}
+    own = {f"x{f}": f"s{f}" for f in range(d)}
+    found: dict[int, list[np.ndarray]] = {s.no: [] for s in slices}
+    for b in range(max(map(len, blocks.values()))):
+        part = {s.no: [f"x{s.features[i]}" for i in blocks[s.no][b]] for s in slices if b < len(blocks[s.no])}
+        for no, p in D.stability_over_rows(data, part, ["h", *[f"x{f}" for f in range(d)]], own).items():
+            found[no].append(p)
     out = {}
     for s in slices:
-        x = s.sample[:, s.features]
-        if c.columns == "distance":
-            out[s.no] = above(D.distance_matrix(x), c.threshold)
-        elif c.columns == "ami":
-            out[s.no] = above(D.ami_matrix(x, [kinds[f] for f in s.features]), c.threshold)
-        else:
-            p = D.blockwise_pvalues(x) if c.columns == "blockwise" else D.stability_pvalues(x)
-            low = np.minimum(p, p.T)
-            out[s.no] = significant(low, c.alpha)
+        p = D.blockwise_median(len(s.features), blocks[s.no], found[s.no])
+        out[s.no] = significant(np.minimum(p, p.T), c.alpha)
     return out
 
 
+def _cells(q: np.ndarray, lo: float, hi: float, n: float, most: int) -> int:
+    """Freedman-Diaconis cells of a column of ``n`` rows from its quantiles."""
+    iqr = np.subtract(*np.percentile(q, [75, 25]))
+    return max(1, min(most, math.ceil((hi - lo) / (2 * iqr / n ** (1 / 3))))) if iqr > 0 else 1
+
+
 # --- row splits ---------------------------------------------------------------
 
 
@@ -193,10 +292,9 @@ def _scale(s: Slice, kinds: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (total / n)[s.features], np.where(sd > 0, sd, 1)[s.features]
 
 
-def _encoder(s: Slice, kinds: Sequence[str], rdc: bool) -> Callable[[np.ndarray], np.ndarray]:
+def _encoder(s: Slice, kinds: Sequence[str], grids: dict[int, np.ndarray] | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """Coordinates for clustering: z-scores and indicators of categories, or dependence features."""
-    if rdc:
-        grids = {f: np.sort(s.sample[:, f]) for f in s.features}
+    if grids is not None:
         return lambda x: np.hstack([D.nonlinear(x[:, f], grids[f], 42 + f) for f in s.features])
     mean, sd = _scale(s, kinds)
     values = {f: np.unique(s.sample[:, f])[:50] for f in s.features if kinds[f] == "categorical"}
@@ -237,15 +335,36 @@ def dbscan(z: np.ndarray, eps: float, least: int) -> np.ndarray:
     return label
 
 
+def _valleys(data: DataFrame, d: int, slices: list[Slice], rngs: dict[int, np.random.Generator]) -> dict[int, tuple[int, float]]:
+    """A random feature of each slice and the middle of a random valley of its histogram over all rows, else a random value."""
+    chosen = {s.no: int(rngs[s.no].choice(s.features)) for s in slices}
+    grids, edges = _quantiles(data, slices, {no: [f] for no, f in chosen.items()}), {}
+    for s in slices:
+        q, lo, hi = grids[s.no][chosen[s.no]]
+        cells = _cells(q, lo, hi, s.rows, MODAL_CELLS) if len(np.unique(q)) > 20 else 10
+        edges[s.no] = np.linspace(lo, hi if hi > lo else lo + 1, cells + 1)
+    got = _sums(data, d, {no: (lambda x, _, f=f, e=edges[no]: np.histogram(x[:, f], e)[0].astype(float)) for no, f in chosen.items()}, {s.no: s.features[0] for s in slices})
+    out = {}
+    for s in slices:
+        n, e, rng = got[s.no], edges[s.no], rngs[s.no]
+        low = [i for i in range(1, len(n) - 1) if n[i] < n[i - 1] and n[i] < n[i + 1]]
+        v = float((e[low] + e[np.array(low) + 1])[int(rng.integers(len(low)))] / 2) if low else float(rng.choice(s.sample[:, chosen[s.no]]))
+        out[s.no] = (chosen[s.no], v)
+    return out
+
+
 def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str], c: Settings) -> dict[int, Assign]:
     """For each slice a function from its rows (and their hashes) to clusters."""
     out: dict[int, Assign] = {}
     lloyd: dict[int, tuple[Callable, np.ndarray]] = {}
+    rngs = {s.no: np.random.default_rng([c.seed, s.no]) for s in slices}
+    grids = _quantiles(data, slices) if c.rows == "rdc_kmeans" else {}
+    valley = _valleys(data, d, slices, rngs) if c.rows == "modal" else {}
     for s in slices:
-        rng = np.random.default_rng([c.seed, s.no])
+        rng = rngs[s.no]
         x, fs = s.sample, s.features
         if c.rows in ("kmeans", "rdc_kmeans"):
-            enc = _encoder(s, kinds, c.rows == "rdc_kmeans")
+            enc = _encoder(s, kinds, {f: q[0] for f, q in grids[s.no].items()} if c.rows == "rdc_kmeans" else None)
             lloyd[s.no] = (enc, _start_centres(enc(x), c.clusters, rng))
         elif c.rows == "random":
             out[s.no] = lambda x, h: (h >> 7) & 1
@@ -258,10 +377,7 @@ def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str
             v = float(rng.choice(x[:, f]))
             out[s.no] = (lambda x, h, f=f, v=v: (x[:, f] <= v).astype(int)) if kinds[f] == "continuous" else (lambda x, h, f=f, v=v: (x[:, f] == v).astype(int))
         elif c.rows == "modal":
-            f = int(rng.choice(fs))
-            counts, edges = np.histogram(x[:, f], bins="fd" if len(np.unique(x[:, f])) > 20 else 10)
-            low = [i for i in range(1, len(counts) - 1) if counts[i] < counts[i - 1] and counts[i] < counts[i + 1]]
-            v = float((edges[low] + edges[np.array(low) + 1])[int(rng.integers(len(low)))] / 2) if low else float(rng.choice(x[:, f]))
+            f, v = valley[s.no]
             out[s.no] = lambda x, h, f=f, v=v: (x[:, f] <= v).astype(int)
         elif c.rows == "gower":
             some = x[:600][:, fs]
@@ -269,7 +385,7 @@ def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str
             centre = some[medoids(gower_matrix(some, some, kind, span), c.clusters)]
             out[s.no] = lambda x, h, fs=fs, centre=centre, kind=kind, span=span: gower_matrix(x[:, fs], centre, kind, span).argmin(1)
         elif c.rows == "dbscan":
-            enc = _encoder(s, kinds, False)
+            enc = _encoder(s, kinds)
             z = enc(x[:1000])
             label = dbscan(z, 0.3 * math.sqrt(z.shape[1]), 10)
             out[s.no] = lambda x, h, enc=enc, z=z, label=label: (lambda q: np.concatenate([label[((q[i : i + 512, None] - z[None]) ** 2).sum(2).argmin(1)] for i in range(0, len(q), 512)]) + 1)(enc(x))
@@ -404,10 +520,11 @@ def learn(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], settings:
     base = df.select(*[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)])
     base = base.where(" AND ".join(f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(d)) or "false")
     own = [f"x{i}" for i in range(d)]
-    # Equal rows share a hash; the partition and place would not be repeatable, so a coin for them comes from their number.
-    data = stored(base.select(*own, *[F.lit(0).cast("long").alias(f"s{i}") for i in range(d)], F.xxhash64(*own).alias("h")), "slices")
+    if not d:
+        raise ValueError("nothing to learn from")
+    data = stored(_numbered(base, own), "slices")
     limits = data.agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"{x}_lo") for x in own], *[F.max(x).alias(f"{x}_hi") for x in own]).first()
-    if not d or not limits["n"]:
+    if not limits["n"]:
         raise ValueError("nothing to learn from")
     domains = []
     for i, x in enumerate(own):
@@ -446,7 +563,7 @@ def learn(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], settings:
             split[s.no] = [*[[f] for f in flat], [f for f in s.features if f not in flat]]
         pending: list[Slice] = []
         if todo.get("columns"):
-            for no, labels in _column_groups(data, d, todo["columns"], kinds, c).items():
+            for no, labels in _column_groups(data, d, todo["columns"], kinds, [float(v[0]) for v in domains], c).items():
                 s = next(x for x in todo["columns"] if x.no == no)
                 if len(set(labels)) < 2:
                     s.no_independencies = True

@@ -207,13 +207,19 @@ def stability_over_rows(df: DataFrame, groups: dict[int, Sequence[str]], key: Se
     return out
 
 
+def overlapping_blocks(d: int, block: int = 50) -> list[list[int]]:
+    return [list(range(a, min(a + block, d))) for a in range(0, d, max(block // 2, 1))]
+
+
 def blockwise_pvalues(x: np.ndarray, block: int = 50) -> np.ndarray:
     """Median p-value over overlapping blocks of columns, for wide tables."""
-    d = x.shape[1]
+    blocks = overlapping_blocks(x.shape[1], block)
+    return blockwise_median(x.shape[1], blocks, [stability_pvalues(x[:, cols]) for cols in blocks])
+
+
+def blockwise_median(d: int, blocks: Sequence[Sequence[int]], values: Sequence[np.ndarray]) -> np.ndarray:
     found: dict[tuple[int, int], list[float]] = {}
-    for a in range(0, d, max(block // 2, 1)):
-        cols = list(range(a, min(a + block, d)))
-        p = stability_pvalues(x[:, cols])
+    for cols, p in zip(blocks, values):
         for u, i in enumerate(cols):
             for v, j in enumerate(cols):
                 if i != j:

@@ -97,6 +97,16 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return agg.withColumn("nmi", F.when(F.col("entropy_a") * F.col("entropy_b") > 0, F.col("mi") / F.sqrt(F.col("entropy_a") * F.col("entropy_b"))).otherwise(S.lit(0)))
 
 
+_LOG_FACTORIALS = np.array([math.lgamma(i + 1) for i in range(256)])
+
+
+def _log_factorial(v: int | np.ndarray) -> np.ndarray:
+    """Logarithm of v!, from a table or Stirling's series."""
+    v = np.asarray(v, float)
+    w = np.maximum(v, 1.0)
+    return np.where(v < 256, _LOG_FACTORIALS[np.minimum(v, 255).astype(int)], w * np.log(w) - w + 0.5 * np.log(2 * math.pi * w) + 1 / (12 * w) - 1 / (360 * w**3))
+
+
 def adjusted_mutual_information(table: np.ndarray) -> float:
     """Mutual information of a contingency table, corrected for chance (arithmetic mean of entropies)."""
     n = table.sum()
@@ -104,13 +114,14 @@ def adjusted_mutual_information(table: np.ndarray) -> float:
     with np.errstate(divide="ignore", invalid="ignore"):
         mi = np.nansum(np.where(table > 0, table / n * np.log(n * table / np.outer(a, b)), 0))
     entropy = lambda v: -sum(x / n * math.log(x / n) for x in v if x > 0)
-    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n) + 2)))])
-    expected = 0.0
+    m, expected = int(n), 0.0
     for x in map(int, a):
         for y in map(int, b):
-            k = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
+            # Overlaps farther than 40 deviations from the mean have no weight in double precision.
+            mean, wide = x * y / n, 40 * math.sqrt(x * y * (n - x) * (n - y) / (n * n * max(n - 1, 1))) + 40
+            k = np.arange(max(1, x + y - m, math.floor(mean - wide)), min(x, y, math.ceil(mean + wide)) + 1)
             if len(k):
-                p = np.exp(lf[x] + lf[y] + lf[int(n) - x] + lf[int(n) - y] - lf[int(n)] - lf[k] - lf[x - k] - lf[y - k] - lf[int(n) - x - y + k])
+                p = np.exp(sum(_log_factorial(v) for v in (x, y, m - x, m - y)) - sum(_log_factorial(v) for v in (m, k, x - k, y - k, m - x - y + k)))
                 expected += float((k / n * np.log(n * k / (x * y)) * p).sum())
     ha, hb = entropy(a), entropy(b)
     if ha == 0 and hb == 0:

@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from probloom.model import learn as L
 from probloom.operators import dependence as D
 from probloom.plans import models, tables
+from probloom.runtime import stored
 
 
 def test_stability_takes_all_rows(spark, monkeypatch):
@@ -48,3 +50,53 @@ def test_topics_use_every_document(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 5} w{i % 3}") for i in range(40)], "doc_id long, text string")
     monkeypatch.setattr(tables, "table", lambda s, d, n: docs)
     assert tables.topics(spark, "").count() == 5 and seen == [8.0]
+
+
+def _level(spark, x, most):
+    """A table of the learner with one slice of all rows."""
+    d = x.shape[1]
+    base = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"x{i} double" for i in range(d)))
+    data = stored(L._numbered(base, [f"x{i}" for i in range(d)]), "slices")
+    s = L.Slice(0, list(range(d)), rows=float(len(x)))
+    L._samples(data, d, [s])
+    assert data.count() == len(x) and len(s.sample) == min(most, len(x))
+    return data, s
+
+
+def test_samples_take_equal_rows_by_their_share_and_no_more_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 300)
+    x = np.stack([np.where(np.arange(6000) % 3 == 0, 7.0, np.arange(6000)), np.where(np.arange(6000) % 3 == 0, 1.0, np.arange(6000) % 11)], 1)
+    _, s = _level(spark, x, 300)
+    assert 0.22 < (s.sample[:, 0] == 7).mean() < 0.45
+
+
+def test_column_splits_count_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 200)
+    rng = np.random.default_rng(3)
+    n = 4000
+    a, e = rng.poisson(4, n), rng.normal(size=n)
+    x = np.stack([a, rng.poisson(1 + a / 12), e, e + rng.normal(size=n)], 1).astype(float)
+    kinds = ["discrete", "discrete", "continuous", "continuous"]
+    data, s = _level(spark, x, 200)
+    seen = []
+    monkeypatch.setattr(L, "above", lambda m, t: seen.append(m) or [1] * len(m))
+    monkeypatch.setattr(L, "significant", lambda m, t: seen.append(m) or [1] * len(m))
+    for columns in ("ami", "rdc", "stability", "blockwise"):
+        L._column_groups(data, 4, [s], kinds, list(x.min(0)), L.Settings(columns=columns))
+    ami, rdc, stable, block = seen
+    assert np.abs(ami - D.ami_matrix(x, kinds)).max() < 0.01
+    assert np.abs(rdc - D.rdc_matrix(x)).max() < 0.02
+    rows = np.array([list(r)[:4] for r in data.orderBy("h").select("x0", "x1", "x2", "x3").collect()])
+    p = D.stability_pvalues(rows)
+    assert np.allclose(stable, np.minimum(p, p.T)) and np.allclose(block, stable)
+
+
+def test_modal_split_lies_in_the_valley_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 50)
+    x = np.concatenate([np.full(3000, 0.0) + np.arange(3000) % 30, np.full(3000, 60.0) + np.arange(3000) % 30, [45.0] * 3])[:, None]
+    data, s = _level(spark, x, 50)
+    seen = []
+    own = L._sums
+    monkeypatch.setattr(L, "_sums", lambda *a: seen.append(own(*a)) or seen[-1])
+    L._valleys(data, 1, [s], {0: np.random.default_rng(1)})
+    assert seen[0][0].sum() == 6003
