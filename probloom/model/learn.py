@@ -502,7 +502,9 @@ def _fit_leaves(data: DataFrame, d: int, found: list[Slice], kinds: Sequence[str
             pad = int(domains[f].min())  # the value is the position
             out[s.no] = Categorical(f, (0.0,) * max(pad, 0) + tuple(map(float, probs)))
         elif family == "kde":
-            out[s.no] = KernelDensity(f, tuple(map(float, s.sample[:200, f])), 0.2, 1 / max(float(np.ptp(domains[f])), 1e-9), c.prior_weight)
+            full = np.nonzero(v[3:])[0]  # cells with rows: their middles, or the whole numbers, weighted by all rows
+            at = (edges[f][full] + edges[f][full + 1]) / 2 if kinds[f] == "continuous" else domains[f].min() + full
+            out[s.no] = KernelDensity(f, tuple(map(float, at)), 0.2, 1 / max(float(np.ptp(domains[f])), 1e-9), c.prior_weight, tuple(map(float, v[3:][full] / n)))
         else:
             out[s.no] = leaf_of(f, family, kinds[f], v[3:], edges[f], float(domains[f][0]), float(domains[f][-1]), c.smoothing, c.prior_weight, var)
     return out

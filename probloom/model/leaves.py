@@ -236,22 +236,26 @@ class Isotonic(Piecewise):
 
 @dataclass(frozen=True)
 class KernelDensity(Leaf):
-    """Gaussian kernels on the leaf's points, mixed with a flat prior."""
+    """Gaussian kernels on the leaf's points, mixed with a flat prior. ``shares``: of the rows at each point; none where all are equal."""
 
     data: tuple[float, ...] = (0.0,)
     bandwidth: float = 0.2
     prior: float = 0.0
     weight: float = 0.0
+    shares: tuple[float, ...] = ()
+
+    def _shares(self) -> tuple[float, ...]:
+        return self.shares or (1 / len(self.data),) * len(self.data)
 
     def column(self, x: Column) -> Column:
-        pts = F.array(*[S.lit(v) for v in self.data])
+        pts = F.array(*[F.struct(S.lit(v).alias("v"), S.lit(w).alias("w")) for v, w in zip(self.data, self._shares())])
         h = self.bandwidth
-        total = F.aggregate(pts, S.lit(0), lambda a, p: a + F.exp(-(x - p) * (x - p) / (2 * h * h)))
-        return S.safe_log(S.lit(self.weight * self.prior) + S.lit((1 - self.weight) / (len(self.data) * h * math.sqrt(2 * math.pi))) * total)
+        total = F.aggregate(pts, S.lit(0), lambda a, p: a + p["w"] * F.exp(-(x - p["v"]) * (x - p["v"]) / (2 * h * h)))
+        return S.safe_log(S.lit(self.weight * self.prior) + S.lit((1 - self.weight) / (h * math.sqrt(2 * math.pi))) * total)
 
     def numpy(self, x: np.ndarray) -> np.ndarray:
         d = np.array(self.data)
-        k = np.exp(-((np.asarray(x)[:, None] - d[None]) ** 2) / (2 * self.bandwidth**2)).mean(1) / (self.bandwidth * math.sqrt(2 * math.pi))
+        k = np.exp(-((np.asarray(x)[:, None] - d[None]) ** 2) / (2 * self.bandwidth**2)) @ np.array(self._shares()) / (self.bandwidth * math.sqrt(2 * math.pi))
         p = self.weight * self.prior + (1 - self.weight) * k
         return np.where(p > 0, np.log(np.maximum(p, 1e-300)), LOG_ZERO)
 
@@ -262,10 +266,10 @@ class KernelDensity(Leaf):
         return float(d[scores.argmax()]), float(scores.max())
 
     def sample(self, rng: np.random.Generator, n: int) -> np.ndarray:
-        return rng.choice(self.data, n) + rng.normal(0, self.bandwidth, n)
+        return rng.choice(self.data, n, p=self.shares or None) + rng.normal(0, self.bandwidth, n)
 
     def mean(self) -> float:
-        return float(np.mean(self.data))
+        return float(np.dot(self.data, self._shares()))
 
 
 @dataclass(frozen=True)

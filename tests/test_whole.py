@@ -100,3 +100,15 @@ def test_modal_split_lies_in_the_valley_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "_sums", lambda *a: seen.append(own(*a)) or seen[-1])
     L._valleys(data, 1, [s], {0: np.random.default_rng(1)})
     assert seen[0][0].sum() == 6003
+
+
+def test_kernel_leaf_weighs_every_row(spark):
+    x = np.concatenate([np.full(2000, 1.0), np.full(1000, 5.0), np.linspace(8, 10, 1000)])
+    leaf = L.learn(spark.createDataFrame([(float(v),) for v in x], "a double"), ["a"], ["continuous"], L.Settings(families="kde"))
+    assert abs(sum(leaf.shares) - 1) < 1e-9 and abs(leaf.mean() - x.mean()) < 0.03
+    at = np.array([1.0, 5.0, 9.0])
+    kernel = np.exp(-((at[:, None] - x[None]) ** 2) / (2 * 0.2**2)).mean(1) / (0.2 * np.sqrt(2 * np.pi))
+    want = np.log(0.01 / 9 + 0.99 * kernel)
+    assert np.abs(leaf.numpy(at) - want).max() < 0.05
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in at], "a double").select(leaf.column(F.col("a"))).collect()]
+    assert np.allclose(got, leaf.numpy(at))
