@@ -99,8 +99,8 @@ def mix(items: DataFrame, plans: DataFrame, block: int = BLOCK) -> DataFrame:
     for plan, own in sorted(by_plan.items()):
         own = sorted(own, key=lambda r: r["source"])
         slots = [slots_of(r["quota"], r["source_tokens"], block) for r in own]
-        n = sum(slots) // SHARD_SLOTS
-        draws[plan] = ([r["source"] for r in own], np.array(slots, float) / max(sum(slots), 1))
+        n = math.ceil(sum(slots) / SHARD_SLOTS)
+        draws[plan] = ([r["source"] for r in own], np.array(slots, float) / max(sum(slots), 1), sum(slots))
         shards.append((plan, n))
         for r, s in zip(own, slots):
             blocks, full = math.ceil(r["source_tokens"] / block), r["source_tokens"] // block
@@ -112,8 +112,8 @@ def mix(items: DataFrame, plans: DataFrame, block: int = BLOCK) -> DataFrame:
         for frame in frames:
             out = []
             for plan, shard in zip(frame["plan_no"], frame["shard"]):
-                names, p = draws[plan]
-                counts = np.random.default_rng([17, int(plan), int(shard)]).multinomial(SHARD_SLOTS, p)
+                names, p, total = draws[plan]
+                counts = np.random.default_rng([17, int(plan), int(shard)]).multinomial(min(SHARD_SLOTS, total - int(shard) * SHARD_SLOTS), p)  # the last shard is shorter
                 out += [(plan, shard, s, int(c)) for s, c in zip(names, counts) if c]
             yield pd.DataFrame(out, columns=["plan_no", "shard", "source", "n"])
 

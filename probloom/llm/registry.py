@@ -228,8 +228,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE target_share * size_factor * (SELECT sum(size) FROM s) > max_repeats * coalesce(size, 0)""",
 )
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotas = mixing.plan_quotas(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans"))
-    return quotas.where("short").select("plan_no", "source")
+    return p7_report(spark, sf_dir).where("short AND used_tokens = most_tokens").select("plan_no", "source")  # all that may be used is placed, and it isn't enough
 
 
 @query("p7_mix")

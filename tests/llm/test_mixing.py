@@ -46,3 +46,16 @@ def test_slots():
 def test_empty(spark):
     assert run(spark, [], [(1, "a", 1.0, 1, 1.0)])[2].count() == 0
     assert run(spark, [(1, "a", 5)], [])[2].count() == 0
+
+
+def test_found_runs_the_mix_and_small_plans_draw(spark, monkeypatch):
+    from probloom.llm import registry
+
+    items = [(i, "a", 50) for i in range(40)] + [(100 + i, "b", 30) for i in range(20)]
+    a, b, mixed = run(spark, items, [(1, "a", 0.5, 1, 1.0), (1, "b", 0.5, 2, 1.0)])
+    assert {r["shard"] for r in mixed.select("shard").collect()} == {0, 1}  # a draw, and what it left open
+    calls, own = [], X.mix
+    monkeypatch.setattr(X, "mix", lambda *x: calls.append(1) or own(*x))
+    monkeypatch.setattr(registry, "table", lambda s, d, n: a if n == "documents" else b)
+    monkeypatch.setattr(registry.tokens, "sized_documents", lambda d: d)
+    assert [tuple(r) for r in registry.p7_found(spark, "").collect()] == [(1, "b")] and calls == [1]
