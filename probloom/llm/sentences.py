@@ -9,9 +9,11 @@ ends with an end mark is a candidate as a whole.
 Full stops are ambiguous (abbreviations, initials, ordinals, numbers). They are
 classified by a maximum-entropy model over the neighbouring tokens, case,
 length, digits and script. Its counts (how often a token ends a block, how often
-a token begins one) are taken over all documents; the weights are fitted on at
-most ``TRAIN_ROWS`` reliable cases: block ends are boundaries, stops before a
-small letter, digit or comma and after tokens that never end a block are none.
+a token begins one) are taken over all tokens of all documents and kept in
+``BUCKETS`` hashed cells a side, so the model has one size whatever the
+vocabulary; the weights are fitted on at most ``TRAIN_ROWS`` reliable cases:
+block ends are boundaries, stops before a small letter, digit or comma and after
+tokens that never end a block are none.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probloom.runtime import stored
-
-#: Reliable cases the weights are fitted on, and tokens the model keeps counts of (the most frequent).
-TRAIN_ROWS, MODEL_TOKENS = 40_000, 20_000
+#: Reliable cases the weights are fitted on, hashed cells of counts a side.
+TRAIN_ROWS, BUCKETS = 40_000, 1 << 20
 
 STOPS = "。！？।॥؟!?‼⁇⁈⁉｡"
 #: The Greek question mark is written as a semicolon or U+037E.
@@ -42,7 +42,9 @@ PAIRS = {"„": "“”", "“": "”", "‟": "”", "«": "»", "‹": "›",
 QUOTES, PAIR_MARKS = set('„“‟«‹「『《"＂'), re.compile("[„“”‟«»‹›「」『』《》()（）\\[\\]【】\"＂]")
 CLOSERS = "”»›」』》)）]】\"'’"
 NOTE = re.compile(r"\s*\[\d{1,4}\](?!\w)")
-BEFORE, SPACE = re.compile(r"[^\s„“”«»「」『』（）()\[\]\"，。、：；]*$"), re.compile(r"\s*")
+SPACE = re.compile(r"\s*")
+#: Characters that no token before a stop holds.
+TOKEN_BREAKS = frozenset('„“”«»「」『』（）()[]"，。、：；' + "".join(c for c in map(chr, range(0x3001)) if c.isspace()))
 AFTER = re.compile(r"[^\s.,;:!?…。，、：；！？()（）“”«»「」\"„]*")
 LATIN_END = re.compile(r"[\x00-\u024f]*$")
 OTHER_WORD = re.compile(r"[A-Za-z0-9_.,]+\s*([^\W\d_])")
@@ -88,63 +90,104 @@ def _script(c: str) -> str:
 
 
 def spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Outermost paired quotations and brackets within start..end; marks without a partner are ignored."""
+    """Outermost paired quotations and brackets within start..end, in one pass; marks without a partner are ignored.
+
+    A mark closes the innermost open one where it can. Else it opens, where a
+    partner follows; else it closes the nearest open mark that fits, and marks
+    opened since have no partner. Pairs found inside such marks stay.
+    """
     marks = [(m.start(), m.group()) for m in PAIR_MARKS.finditer(text, start, end)]
+    if not marks:
+        return []
     last = {c: at for at, c in marks}
-    out, i, tries = [], 0, 0
-    while i < len(marks):
-        stack: list[tuple[str, int]] = []
-        for j in range(i, len(marks)):
-            at, c = marks[j]
-            if stack and c in PAIRS[stack[-1][0]]:
-                open_, k = stack.pop()
-                if not stack:
-                    out.append((marks[k][0], at))
-                    i = j + 1
-                    break
-            elif c in PAIRS and any(last.get(x, -1) > at for x in PAIRS[c]):
-                stack.append((c, j))
+    stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # closing mark: heights in the stack of the marks that it closes
+    found: list[tuple[int, int]] = []
+    for at, c in marks:
+        if stack and c in PAIRS[stack[-1][0]]:
+            height = len(stack) - 1
+        elif c in PAIRS and any(last.get(x, -1) > at for x in PAIRS[c]):
+            for x in PAIRS[c]:
+                waiting.setdefault(x, []).append(len(stack))
+            stack.append((c, at))
+            continue
+        elif waiting.get(c):
+            height = waiting[c][-1]
         else:
-            if not stack:
-                break
-            i, tries = stack[0][1] + 1, tries + 1  # the outermost mark has no partner
-            if tries > 40:
-                break
-    return out
+            continue
+        begin = stack[height][1]
+        while len(stack) > height:
+            for x in PAIRS[stack.pop()[0]]:
+                waiting[x].pop()
+        while found and found[-1][0] > begin:  # inside this one
+            found.pop()
+        found.append((begin, at))
+    return found
+
+
+def bucket(token: str) -> int:
+    """The cell of a token's counts."""
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+
+
+#: Entries after which a worker's table of worked-out scores begins anew; it holds no data of its own.
+CACHED = 200_000
 
 
 @dataclass
 class Model:
-    """Counts of tokens before a stop (seen, at a block's end) and after one (seen, at a block's start), and the weights."""
+    """Counts of tokens before a stop (seen, at a block's end) and after one (seen, at a block's start) by cell, and the weights."""
 
-    before: dict[str, tuple[int, int]] = field(default_factory=dict)
-    after: dict[str, tuple[int, int]] = field(default_factory=dict)
+    before: tuple[np.ndarray, np.ndarray] | None = None  # cells in ascending order, their counts
+    after: tuple[np.ndarray, np.ndarray] | None = None
     before_rate: float = 0.15
     after_rate: float = 0.15
     weights: np.ndarray | None = None
-    _named: dict[str, float] | None = None
+    known: dict = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def named_weights(self) -> dict[str, float]:
-        if self._named is None:
-            self._named = dict(zip(FEATURES, map(float, self.weights)))
-        return self._named
+        return FEATURES if self.weights is None else dict(zip(FEATURES, map(float, self.weights)))
+
+    def _counts(self, side: tuple[np.ndarray, np.ndarray] | None, token: str) -> tuple[int, int]:
+        if side is None:
+            return 0, 0
+        cell = bucket(token)
+        at = int(side[0].searchsorted(cell))
+        if at == len(side[0]) or side[0][at] != cell:
+            return 0, 0
+        n, hits = side[1][at]
+        return int(n), int(hits)
 
     def end_odds(self, token: str) -> float:
-        n, ends = self.before.get(token, (0, 0))
+        n, ends = self._counts(self.before, token)
         return max(-4.0, min(2.0, math.log((ends + 1) / (n * self.before_rate + 1))))
 
     def start_odds(self, token: str) -> float:
-        n, starts = self.after.get(token, (0, 0))
+        n, starts = self._counts(self.after, token)
         return max(-4.0, min(2.0, math.log((starts + 1) / (n * self.after_rate + 1))))
 
     def begins(self, token: str) -> bool:
         """Whether a token is known to begin blocks, not much less than others do."""
-        return self.after.get(token, (0, 0))[1] > 0 and self.start_odds(token) > -2.5
+        return self._counts(self.after, token)[1] > 0 and self.start_odds(token) > -2.5
 
     def never_ends(self, token: str) -> bool:
-        n, ends = self.before.get(token, (0, 0))
+        n, ends = self._counts(self.before, token)
         return ends == 0 and n * self.before_rate >= 8
 
+    def score(self, side: Callable, *x: str) -> float:
+        """Weighted sum of the features of one side of a stop, worked out once a token."""
+        got = self.known.get(x)
+        if got is None:
+            w = self.known.setdefault("weights", None) or self.named_weights()
+            if len(self.known) > CACHED:
+                self.known.clear()
+            self.known["weights"] = w
+            got = self.known[x] = sum(w[name] * value for name, value in side(self, *x))
+        return got
+
 
 #: Names of the features and the prior mean of their weights.
 FEATURES = {
@@ -157,8 +200,9 @@ AT = {k: i for i, k in enumerate(FEATURES)}
 
 def before_token(text: str, start: int, at: int) -> tuple[str, str]:
     """The token before a stop at ``at`` as written, and its key: a number goes with the word before it."""
-    low = max(start, at - 40)
-    i = BEFORE.search(text, low, at).start()
+    i = at
+    while i > start and text[i - 1] not in TOKEN_BREAKS:
+        i -= 1
     token = text[i:at]
     if token and token[-1].isascii() and not token.isascii():  # a Latin word or number right after another script
         token = LATIN_END.search(token).group() or token
@@ -166,13 +210,13 @@ def before_token(text: str, start: int, at: int) -> tuple[str, str]:
     key = _digits(token)
     if not key.strip("9.,"):
         j = i
-        while j > low and text[j - 1].isspace():
+        while j > start and text[j - 1].isspace():
             j -= 1
         k = j
-        while k > low and not text[k - 1].isspace():
+        while k > start and not text[k - 1].isspace():
             k -= 1
-        key = f"{_digits(text[k:j])[-12:]} {key}"
-    return token, key[-24:]
+        key = f"{_digits(text[k:j])} {key}"
+    return token, key
 
 
 def after_token(text: str, at: int, end: int) -> tuple[str, str]:
@@ -180,24 +224,13 @@ def after_token(text: str, at: int, end: int) -> tuple[str, str]:
     i = SPACE.match(text, at, end).end()
     if i >= end:
         return "", ""
-    j = AFTER.match(text, i, min(end, i + 24)).end()
+    j = AFTER.match(text, i, end).end()
     return text[i], _digits(text[i : max(j, i + 1)])
 
 
-def active(model: Model, token: str, key: str, char: str, following: str, joined: bool) -> list[tuple[str, float]]:
-    """The features of a stop that aren't 0."""
-    out = [("bias", 1.0), ("end_odds", model.end_odds(key)), ("start_odds", max(model.start_odds(following), -1.0))]  # many words begin sentences but seldom blocks
-    kind = "next_other"
-    if char.isdigit():
-        kind = "next_digit"
-    elif char in QUOTES or (char and char in "¿¡"):
-        kind = "next_open"
-    elif char and char in "([（":
-        kind = "next_bracket"
-    elif char.isalpha():
-        # A small letter speaks against a boundary, less so where the token is known to begin blocks (a variable's name).
-        kind = ("next_small" if model.begins(following) else "next_lower") if char.islower() else "next_upper" if char.isupper() or char.istitle() else "next_caseless"
-    out.append((kind, 1.0))
+def left_features(model: Model, token: str, key: str) -> list[tuple[str, float]]:
+    """The features of what stands before a stop that aren't 0."""
+    out = [("bias", 1.0), ("end_odds", model.end_odds(key))]
     if len(token) == 1 and token.isalpha():
         out.append(("initial", 1.0))
     if token.lower() in LISTED:
@@ -212,35 +245,51 @@ def active(model: Model, token: str, key: str, char: str, following: str, joined
         out.append(("short", 1.0))
     if token[:1].isupper():
         out.append(("capital", 1.0))
-    if joined:
-        out.append(("joined", 1.0))
     script = _script(token[-1]) if token else "other"
     if script in AT:
         out.append((script, 1.0))
     return out
 
 
-def features(model: Model, *stop: object) -> np.ndarray:
+def right_features(model: Model, char: str, following: str, joined: str) -> list[tuple[str, float]]:
+    """The features of what stands after a stop; ``joined`` isn't empty where no space does."""
+    out = [("start_odds", max(model.start_odds(following), -1.0))]  # many words begin sentences but seldom blocks
+    kind = "next_other"
+    if char.isdigit():
+        kind = "next_digit"
+    elif char in QUOTES or (char and char in "¿¡"):
+        kind = "next_open"
+    elif char and char in "([（":
+        kind = "next_bracket"
+    elif char.isalpha():
+        # A small letter speaks against a boundary, less so where the token is known to begin blocks (a variable's name).
+        kind = ("next_small" if model.begins(following) else "next_lower") if char.islower() else "next_upper" if char.isupper() or char.istitle() else "next_caseless"
+    out.append((kind, 1.0))
+    if joined:
+        out.append(("joined", 1.0))
+    return out
+
+
+def features(model: Model, token: str, key: str, char: str, following: str, joined: bool) -> np.ndarray:
     x = np.zeros(len(AT))
-    for name, value in active(model, *stop):
+    for name, value in left_features(model, token, key) + right_features(model, char, following, "j" if joined else ""):
         x[AT[name]] = value
     return x
 
 
-def is_boundary(model: Model, *stop: object) -> bool:
-    """The model's decision; stop: token, key, next character, next token, joined."""
-    w = FEATURES if model.weights is None else model.named_weights()
-    return sum(w[name] * value for name, value in active(model, *stop)) > 0
+def is_boundary(model: Model, token: str, key: str, char: str, following: str, joined: bool) -> bool:
+    """The model's decision on a stop."""
+    return model.score(left_features, token, key) + model.score(right_features, char, following, "j" if joined else "") > 0
 
 
 def _stop_divides(model: Model, text: str, start: int, at: int, rest: int, end: int, char: str, following: str) -> bool:
     """Whether the full stop at ``at`` ends a sentence; ``rest`` is where the text goes on, with ``char`` and ``following``."""
     joined = not text[rest].isspace()
+    # Without a space only a capital, an opening mark or a change to a script without case can begin a sentence.
+    if joined and not (char.isupper() or char in QUOTES or char in "¿¡" or (char.isalpha() and not char.islower() and _script(char) != "latin")):
+        return False
     token, key = before_token(text, start, at)
     if joined:
-        # Without a space only a capital, an opening mark or a change to a script without case can begin a sentence.
-        if not (char.isupper() or char in QUOTES or char in "¿¡" or (char.isalpha() and not char.islower() and _script(char) != "latin")):
-            return False
         if len(token) < 2 or (char.isupper() and not (text[rest + 1 : rest + 2].islower() or text[rest + 1 : rest + 2] in " \u00a0'\u2019")):
             return False
     if (char.isdigit() or (char.islower() and char.isascii())) and token and token.lower() not in LISTED and not model.never_ends(key):
@@ -277,15 +326,16 @@ def _divides(model: Model, text: str, start: int, block: tuple[int, int], mark:
         if char.islower():
             return model.begins(following) or here == "cjk"
         return True
+    if marks == ".":
+        return _stop_divides(model, text, start, mark[0], rest, end, char, following)
     if any(c in STOPS for c in marks):
         return not (joined and char.isalnum() and char.isascii() and not char.isupper() and marks[-1] in "!?")
     if marks[0] in SEMICOLONS:
         return any(_script(c) == "greek" for c in text[start : mark[0]] if c.isalpha()) and (not joined)
-    if len(marks) > 1 or marks == "…":  # an ellipsis
-        if _script(text[mark[0] - 1]) == "cjk" or char.islower() or char.isdigit():
-            return False
-        return not joined or char.isupper()
-    return _stop_divides(model, text, start, mark[0], rest, end, char, following)
+    # an ellipsis
+    if _script(text[mark[0] - 1]) == "cjk" or char.islower() or char.isdigit():
+        return False
+    return not joined or char.isupper()
 
 
 def _close(text: str, at: int, end: int) -> int:
@@ -298,12 +348,14 @@ def divide(model: Model, text: str, start: int, end: int) -> Iterator[tuple[int,
     """Units of a running block."""
     pairs = spans(text, start, end)
     p, unit, done = 0, start, start
+    notes = text.find("[", start, end) >= 0
     while unit < end and text[unit].isspace():
         unit += 1
     for m in ENDS.finditer(text, start, end):
         a, b = m.span()
         if a < done:
             continue
+        space = text[a].isspace()  # Thai
         while p < len(pairs) and pairs[p][1] < a:
             p += 1
         quoted, at_start, rest = "", False, b
@@ -313,20 +365,21 @@ def divide(model: Model, text: str, start: int, end: int) -> Iterator[tuple[int,
                 continue
             quoted, rest = text[open_], close + 1
             at_start = open_ == unit
-        elif not m.group().isspace():
+        elif not space:
             rest = b
-            while rest < end and text[rest] in CLOSERS and not any(x[0] == rest for x in pairs[p : p + 1]):
+            while rest < end and text[rest] in CLOSERS and (p >= len(pairs) or pairs[p][0] != rest):
                 rest += 1
-        nxt = ENDS.match(text, rest, end)
-        if quoted and nxt and not nxt.group().isspace():
-            done = rest  # the mark after the quotation decides
-            continue
-        note = NOTE.match(text, rest, end)
-        while note and not m.group().isspace():
+        if quoted:
+            nxt = ENDS.match(text, rest, end)
+            if nxt and not nxt.group().isspace():
+                done = rest  # the mark after the quotation decides
+                continue
+        note = NOTE.match(text, rest, end) if notes else None
+        while note and not space:
             rest = note.end()
             note = NOTE.match(text, rest, end)
         if _divides(model, text, unit, (start, end), (a, b), rest, quoted, at_start):
-            stop = a if m.group().isspace() else rest
+            stop = a if space else rest
             if stop > unit:
                 yield unit, stop
             unit = done = max(rest, b)
@@ -382,19 +435,31 @@ def blocks(text: str, ended: bool = True, model: Model | None = None) -> Iterato
         yield run, last, False
 
 
+def _greek_before(text: str, start: int, at: int) -> bool:
+    """Whether a Greek letter stands between the end mark before ``at`` and ``at``."""
+    i = at
+    while i > start and text[i - 1] not in "." + STOPS + SEMICOLONS:
+        i -= 1
+        if _script(text[i]) == "greek":
+            return True
+    return False
+
+
 def _line_ends(model: Model, text: str, start: int, end: int) -> bool:
     """Whether the running text start..end ends a sentence, as it must before a numbered item."""
     i = end
-    note = re.search(r"\s*\[\d{1,4}\]$", text[max(start, end - 12) : end])
-    if note:
-        i -= len(note.group())
+    open_ = text.rfind("[", start, end) if text[end - 1] == "]" else -1
+    if open_ >= 0 and NOTE.fullmatch(text, open_, end):
+        i = open_
+        while i > start and text[i - 1].isspace():
+            i -= 1
     closed = False
     while i > start and (text[i - 1] in CLOSERS + "“" or (closed and text[i - 1].isspace())):
         i, closed = i - 1, True
     if i <= start:
         return False
     c = text[i - 1]
-    if c in STOPS or c in "…" or (c in SEMICOLONS and any(_script(x) == "greek" for x in text[max(start, i - 80) : i])) or _script(c) == "thai":
+    if c in STOPS or c in "…" or (c in SEMICOLONS and _greek_before(text, start, i - 1)) or _script(c) == "thai":
         return True
     if c != ".":
         return False
@@ -420,9 +485,9 @@ def sentences(model: Model, text: str | None) -> list[tuple[int, int]]:
 # --- counts and training ----------------------------------------------------
 
 
-def _stops(text: str) -> Iterator[tuple[int, int, int, int, bool]]:
+def _stops(text: str, found: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, int, int, bool]]:
     """(block start, stop, rest, block end, last in block) of single full stops outside quotations and brackets."""
-    for a, b, item in blocks(text):
+    for a, b, item in found:
         pairs, p = spans(text, a, b), 0
         for m in ENDS.finditer(text, a, b):
             if m.group() != ".":
@@ -443,11 +508,12 @@ def _stops(text: str) -> Iterator[tuple[int, int, int, int, bool]]:
 def count(text: str) -> Counter:
     """Counts of one text: ("b", key, ends a block) and ("a", key, begins a block)."""
     out: Counter = Counter()
-    for a, s, e, b, final in _stops(text):
+    found = list(blocks(text))
+    for a, s, e, b, final in _stops(text, found):
         out["b", before_token(text, a, s)[1], final] += 1
         if not final:
             out["a", after_token(text, e, b)[1], False] += 1
-    for a, b, item in blocks(text):
+    for a, b, item in found:
         mark = MARKER.match(text, a, b) if item else None
         out["a", after_token(text, mark.end() if mark else a, b)[1], True] += 1
     return out
@@ -459,7 +525,12 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in frame["text"]:
             if text:
                 total.update(count(text))
-        yield pd.DataFrame([(k, t, f, n) for (k, t, f), n in total.items()], columns=["side", "token", "final", "n"])
+        cells: dict[tuple[str, int], list[int]] = {}
+        for (side, token, final), n in total.items():
+            c = cells.setdefault((side, bucket(token)), [0, 0])
+            c[0] += n
+            c[1] += n if final else 0
+        yield pd.DataFrame([(*k, *v) for k, v in cells.items()], columns=["side", "cell", "n", "f"])
 
 
 def reliable_cases(model: Model, text: str) -> Iterator[tuple[np.ndarray, bool]]:
@@ -469,7 +540,7 @@ def reliable_cases(model: Model, text: str) -> Iterator[tuple[np.ndarray, bool]]
     for (a, b, _), (c, d, item) in zip(found, found[1:] + found[:1]):
         mark = MARKER.match(text, c, d) if item else None
         begins[a] = after_token(text, mark.end() if mark else c, d)
-    for a, s, e, b, final in _stops(text):
+    for a, s, e, b, final in _stops(text, found):
         token, key = before_token(text, a, s)
         if final:
             char, following = begins[a]
@@ -503,14 +574,15 @@ def train(documents: DataFrame) -> Model:
     """Fit on ``documents`` (doc_id, text). Counts cover all documents; without any usable text the prior weights stand."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    counted = texts.select("text").mapInPandas(_counted, "side string, token string, final boolean, n long").groupBy("side", "token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("final"), F.col("n")).otherwise(0)).alias("f"))
-    counted = stored(counted, "sentence-counts")
-    model = Model()
-    rates = {r["side"]: r["f"] / max(r["n"], 1) for r in counted.groupBy("side").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).collect()}
-    model.before_rate, model.after_rate = rates.get("b", 0.15), rates.get("a", 0.15)
-    for side, into in (("b", model.before), ("a", model.after)):
-        for r in counted.where(F.col("side") == side).orderBy(F.desc("n"), "token").limit(MODEL_TOKENS).collect():
-            into[r["token"]] = (int(r["n"]), int(r["f"]))
+    counted = texts.select("text").mapInPandas(_counted, "side string, cell long, n long, f long").groupBy("side", "cell").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    got = counted.toPandas()  # at most BUCKETS cells a side
+    model, stops = Model(), 0
+    for side, name in (("b", "before"), ("a", "after")):
+        of = got[got["side"] == side].sort_values("cell")
+        setattr(model, name, (of["cell"].to_numpy(np.int64), of[["n", "f"]].to_numpy(np.int64)))
+        if len(of):
+            setattr(model, f"{name}_rate", int(of["f"].sum()) / max(int(of["n"].sum()), 1))
+        stops = stops or int(of["n"].sum())
     held = spark.sparkContext.broadcast(model)
 
     def cases(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -522,7 +594,6 @@ def train(documents: DataFrame) -> Model:
             yield pd.DataFrame(rows, columns=["o", "x", "y"])
 
     # A share of documents, by hash, that gives about TRAIN_ROWS cases at most.
-    stops = sum(n for n, _ in model.before.values())
     share = min(1.0, 2.0 * TRAIN_ROWS / max(stops, 1))
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     got = some.mapInPandas(cases, "o long, x array<double>, y boolean").orderBy("o").limit(TRAIN_ROWS).toPandas()
@@ -537,7 +608,8 @@ def sentence_units(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(doc, a, b) for doc, text in zip(frame["doc_id"], frame["text"]) for a, b in sentences(held.value, text)]
-            yield pd.DataFrame({"doc_id": np.array([r[0] for r in rows], np.int64), "sent_start": np.array([r[1] for r in rows], np.int32), "sent_end": np.array([r[2] for r in rows], np.int32)})
+            found = [sentences(held.value, text) for text in frame["text"]]
+            units = np.array([u for of in found for u in of], np.int32).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": np.repeat(frame["doc_id"].to_numpy(np.int64), [len(of) for of in found]), "sent_start": units[:, 0], "sent_end": units[:, 1]})
 
     return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, "doc_id long, sent_start int, sent_end int")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from probloom.llm import sentences as S
@@ -59,3 +60,41 @@ def test_training_learns_an_unlisted_abbreviation(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.sentence_units(docs, S.train(docs)).count() == 0
+
+
+def test_marks_without_a_partner_never_matter_however_many():
+    for n in (39, 41, 42, 410):
+        text = "( " * n + "He said: «Stop now. Go home.» Then."
+        assert [text[a:b] for a, b in S.sentences(S.Model(), text)][-1] == "Then." and len(S.sentences(S.Model(), text)) == 2
+    assert S.spans("(a «b) c» d", 0, 11) == [(0, 5)] and S.spans("„a (“b” c) d“", 0, 13) == [(0, 12)] and S.spans("« a «b» c", 0, 9) == [(4, 6)]
+
+
+def test_tokens_are_whole():
+    word = "x" * 500
+    assert S.before_token(f"a {word}.", 0, 502) == (word, word)
+    assert S.before_token(f"{word} 12.", 0, 503) == ("12", f"{word} 9")
+    assert S.after_token(f" {word} y", 0, 503) == ("x", word)
+
+
+def test_counts_of_every_token_reach_the_model(spark):
+    # 30,000 tokens, each seen twice: as many as any cap on the vocabulary would cut.
+    texts = [(i, " ".join(f"w{chr(97 + i % 26)}{j}q. Next one." for j in range(i * 100, i * 100 + 100)).translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(300)]
+    model = S.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    seen = [model._counts(model.before, S.before_token(f"w{chr(97 + i % 26)}{j}q.".translate(str.maketrans("0123456789", "abcdefghij")), 0, len(f"w{chr(97 + i % 26)}{j}q"))[1])[0] for i in range(300) for j in range(i * 100, i * 100 + 100)]
+    assert min(seen) >= 1
+    assert np.mean(np.array(seen) > 1) < 0.05  # cells shared by chance
+
+
+def test_model_beats_chance_on_held_out_cases(spark):
+    # Abbreviations unlisted and learned from counts alone.
+    rng = np.random.default_rng(4)
+    words = ["melt", "glass", "sample", "image", "oven", "patient"]
+    def sentence():
+        w = list(rng.choice(words, 5))
+        if rng.random() < 0.5:
+            w[2] = "zorb. " + str(rng.choice(["Lab", "Unit", "Room"]))
+        return (" ".join(w)).capitalize().replace("zorb. lab", "zorb. Lab").replace("zorb. unit", "zorb. Unit").replace("zorb. room", "zorb. Room") + "."
+    docs = [(i, "\n\n".join(" ".join(sentence() for _ in range(3)) for _ in range(4))) for i in range(300)]
+    model = S.train(spark.createDataFrame(docs[:200], "doc_id long, text string"))
+    right = sum(len(S.sentences(model, t)) == 12 for _, t in docs[200:])
+    assert right >= 97
