@@ -3,11 +3,13 @@
 The documents of a source, in a fixed pseudo-random order, form one stream of
 tokens that is cut into blocks of ``BLOCK`` tokens. A plan takes as many tokens
 of each source as its target asks and the repeat cap allows. Output shards draw
-multinomial source counts, each with its own seed; running sums over the shards
-number a source's slots, slots beyond its quota are left out, and what the draws
-left open is added in closing shards, so the shares are met exactly. A slot maps
-through the source's pseudo-random index permutation of the pass it falls in to
-a block, and blocks are joined by index.
+multinomial source counts; the draws of a plan are conditioned on its quotas, so
+shares are met to the token and nothing is left over. They are drawn top-down: a
+range of shards splits its counts over two halves by a multivariate
+hypergeometric draw of its own seed, so any shard's counts, and how many of each
+source came before it, follow from the plan alone, without a shuffle. A slot
+maps through the source's pseudo-random index permutation of the pass it falls
+in to a block, and blocks are joined by index.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql.window import Window
 
 from probloom.runtime import stored
 
-#: Tokens of a block, slots of an output shard.
-BLOCK, SHARD_SLOTS = 1024, 8192
+#: Tokens of a block, most slots of an output shard, shards of a plan that isn't longer, shards drawn in one task, most slots of a book.
+BLOCK, SHARD_SLOTS, LEAST_SHARDS, CHUNK, BOOK = 1024, 8192, 64, 256, 1 << 28
 
 
 def salted_offset(df: DataFrame, group: list[str], order: list[Column], weight: str, out: str, salts: int) -> DataFrame:
@@ -81,62 +83,90 @@ def _step(plan: int, source: str, turn: int, n: int) -> tuple[int, int]:
     return step, (raw >> 64) % n
 
 
+def shard_length(slots: int) -> int:
+    """Slots of a plan's shards (the last may be shorter)."""
+    return max(1, min(SHARD_SLOTS, math.ceil(slots / LEAST_SHARDS)))
+
+
+def books_of(slots: list[int]) -> list[tuple[list[int], list[int]]]:
+    """(first slot, slots) of every source in every book: a plan cut into equal parts within what one draw can hold."""
+    n = max(1, math.ceil(sum(slots) / BOOK))
+    return [([s * b // n for s in slots], [s * (b + 1) // n - s * b // n for s in slots]) for b in range(n)]
+
+
+def shard_counts(counts: np.ndarray, length: int, shards: int, wanted: range, seed: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before it, its slots of each source) for the shards ``wanted`` of a book of ``shards``."""
+
+    def down(lo: int, hi: int, before: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= wanted.start or lo >= wanted.stop:
+            return
+        if hi - lo == 1:
+            yield lo, before, own
+            return
+        mid = lo + (1 << ((hi - lo - 1).bit_length() - 1))
+        left = np.random.default_rng([*seed, lo, hi]).multivariate_hypergeometric(own, min((mid - lo) * length, int(own.sum())), method="marginals")
+        yield from down(lo, mid, before, left)
+        yield from down(mid, hi, before + left, own - left)
+
+    yield from down(0, shards, np.zeros(len(counts), np.int64), counts)
+
+
 def mix(items: DataFrame, plans: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(plan_no, shard, slot, source, pass, block, doc_id, start, end): the mixed blocks as parts of documents.
+    """(plan_no, shard, slot, source, pass, block, at, doc_id, start, end): the mixed blocks as parts of documents.
 
-    Parts of a slot follow one another by ``at``. No token of a document is
-    used more than ``max_repeats`` times in a plan, and every source gives its
-    quota to the token. Documents of size 0 or without a source, sources without
+    ``slot`` numbers the blocks of a plan from 0 in their mixed order, parts of
+    a slot follow one another by ``at``. No token of a document is used more
+    than ``max_repeats`` times in a plan, and every source gives its quota to
+    the token. Documents of size 0 or without a source, sources without
     documents and plans without rows give nothing.
     """
     spark = items.sparkSession
     items = stored(items.where("size > 0 AND source IS NOT NULL").select("doc_id", "source", "size"), "mix-items")
     quotas = plan_quotas(items, plans).collect()  # as many rows as the plans have
-    shards, draws, quota_rows, turns = [], {}, [], []
+    books, draws, quota_rows, turns = [], {}, [], []
     by_plan: dict[int, list] = {}
     for r in quotas:
         by_plan.setdefault(r["plan_no"], []).append(r)
     for plan, own in sorted(by_plan.items()):
         own = sorted(own, key=lambda r: r["source"])
         slots = [slots_of(r["quota"], r["source_tokens"], block) for r in own]
-        n = math.ceil(sum(slots) / SHARD_SLOTS)
-        draws[plan] = ([r["source"] for r in own], np.array(slots, float) / max(sum(slots), 1), sum(slots))
-        shards.append((plan, n))
+        length, shard, base = shard_length(sum(slots)), 0, 0
+        for b, (first, counts) in enumerate(books_of(slots)):
+            n = math.ceil(sum(counts) / length)
+            draws[plan, b] = ([r["source"] for r in own], first, counts, length, n, shard, base)
+            books.append((plan, b, n))
+            shard, base = shard + n, base + sum(counts)
         for r, s in zip(own, slots):
             blocks, full = math.ceil(r["source_tokens"] / block), r["source_tokens"] // block
-            quota_rows.append((plan, r["source"], s, n, blocks, full, int(r["quota"]), int(r["source_tokens"])))
+            quota_rows.append((plan, r["source"], blocks, full, int(r["quota"]), int(r["source_tokens"])))
             for t in range(math.ceil(s / blocks) if blocks else 0):
                 turns.append((plan, r["source"], t, *_step(plan, r["source"], t, full)))
 
-    def multinomial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for plan, shard in zip(frame["plan_no"], frame["shard"]):
-                names, p, total = draws[plan]
-                counts = np.random.default_rng([17, int(plan), int(shard)]).multinomial(min(SHARD_SLOTS, total - int(shard) * SHARD_SLOTS), p)  # the last shard is shorter
-                out += [(plan, shard, s, int(c)) for s, c in zip(names, counts) if c]
-            yield pd.DataFrame(out, columns=["plan_no", "shard", "source", "n"])
-
-    sizes = spark.createDataFrame(quota_rows, "plan_no long, source string, slots long, shards long, blocks long, full long, quota long, size long")
-    grid = spark.createDataFrame([x for x in shards if x[1]], "plan_no long, n long").select("plan_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shard"))
-    drawn = grid.mapInPandas(multinomial, "plan_no long, shard long, source string, n long")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("plan_no", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = stored(drawn.withColumn("first", before), "draws")
-    small = F.broadcast(sizes)  # a row per plan and source
-    cut = drawn.join(small, ["plan_no", "source"]).select("plan_no", "source", "shard", "first", F.least(F.col("n"), F.col("slots") - F.col("first")).alias("n")).where("n > 0")
-    used = drawn.groupBy("plan_no", "source").agg(F.sum("n").alias("used"))
-    rest = small.join(used, ["plan_no", "source"], "left").select("plan_no", "source", "shards", F.least("slots", F.coalesce("used", F.lit(0))).alias("first"), (F.col("slots") - F.least("slots", F.coalesce("used", F.lit(0)))).alias("n")).where("n > 0")
-    spread = rest.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {SHARD_SLOTS})")).alias("j"))  # what the draws left open, in ranges of a shard's length
-    rest = spread.select("plan_no", "source", (F.col("shards") + F.col("j")).alias("shard"), (F.col("first") + F.col("j") * SHARD_SLOTS).alias("first"), F.least(F.lit(SHARD_SLOTS), F.col("n") - F.col("j") * SHARD_SLOTS).alias("n"))
-    ranges = cut.unionByName(rest)
-    slot = ranges.select("plan_no", "source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("k")).join(small, ["plan_no", "source"])
-    slot = slot.select("*", F.expr("k div blocks").alias("pass"), F.expr("k % blocks").alias("i"))
+            for plan, b, at in zip(frame["plan_no"], frame["book"], frame["at"]):
+                names, first, counts, length, n, shard, base = draws[plan, b]
+                for i, before, own in shard_counts(np.array(counts, np.int64), length, n, range(at, min(at + CHUNK, n)), [17, int(plan), int(b)]):
+                    here, size = base + i * length, int(own.sum())
+                    step, begin = _step(plan, f"shard {shard + i}", 0, size)
+                    places = np.cumsum(own) - own
+                    out += [(plan, shard + i, s, f + int(p), int(c), here, size, int(o), step, begin) for s, f, p, c, o in zip(names, first, before, own, places) if c]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in drawn_row.split(", ")])
+
+    drawn_row = "plan_no long, shard long, source string, first long, n long, base long, size long, place long, jump long, offset long"
+    sizes = F.broadcast(spark.createDataFrame(quota_rows, "plan_no long, source string, blocks long, full long, quota long, tokens long"))  # a row per plan and source
     steps = F.broadcast(spark.createDataFrame(turns, "plan_no long, source string, pass long, step long, begin long"))  # a row per plan, source and pass
-    slot = slot.join(steps, ["plan_no", "source", "pass"])
+    grid = spark.createDataFrame([x for x in books if x[2]], "plan_no long, book long, n long").select("plan_no", "book", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)")).alias("at"))
+    drawn = grid.repartition("plan_no", "book", "at").mapInPandas(draw, drawn_row)
+    slot = drawn.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("j")).select(
+        "plan_no", "shard", "source", (F.col("first") + F.col("j")).alias("k"), (F.col("base") + F.pmod((F.col("place") + F.col("j")) * F.col("jump") + F.col("offset"), F.col("size"))).alias("slot")
+    )
+    slot = slot.join(sizes, ["plan_no", "source"]).select("*", F.expr("k div blocks").alias("pass"), F.expr("k % blocks").alias("i")).join(steps, ["plan_no", "source", "pass"])
     # The short last block of a stream ends each pass; the last slot of a quota is cut to the token.
     slot = slot.withColumn("block", F.when(F.col("i") < F.col("full"), F.pmod(F.col("i") * F.col("step") + F.col("begin"), F.greatest("full", F.lit(1)))).otherwise(F.col("full")))
-    room = F.col("quota") - F.col("pass") * F.col("size") - F.col("i") * block
-    slot = slot.select("plan_no", "source", "shard", F.xxhash64("plan_no", "source", "k").alias("slot"), "pass", "block", F.least(room, F.lit(block)).alias("room"))
+    room = F.col("quota") - F.col("pass") * F.col("tokens") - F.col("i") * block
+    slot = slot.select("plan_no", "source", "shard", "slot", "pass", "block", F.least(room, F.lit(block)).alias("room"))
     parts = token_blocks(items, block)
     out = slot.join(parts, ["source", "block"]).where("at < room")
     end = F.least(F.col("end"), F.col("start") + F.col("room") - F.col("at"))
@@ -148,4 +178,4 @@ def mix_report(items: DataFrame, plans: DataFrame, mixed: DataFrame) -> DataFram
     got = mixed.groupBy("plan_no", "source").agg(F.sum(F.col("end") - F.col("start")).alias("used_tokens"), (F.max("pass") + 1).alias("passes"))
     out = plan_quotas(items, plans).join(got, ["plan_no", "source"], "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)).cast("long"))
     share = F.col("used_tokens") / F.greatest(F.sum("used_tokens").over(Window.partitionBy("plan_no")), F.lit(1))
-    return out.select("plan_no", "source", "target_share", F.round(share, 6).alias("actual_share"), F.round("wanted_tokens", 3).alias("wanted_tokens"), "source_tokens", "most_tokens", "used_tokens", F.coalesce("passes", F.lit(0)).alias("passes"), "short")
+    return out.select("plan_no", "source", "target_share", F.round(share, 6).alias("actual_share"), "wanted_tokens", "source_tokens", "most_tokens", "used_tokens", F.coalesce("passes", F.lit(0)).alias("passes"), "short")
