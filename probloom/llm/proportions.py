@@ -171,3 +171,12 @@ def matched_sample(records: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     held = stored(records.select(*RECORD).dropna().distinct(), "categorised")
     plan = stored(plan_samples(requests, category_counts(held)), "sample-plan")
     return plan, draw(held, plan)
+
+
+def sample_report(plan: DataFrame, sample: DataFrame) -> DataFrame:
+    """The plan with the records drawn of every category and what it is short of; a request and category without draws has 0."""
+    on = ["request_no", "category_code"]
+    drawn = sample.groupBy(*on).agg(F.countDistinct("record_id").alias("drawn"))
+    out = plan.join(drawn, on, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("long"))
+    short = F.greatest(F.col("needed") - F.col("drawn"), F.lit(0)).alias("short")
+    return out.select("request_no", "table_name", "cohort_key", "category_code", "sample_size", "target_share", "min_rows", "needed", "available", "allocated", "drawn", short)

@@ -170,8 +170,8 @@ def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE coalesce(available, 0) < greatest(min_rows, floor(target_share * sample_size + 0.5 + 1e-9))""",
 )
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = proportions.plan_samples(table(spark, sf_dir, "sample_requests"), proportions.category_counts(categorised(spark, sf_dir)))
-    return plan.where("available < needed").select("request_no", "category_code")
+    """Categories of which the drawn sample holds fewer records than needed because the cohort does."""
+    return p2_report(spark, sf_dir).where("drawn < needed AND available < needed").select("request_no", "category_code")
 
 
 @query("p2_sample")
@@ -182,10 +182,9 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p2_report")
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target, need, supply and allocation of every request and category."""
-    plan = proportions.plan_samples(table(spark, sf_dir, "sample_requests"), proportions.category_counts(categorised(spark, sf_dir)))
-    short = F.greatest(F.col("needed") - F.col("allocated"), F.lit(0)).alias("short")
-    return plan.select("request_no", "table_name", "cohort_key", "category_code", "sample_size", "target_share", "min_rows", "needed", "available", "allocated", short)
+    """Target, need, supply, allocation and drawn records of every request and category."""
+    plan, sample = proportions.matched_sample(categorised(spark, sf_dir), table(spark, sf_dir, "sample_requests"))
+    return proportions.sample_report(plan, sample)
 
 
 # --- containers and mixes ---------------------------------------------------
@@ -205,7 +204,9 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p6_found", f"SELECT spec_code, doc_id FROM documents, container_specs WHERE {SIZE_SQL} > capacity_tokens")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).where("pieces > 1 AND piece = 0").select("spec_code", "doc_id")
+    """Documents whose tokens lie in more than one container."""
+    spread = _packed(spark, sf_dir).groupBy("spec_code", "doc_id").agg(F.count(F.lit(1)).alias("parts"))
+    return spread.where("parts > 1").select("spec_code", "doc_id")
 
 
 @query("p6_packed")
@@ -216,8 +217,8 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p6_report")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used and their fill, per spec."""
-    return packing.pack_report(_packed(spark, sf_dir), _specs(spark, sf_dir))
+    """Containers used, their fill and the gaps of their source shares, per spec."""
+    return packing.pack_report(stored(_packed(spark, sf_dir), "containers"), _specs(spark, sf_dir))
 
 
 @query(
@@ -228,7 +229,8 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE target_share * size_factor * (SELECT sum(size) FROM s) > max_repeats * coalesce(size, 0)""",
 )
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_report(spark, sf_dir).where("short AND used_tokens = most_tokens").select("plan_no", "source")  # all that may be used is placed, and it isn't enough
+    """Sources of which all that may be used was placed, and it isn't enough."""
+    return p7_report(spark, sf_dir).where("used_tokens = most_tokens AND used_tokens < wanted_tokens").select("plan_no", "source")
 
 
 @query("p7_mix")

@@ -61,3 +61,35 @@ def test_empty_and_sizes(spark):
     assert packed.count() == 0 and P.pack_report(packed, specs).count() == 0
     docs = spark.createDataFrame([(1, "aé", " Lab "), (2, None, "x"), (3, "", "x"), (4, "   \n　", "x"), (5, "日本", "  "), (6, "x" * 100000, None)], "doc_id long, text string, source string")
     assert {(r["doc_id"], r["source"], r["size"]) for r in T.sized_documents(docs).collect()} == {(1, "lab", 3), (5, None, 6), (6, None, 100000)}
+
+
+def test_running_shares_hold_and_given_targets_count(spark, monkeypatch):
+    import random
+
+    random.seed(5)
+    items = [(i, "abc"[min(i % 6, 3) % 3], random.randint(2, 60)) for i in range(6000)]
+    monkeypatch.setattr(P, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(P, "MEET", 4)
+    packed, specs = run(spark, items, 500)
+    covered(packed.collect(), items, 500)
+    row = P.pack_report(packed, specs).first()
+    assert row["fill"] > 0.99 and row["running_gap"] < 0.06
+    shares = {"a": 0.2, "b": 0.2, "c": 0.6}
+    frame, _ = run(spark, items, 500)
+    wanted = P.pack(spark.createDataFrame([(i, s, n) for i, s, n in items], "doc_id long, source string, size long"), specs, shares)
+    rows = [r for r in wanted.collect() if r["window"] is not None and r["window"] < 10]
+    got = collections.Counter()
+    for r in rows:
+        got[r["source"]] += r["end"] - r["start"]
+    assert abs(got["c"] / sum(got.values()) - 0.6) < 0.03
+
+
+def test_every_poor_window_is_opened_again():
+    # 40 windows hold one item of 60, which leaves room that only another shard's items fill.
+    import pyarrow as pa
+
+    n = 40
+    table = pa.table({"spec_code": ["s"] * n, "capacity": [100] * n, "shard": [0] * n, "doc_id": list(range(n)), "source": ["a"] * n, "piece": [0] * n, "start": [0] * n, "end": [60] * n, "credit": [1.0] * n, "deficit": pa.array([None] * n, pa.float64()), "turn": list(range(n))})
+    out = P.pack_shard(table, 0, False).to_pylist()
+    assert all(r["container"] is None for r in out) and abs(out[-1]["deficit"]) < 1e-6
+    assert len({r["container"] for r in P.pack_shard(table, 0, True).to_pylist() if r["doc_id"] is not None}) == n
