@@ -4,6 +4,7 @@ intermediate tables and skew-safe numbering."""
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -22,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only where none is named and all runs on one machine, a temporary folder is
+    made and set as the checkpoint folder; on a cluster executors couldn't read
+    one another's folders, so that is an error.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="probloom-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -46,31 +50,69 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     at = f"{shared_dir(spark)}/probloom/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
     _SCRATCH.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._probloom_at = at
+    return out
+
+
+def freed(*frames: DataFrame) -> None:
+    """Delete stored tables that no later plan reads; other frames are left alone."""
+    for df in frames:
+        at = getattr(df, "_probloom_at", None)
+        for entry in [e for e in _SCRATCH if e[1] == at]:
+            _SCRATCH.remove(entry)
+            _delete(*entry)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 def _clean() -> None:
-    for spark, at in _SCRATCH:
-        try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may be gone already
-            pass
+    for entry in _SCRATCH:
+        _delete(*entry)
+
+
+#: Rows of one salt of a group, rows of a table that may be broadcast.
+SALT_ROWS, BROADCAST_ROWS = 100_000, 50_000
+
+
+def salts_for(rows: int) -> int:
+    """Buckets that keep each of a group of ``rows`` rows small enough for one task."""
+    return max(1, math.ceil(rows / SALT_ROWS))
+
+
+def beside(df: DataFrame, small: DataFrame, on: str, salt: Column, rows: int) -> DataFrame:
+    """Left join ``df`` with ``small`` (a row per group; column ``__h`` is the group, NULL too): broadcast up to BROADCAST_ROWS groups.
+
+    With more groups both sides are salted by ``salt`` as the number of rows
+    of ``df`` asks, so that no hot group is in one task.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(small), F.col(on).eqNullSafe(F.col("__h")), "left").drop("__h")
+    n = min(salts_for(rows), 1024)
+    wide = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = df.withColumn("__own_salt", F.pmod(F.xxhash64(salt), F.lit(n)).cast("int"))
+    return left.join(wide, F.col(on).eqNullSafe(F.col("__h")) & (F.col("__own_salt") == F.col("__salt")), "left").drop("__h", "__salt", "__own_salt")
 
 
 atexit.register(_clean)
 
 
-def salted_rank(df: DataFrame, group: list[str], order: list[Column], out: str, salts: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], order: list[Column], out: str, salts: int | None = None) -> DataFrame:
     """Number the rows of every group from 0, in a fixed pseudo-random order.
 
     ``order`` must identify a row within its group. A hash of it spreads the
-    group over ``salts`` buckets, each is numbered on its own and shifted by
+    group over ``salts`` buckets (by default as many as all rows ask), each is numbered on its own and shifted by
     the counts of the buckets before it, so a group that holds a third of all
     rows is never sorted in one task. The numbering is dense and repeatable.
     """
     salt, at = f"__{out}_salt", f"__{out}_at"
+    salts = salts or salts_for(df.count())
     rows = df.withColumn(salt, F.pmod(F.xxhash64(F.lit(out), *order), F.lit(salts)).cast("int"))
     counts = rows.groupBy(*group, salt).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
