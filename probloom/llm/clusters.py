@@ -8,13 +8,16 @@ enters as one vertex with its count, sums and sum of squares. From these the
 average linkage of two groups is exact: the mean squared distance over all
 pairs of members is the squared distance of the means plus both variances.
 Cells that hold an alike pair are linked, which gives a sparse graph. Each round
-every group finds its best linked partner by average linkage, all mutual best
-pairs merge in parallel, and this ends when no linked pair, that is no
-similarity above the threshold, is left.
+every group finds its best linked partner by average linkage and all mutual best
+pairs merge in parallel; groups whose chain of best partners leads to a pair join
+it in the same round, so that a round at least halves the linked groups and long
+chains end. This stops when no linked pair, that is no similarity above the
+threshold, is left.
 
 Most links follow from the bounding boxes or a representative of two cells.
 Those in doubt are settled exactly, but only between cells that the certain
-links left apart: boxes of a sixteenth of a step first, then single records.
+links left apart: the cells are halved along every field, again and again, until
+the bounding boxes of all parts settle a pair or few records are left to compare.
 """
 
 from __future__ import annotations
@@ -25,13 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probloom.runtime import stored
+from probloom.runtime import freed, stored
 from probloom.schema import Feature
 
 NEAR = 1 + 1e-9
-FINE = 16
-#: Rounds of mutual merging; after them every group also joins a better-linked group of smaller id, so that long chains end.
-ROUNDS = 30
+#: Parts of a step in the first boxes of cells in doubt, pairs of records that two boxes may have to be compared record by record.
+FINE, FEW = 16, 256
 
 
 def _sum(xs: list[Column]) -> Column:
@@ -56,38 +58,79 @@ def _box(dims: int) -> list[Column]:
     return [x for i in range(dims) for x in (F.min(f"z{i}").alias(f"lo{i}"), F.max(f"z{i}").alias(f"hi{i}"))]
 
 
+def _roots(parents: DataFrame, label: str) -> DataFrame:
+    """(x, p) with p followed to its root, by doubling; a root is its own parent."""
+    while True:
+        up = parents.select(F.col("x").alias("p"), F.col("p").alias("q"))
+        two = parents.join(up, "p").select("x", F.col("p").alias("was"), F.col("q").alias("p"))
+        four = stored(two.join(two.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", "was", F.col("q").alias("p")), label)
+        freed(parents)
+        moved, parents = not four.where("was <> p").isEmpty(), four.select("x", "p")
+        parents._probloom_at = four._probloom_at
+        if not moved:
+            return parents
+
+
 def merge_rounds(links: DataFrame, groups: DataFrame, dims: int, label: str) -> DataFrame:
     """(g, cluster) of every group by reciprocal-nearest-neighbour average linkage over ``links`` (a, b).
 
-    ``groups``: g, n, s0.. (sums) and ss (sum of squares). A cluster is named by its smallest group id.
+    ``groups``: g, n, s0.. (sums) and ss (sum of squares). A cluster is named by one of its group ids.
     """
     stats = [f"s{i}" for i in range(dims)] + ["n", "ss"]
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-links")
-    names = groups.select(F.col("g"), F.col("g").alias("cluster"))
-    state, done = groups.select("g", *stats), 0
+    names = stored(groups.select(F.col("g"), F.col("g").alias("cluster")), f"{label}-names")
+    state = groups.select("g", *stats)
     while not links.isEmpty():
         a = state.select(F.col("g").alias("a"), *[F.col(c).alias(f"a_{c}") for c in stats])
         b = state.select(F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in stats])
         mean = [F.pow(F.col(f"a_s{i}") / F.col("a_n") - F.col(f"b_s{i}") / F.col("b_n"), F.lit(2)) for i in range(dims)]
         spread = [F.col(f"{x}_ss") / F.col(f"{x}_n") - _sum([F.pow(F.col(f"{x}_s{i}") / F.col(f"{x}_n"), F.lit(2)) for i in range(dims)]) for x in "ab"]
         scored = links.join(a, "a").join(b, "b").select("a", "b", _sum(mean + spread).alias("d"))
-        sides = scored.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "d", "a", "b")
-        best = sides.groupBy("e.x").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("x", "best.a", "best.b")
-        if done < ROUNDS:
-            merged = best.groupBy("a", "b").agg(F.count(F.lit(1)).alias("sides")).where(F.col("sides") == 2).select(F.col("b").alias("old"), F.col("a").alias("new"))
-        else:
-            merged = best.where(F.col("x") == F.col("b")).select(F.col("b").alias("old"), F.col("a").alias("new"))
-        merged = stored(merged, f"{label}-merged")
-        renamed = lambda c: merged.select(F.col("old").alias(f"old_{c}"), F.col("new").alias(f"new_{c}"))
-        put = lambda df, c: df.join(renamed(c), F.col(c) == F.col(f"old_{c}"), "left").withColumn(c, F.coalesce(f"new_{c}", c)).drop(f"old_{c}", f"new_{c}")
+        sides = scored.select(F.explode(F.array("a", "b")).alias("x"), "d", "a", "b")
+        best = sides.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("best")).select("x", "best.a", "best.b")
+        # The order of links is total, so best partners form trees, each with one mutual pair; the smaller of the pair is its root.
+        sides = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+        parent = F.when(F.col("x") == F.col("a"), F.when(F.col("sides") == 2, F.col("a")).otherwise(F.col("b"))).otherwise(F.col("a"))
+        roots = _roots(stored(best.withColumn("sides", sides).select("x", parent.alias("p")), f"{label}-best"), f"{label}-roots")
+        renamed = lambda c: roots.select(F.col("x").alias(f"old_{c}"), F.col("p").alias(f"new_{c}"))  # noqa: B023, E731
+        put = lambda df, c: df.join(renamed(c), F.col(c) == F.col(f"old_{c}"), "left").withColumn(c, F.coalesce(f"new_{c}", c)).drop(f"old_{c}", f"new_{c}")  # noqa: B023, E731
+        old = state, links, names, roots
         state = stored(put(state, "g").groupBy("g").agg(*[F.sum(c).alias(c) for c in stats]), f"{label}-state")
         moved = put(put(links, "a"), "b").where("a <> b")
         links = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-links")
-        names = put(names, "cluster")
-        done += 1
-        if done % 6 == 0:
-            names = stored(names, f"{label}-names")
-    return stored(names, f"{label}-names")
+        names = stored(put(names, "cluster"), f"{label}-names")
+        freed(*old)
+    return names
+
+
+def _settled(doubt: DataFrame, points: DataFrame, dims: int) -> DataFrame:
+    """(a, b): the clusters in_a, in_b of the pairs of cells in ``doubt`` (a, b, in_a, in_b) that hold an alike pair of records.
+
+    ``points``: g, z0... Pairs of boxes are halved until their bounds settle
+    them or at most ``FEW`` pairs of records are left to compare.
+    """
+    zs = [f"z{i}" for i in range(dims)]
+    bounds = [f"{s}{i}" for i in range(dims) for s in ("lo", "hi")]
+    pairs, per, links = doubt.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "in_a", "in_b"), FINE, None
+    held = points.select(F.col("g").alias("f"), *zs)
+    while True:
+        inside = pairs.select(F.explode(F.array("fa", "fb")).alias("f")).distinct()
+        cell = F.xxhash64("f", *[F.floor(F.col(z) * per) for z in zs])
+        held = stored(held.join(inside, "f").withColumn("of", F.col("f")).withColumn("f", cell), "doubt-points")
+        boxes = stored(held.groupBy("of", "f").agg(F.count(F.lit(1)).alias("n"), *_box(dims)), "doubt-boxes")
+        side = lambda c, d: boxes.select(F.col("of").alias(c), F.col("f").alias(f"n{c}"), F.col("n").alias(f"n_{c}"), F.struct(*bounds).alias(d))  # noqa: B023, E731
+        met = pairs.join(side("fa", "x"), "fa").join(side("fb", "y"), "fb").where(_gap("x", "y", dims) <= NEAR)
+        met = stored(met.select("in_a", "in_b", F.col("nfa").alias("fa"), F.col("nfb").alias("fb"), (F.col("n_fa") * F.col("n_fb") <= FEW).alias("few"), (_span("x", "y", dims) <= NEAR).alias("sure")), "doubt-pairs")
+        sure = met.where("sure").select("in_a", "in_b").distinct()
+        open_ = met.where("NOT sure").join(sure, ["in_a", "in_b"], "left_anti")
+        p, q = held.select(F.col("f").alias("fa"), F.struct(*zs).alias("p")), held.select(F.col("f").alias("fb"), F.struct(*zs).alias("q"))
+        close = open_.where("few").join(p, "fa").join(q, "fb").where(_apart("p", "q", dims) <= NEAR).select("in_a", "in_b").distinct()
+        now = stored(sure.unionByName(close).distinct(), "doubt-links")
+        links = now if links is None else links.unionByName(now)
+        pairs = stored(open_.where("NOT few").join(now, ["in_a", "in_b"], "left_anti").select("fa", "fb", "in_a", "in_b"), "doubt-open")
+        if pairs.isEmpty():
+            return links.select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))
+        held, per = held.select("f", *zs), per * 2
 
 
 def similarity_clusters(records: DataFrame, fields: list[Feature]) -> DataFrame:
@@ -96,7 +139,7 @@ def similarity_clusters(records: DataFrame, fields: list[Feature]) -> DataFrame:
     ``records``: record_id and the fields, known values or NULL. A record with
     a missing field or a null id takes no part; repeated deliveries of an id
     count once; equal records share a cell and so a cluster. The cluster id is
-    the smallest record id of a cell of the cluster. Empty input, empty result.
+    the smallest record id of one of its cells. Empty input, empty result.
     """
     dims = len(fields)
     z = [(F.col(f.name).cast("double") / F.lit(f.step)).alias(f"z{i}") for i, f in enumerate(fields)]
@@ -129,18 +172,7 @@ def similarity_clusters(records: DataFrame, fields: list[Feature]) -> DataFrame:
     doubt = stored(doubt, "doubt")
     if not doubt.isEmpty():
         inside = doubt.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-        held = points.join(cells.select("g", *key).join(inside, "g"), key)
-        held = stored(held.select("record_id", "g", *[F.col(f"z{i}") for i in range(dims)], F.xxhash64(*[F.floor(F.col(f"z{i}") * FINE) for i in range(dims)]).alias("f")), "doubt-points")
-        fine = held.groupBy("g", "f").agg(*_box(dims))
-        whole = cells.select("g", *[f"{s}{i}" for i in range(dims) for s in ("lo", "hi")])
-        side = lambda me, it: doubt.select("a", "b", "in_a", "in_b").alias("d").join(fine.alias("f"), F.col(f"d.{me}") == F.col("f.g")).join(whole.alias("w"), F.col(f"d.{it}") == F.col("w.g")).where(_gap("f", "w", dims) <= NEAR).select("d.*", "f.f", *[F.col(f"f.{s}{i}") for i in range(dims) for s in ("lo", "hi")])
-        met = side("a", "b").alias("x").join(side("b", "a").alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (_gap("x", "y", dims) <= NEAR))
-        met = stored(met.select("x.a", "x.b", "x.in_a", "x.in_b", F.col("x.f").alias("fa"), F.col("y.f").alias("fb"), (_span("x", "y", dims) <= NEAR).alias("sure")), "fine-pairs")
-        sure = met.where("sure").select(F.col("in_a").alias("a"), F.col("in_b").alias("b")).distinct()
-        open_ = met.where(~F.col("sure")).join(sure.select(F.col("a").alias("in_a"), F.col("b").alias("in_b")), ["in_a", "in_b"], "left_anti")
-        p, q = held.alias("p"), held.alias("q")
-        close = open_.alias("m").join(p, (F.col("m.a") == F.col("p.g")) & (F.col("m.fa") == F.col("p.f"))).join(q, (F.col("m.b") == F.col("q.g")) & (F.col("m.fb") == F.col("q.f")) & (_apart("p", "q", dims) <= NEAR))
-        links = sure.unionByName(close.select(F.col("m.in_a").alias("a"), F.col("m.in_b").alias("b")).distinct())
+        links = _settled(doubt, points.join(cells.select("g", *key).join(inside, "g"), key), dims)
         stats = [f"s{i}" for i in range(dims)] + ["n", "ss"]
         grown = cells.select("g", *stats).join(names, "g").groupBy("cluster").agg(*[F.sum(c).alias(c) for c in stats]).withColumnRenamed("cluster", "g")
         again = merge_rounds(links, stored(grown, "grown"), dims, "doubt")

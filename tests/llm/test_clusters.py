@@ -58,3 +58,25 @@ def test_missing_copies_strays_and_description(spark):
 
 def test_empty(spark):
     assert C.similarity_clusters(frame(spark, []), FIELDS).count() == 0
+
+
+def test_long_rising_chains_end_in_few_rounds(spark, monkeypatch):
+    # Gaps grow along the chain, so that a round of mutual pairs alone would merge one pair.
+    n = 300
+    x = np.zeros((n, 4))
+    x[:, 0] = np.cumsum(np.linspace(0.55, 0.999, n))
+    rounds, own = [], C._roots
+    monkeypatch.setattr(C, "_roots", lambda p, label: rounds.append(1) or own(p, label))
+    check(spark, x)
+    assert len(rounds) < 12
+
+
+def test_dense_boxes_near_the_threshold_are_halved(spark):
+    rng = np.random.default_rng(6)
+    scale = np.array([1.0, 0.5, 2.0, 1.0])
+    for gap in (1.0001, 0.9999):
+        a, b = rng.uniform(0, 0.05, (300, 4)), rng.uniform(0, 0.05, (300, 4))
+        a[:, 0], b[:, 0] = -a[:, 0], b[:, 0] + gap
+        a[0], b[0] = 0, [gap, 0, 0, 0]  # the only pair so near
+        a[1:, 0] -= 0.01
+        check(spark, np.vstack([a, b]) * scale + 7)
