@@ -8,13 +8,14 @@ ranges of about ``BUCKET`` entries.
 
 Search. A query looks at the ``window`` entries on both sides of its place on
 every curve; the windows are merged, ranked by projected distance and the best
-are compared with the true vectors. Where ``exact`` is asked for, one more pass
-over all rows uses the k-th distance found as a radius: a row is compared only
-if a lower bound of its distance (projection plus residual norms) is within it,
-so the answer equals brute force.
-
-Queries are handled in blocks of ``BLOCK`` vectors, the only data that is ever
-broadcast, so its size doesn't follow the input.
+``RERANK`` are compared with the true vectors, which meet in two joins on hashes:
+the work grows with the queries, not with queries times rows.
+
+Where ``exact`` is asked for, a check follows: one pass over all rows for every
+``BLOCK`` queries, the only data that is ever broadcast. The k-th distance found
+on the curves is the radius; a row is compared only if a lower bound of its
+distance (projection plus residual norms) is within it, and rows that the curves
+missed are added, so the answer equals brute force.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from pyspark.sql.window import Window
 
 from probloom.runtime import salted_rank, stored
 
-#: Entries of a key range, query vectors of a block, rows the projection is fitted on.
-BUCKET, BLOCK, FIT_ROWS = 8192, 2048, 2048
+#: Entries of a key range, query vectors of a block of the exact check, rows the projection is fitted on.
+BUCKET, BLOCK, FIT_ROWS = 8192, 4096, 2048
 CURVES, CURVE_DIMS, CURVE_BITS, ROTATED = 8, 10, 5, 24
 RANK_DIMS, BOUND_DIMS = 64, 128
-PER_WINDOW, RERANK = 16, 48
+PER_WINDOW, RERANK, RERANK_ROWS = 16, 24, 8192
 
 
 @dataclass
@@ -185,7 +186,7 @@ def build_index(df: DataFrame, id_col: str, vec_col: str, dim: int, lo: float, h
 
 
 def curve_candidates(index: VectorIndex, wanted: DataFrame, window: int = 64) -> DataFrame:
-    """(q, c): hashes of a query vector and of its ``RERANK`` best entries in the curve windows, itself included."""
+    """(q, c): hashes of a query vector, and of itself and its ``RERANK`` best entries in the curve windows."""
     spark = index.rows.sparkSession
     n = index.entries.count()
     ranges = max(1, math.ceil(n / BUCKET))
@@ -240,9 +241,9 @@ def curve_candidates(index: VectorIndex, wanted: DataFrame, window: int = 64) ->
 
     marked = index.entries.join(wanted.select(F.col("h"), F.lit(True).alias("asked")), "h", "left").select("h", "proj", "keys", F.coalesce("asked", F.lit(False)).alias("asked"))
     pairs = marked.mapInArrow(spread, fields).groupBy("curve", "bucket").applyInArrow(look, "q long, c long, d double")
-    best = pairs.groupBy("q", "c").agg(F.min("d").alias("d"))
+    best = pairs.where("q <> c").groupBy("q", "c").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
-    return best.withColumn("r", rank).where(F.col("r") <= RERANK).select("q", "c")
+    return best.withColumn("r", rank).where(F.col("r") <= RERANK).select("q", "c").unionByName(wanted.select(F.col("h").alias("q"), F.col("h").alias("c")))
 
 
 def _closest(d: np.ndarray, ids: np.ndarray, q: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
@@ -271,76 +272,102 @@ def _measure(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
+def reranked(index: VectorIndex, pairs: DataFrame, keep: int) -> DataFrame:
+    """(q, c, d): the squared distances of the pairs (q, c) of hashes, of each query the ``keep`` smallest and ties.
+
+    Each vector is sent once to its candidates and once a pair to its query;
+    copies of a vector are one entry.
+    """
+    dim, kind = index.dim, index.kind
+    pairs = pairs.select("q", "c")
+    needed = pairs.select(F.col("c").alias("h")).distinct()
+    vectors = index.rows.select("h", "vec").join(needed, "h", "left_semi").groupBy("h").agg(F.first("vec").alias("vec"))
+    parts = max(1, math.ceil(pairs.count() / RERANK_ROWS))
+
+    def near(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        q, c = np.asarray(group["q"]), np.asarray(group["c"])
+        x = np.vstack([matrix(v, dim, kind) for v in group["vec"].chunks])
+        own = np.nonzero(q == c)[0]
+        own = own[np.argsort(q[own])]
+        d = _measure(x, np.arange(len(q)), x, own[np.searchsorted(q[own], q)])
+        order = np.lexsort((d, q))
+        q, c, d = q[order], c[order], d[order]
+        first = np.searchsorted(q, q, side="left")
+        limit = d[np.minimum(first + keep, np.searchsorted(q, q, side="right")) - 1]
+        ok = d <= limit
+        return pa.table({"q": q[ok], "c": c[ok], "d": d[ok]})
+
+    met = pairs.join(vectors, F.col("c") == F.col("h")).select("q", "c", "vec", F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"))
+    return met.groupBy("part").applyInArrow(near, "q long, c long, d double")
+
+
+def exact_check(index: VectorIndex, wanted: DataFrame, found: DataFrame, keep: int) -> DataFrame:
+    """(q, id, d) of all rows within the ``keep``-th distance that ``found`` (q, id, d) has of each query, ``BLOCK`` queries at a time."""
+    spark, dim, kind, basis, mean = index.rows.sparkSession, index.dim, index.kind, index.basis, index.mean
+    numbered = stored(salted_rank(wanted.select("h").distinct(), [], [F.col("h")], "no"), "wanted")
+    of = stored(found.join(numbered.withColumnRenamed("h", "q"), "q").groupBy("no").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n")), "radius")
+    parts = []
+    for base in range(0, numbered.count(), BLOCK):
+        inside = (F.col("no") >= base) & (F.col("no") < base + BLOCK)
+        got = index.rows.join(F.broadcast(numbered.where(inside)), "h").groupBy("no").agg(F.first("vec").alias("vec")).orderBy("no").toArrow()  # at most BLOCK rows
+        y = np.vstack([matrix(c, dim, kind) for c in got["vec"].chunks if len(c)])
+        radius = np.full(len(y), np.inf)
+        for r in of.where(inside & (F.col("n") == keep)).collect():  # at most BLOCK rows
+            radius[r["no"] - base] = r["d"]
+        c = y.astype(np.float32) - mean
+        p = c @ basis
+        rest = np.sqrt(np.maximum((c * c).sum(1) - (p * p).sum(1), 0))
+        held = spark.sparkContext.broadcast((y, mean, basis, p, rest, radius))
+
+        def sweep(batches: Iterator[pa.RecordBatch], held=held, base=base) -> Iterator[pa.RecordBatch]:
+            y, mean, basis, p, rest, radius = held.value
+            pn, limit = (p * p).sum(1), radius * (1 + 1e-4) + 64
+            for batch in batches:
+                x, ids = matrix(batch.column(1), dim, kind), np.asarray(batch.column(0))
+                for at in range(0, len(x), 1024):
+                    part = x[at : at + 1024]
+                    c = part.astype(np.float32) - mean
+                    z = c @ basis
+                    zn = (z * z).sum(1)
+                    left = np.sqrt(np.maximum((c * c).sum(1) - zn, 0))
+                    low = zn[:, None] + pn[None] - 2 * (z @ p.T) + (left[:, None] - rest[None]) ** 2
+                    i, j = np.nonzero(low <= limit[None])
+                    if len(i):
+                        d = _measure(part, i, y, j)
+                        ok = d <= radius[j]
+                        yield _batch(*_closest(d[ok], ids[at : at + 1024][i[ok]], j[ok] + base, keep))
+
+        parts.append(stored(index.rows.select("id", "vec").mapInArrow(sweep, "no long, id long, d double"), "exact"))
+    out = parts[0] if parts else spark.createDataFrame([], "no long, id long, d double")
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.join(numbered.withColumnRenamed("h", "q"), "no").select("q", "id", "d")
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, exact: bool = False, window: int = 64) -> DataFrame:
-    """(query_id, neighbour_id, distance, rank): the k nearest other rows of every query id.
+    """(query_id, neighbour_id, distance, rank, by_curve): the k nearest other rows of every query id.
 
     ``queries`` has one column ``id``; ids that aren't valid vectors give no
     row, repeated ids count once. Equal distances rank by smaller id; copies of
     a vector are neighbours at distance 0. Fewer than k other rows give fewer.
+    ``by_curve``: the curves found the row; without ``exact`` they find all.
     """
-    spark, dim, kind = index.rows.sparkSession, index.dim, index.kind
-    asked = stored(queries.select(F.col("id").cast("long")).distinct().join(index.rows.select("id", "h").distinct(), "id"), "asked")
-    wanted = salted_rank(asked.select("h").distinct(), [], [F.col("h")], "no", 1 if asked.count() < 10_000 else 64)
-    wanted = stored(wanted, "wanted")
-    total = wanted.count()
-    pairs = stored(curve_candidates(index, wanted, window).join(wanted.withColumnRenamed("h", "q"), "q"), "pairs")
-    basis, mean, parts = index.basis, index.mean, []
-    result = "no long, id long, d double"
     keep = k + 1  # a query may meet itself
-    for block in range(max(1, math.ceil(total / BLOCK))):
-        inside = (F.col("no") >= block * BLOCK) & (F.col("no") < (block + 1) * BLOCK)
-        mine = wanted.where(inside)
-        got = index.rows.join(F.broadcast(mine), "h").groupBy("no").agg(F.first("vec").alias("vec")).orderBy("no").toArrow()  # at most BLOCK rows
-        y = np.vstack([matrix(c, dim, kind) for c in got["vec"].chunks if len(c)]) if len(got) else np.zeros((0, dim), kind)
-        held = spark.sparkContext.broadcast((y, block * BLOCK))
-
-        def rerank(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            y, base = held.value
-            for batch in batches:
-                x, ids, lists = matrix(batch.column(1), dim, kind), np.asarray(batch.column(0)), batch.column(2)
-                q = lists.flatten().to_numpy(zero_copy_only=False)
-                i = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
-                yield _batch(*_closest(_measure(x, i, y, q - base), ids[i], q, keep))
-
-        near = pairs.where(inside).groupBy(F.col("c").alias("h")).agg(F.collect_list("no").alias("nos"))  # at most BLOCK * RERANK numbers
-        found = _merged(index.rows.join(F.broadcast(near), "h").select("id", "vec", "nos").mapInArrow(rerank, result), keep)
-        if exact and len(y):
-            found = stored(found, "near")
-            radius = np.full(len(y), np.inf)
-            for r in found.groupBy("no").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n")).where(F.col("n") == keep).collect():  # at most BLOCK rows
-                radius[r["no"] - block * BLOCK] = r["d"]
-            c = y.astype(np.float32) - mean
-            p = c @ basis
-            rest = np.sqrt(np.maximum((c * c).sum(1) - (p * p).sum(1), 0))
-            bound = spark.sparkContext.broadcast((mean, basis, p, rest, radius))
-
-            def sweep(batches: Iterator[pa.RecordBatch], held=held, bound=bound) -> Iterator[pa.RecordBatch]:
-                (y, base), (mean, basis, p, rest, radius) = held.value, bound.value
-                pn, limit = (p * p).sum(1), radius * (1 + 1e-4) + 64
-                for batch in batches:
-                    x, ids = matrix(batch.column(1), dim, kind), np.asarray(batch.column(0))
-                    for at in range(0, len(x), 1024):
-                        part = x[at : at + 1024]
-                        c = part.astype(np.float32) - mean
-                        z = c @ basis
-                        zn = (z * z).sum(1)
-                        left = np.sqrt(np.maximum((c * c).sum(1) - zn, 0))
-                        low = zn[:, None] + pn[None] - 2 * (z @ p.T) + (left[:, None] - rest[None]) ** 2
-                        i, j = np.nonzero(low <= limit[None])
-                        if len(i):
-                            d = _measure(part, i, y, j)
-                            ok = d <= radius[j]
-                            yield _batch(*_closest(d[ok], ids[at : at + 1024][i[ok]], j[ok] + base, keep))
-
-            found = _merged(index.rows.select("id", "vec").mapInArrow(sweep, result), keep)
-            found = stored(found, "exact")
-        parts.append(found)
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
-    out = asked.withColumnRenamed("id", "query_id").join(wanted, "h").join(found, "no").where(F.col("id") != F.col("query_id"))
+    asked = stored(queries.select(F.col("id").cast("long")).distinct().join(index.rows.select("id", "h").distinct(), "id"), "asked")
+    wanted = stored(asked.select("h").distinct(), "wanted")
+    pairs = stored(curve_candidates(index, wanted, window), "pairs")
+    near = stored(reranked(index, pairs, keep), "near")
+    # Of copies the smallest ids are enough.
+    some = index.rows.select("id", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= keep)
+    found = _merged(near.join(some, F.col("c") == F.col("h")).select("q", "id", "d"), keep).withColumn("by_curve", F.lit(True))
+    if exact:
+        found = stored(found, "found")
+        missed = exact_check(index, wanted, found, keep).join(found.select("q", "id"), ["q", "id"], "left_anti").withColumn("by_curve", F.lit(False))
+        found = _merged(found.unionByName(missed), keep)
+    out = asked.withColumnRenamed("id", "query_id").join(found, F.col("h") == F.col("q")).where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias("neighbour_id"), F.sqrt("d").alias("distance"), "rank")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias("neighbour_id"), F.sqrt("d").alias("distance"), "rank", "by_curve")
 
 
 def _batch(q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -348,7 +375,8 @@ def _batch(q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 
 
 def _merged(df: DataFrame, keep: int) -> DataFrame:
-    """The best of every query over all tasks."""
-    once = df.groupBy("no", "id").agg(F.min("d").alias("d"))
-    rank = F.row_number().over(Window.partitionBy("no").orderBy("d", "id"))
+    """The best of every query; rows of all tasks, each id once."""
+    rest = [c for c in df.columns if c not in ("q", "id")]
+    once = df.groupBy("q", "id").agg(*[F.min(c).alias(c) for c in rest])
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
     return once.withColumn("r", rank).where(F.col("r") <= keep).drop("r")

@@ -61,6 +61,14 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(index, index.rows.select("id").where(F.col("id") % 20 == 0), 10).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("p5_recall")
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest images of every image whose id is divisible by 20 the curves find, by rank."""
+    index = _image_index(spark, sf_dir)
+    found = neighbours.search(index, index.rows.select("id").where(F.col("id") % 20 == 0), 10, exact=True)
+    return found.groupBy("rank").agg(F.count(F.lit(1)).alias("queries"), F.count_if("by_curve").alias("found"), F.round(F.avg(F.col("by_curve").cast("int")), 6).alias("recall"))
+
+
 # --- overlaps across splits -------------------------------------------------
 
 #: Milligrams per decilitre of one mmol/L of glucose.
