@@ -56,3 +56,10 @@ def test_empty(spark):
     df = spark.createDataFrame([], DDL)
     pairs = O.cross_split_pairs(df, FIELDS)
     assert pairs.count() == 0 and O.overlap_report(df, pairs).count() == 0
+
+
+def test_texts_agree_in_canonical_form(spark):
+    a = [(1, "train", "s", 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0, "The melt,  run No 4!"), (2, "test", "s", 10.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0, " the MELT run\u00a0no. 4"), (3, "valid", "s", 10.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0, "the melt run no 5"), (4, "valid", "s", 10.0, 1.004, 1.0, 1.0, 1.0, 1.0, 0, "the melt: run no 4")]
+    got = O.cross_split_pairs(spark.createDataFrame(a, DDL), FIELDS, texts=("exact",)).collect()
+    assert {(r["record_a"], r["record_b"], r["exact"]) for r in got} == {(1, 2, True), (1, 4, False)}
+    assert [r[0] for r in spark.createDataFrame([("...",), (None,), ("A--b",)], "t string").select(O.canonical(O.F.col("t"))).collect()] == [None, None, "a b"]
