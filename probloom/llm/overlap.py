@@ -46,15 +46,15 @@ def _hashed(rows: DataFrame, groups: list[list[Feature]], band: int, window_s: i
     used = [f for g in (BANDS[band] if band < COPIES else range(3)) for f in groups[g]]
     near = [f for f in used if f.tolerance and band < COPIES]
     values = [("at", float(window_s), 4.0 * window_s)] + [(f.name, f.tolerance * 1.001, CELL * f.tolerance) for f in near]
-    exact = ["texts", *[f.name for f in used if f not in near]]
+    exact = ["whole"] if band == COPIES else ["texts", *[f.name for f in used if f not in near]]
     rest = [f for g in {0, 1, 2} - set(BANDS[band % COPIES]) for f in groups[g]]
     spoilt = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in rest], F.lit(False))
     out = rows.where(reduce(lambda a, b: a & b, [F.col(f.name).isNotNull() for f in used], F.lit(True)))
     cell = lambda name, by, width: F.floor((F.col(name) + F.lit(by)) / F.lit(width))
     if not probe:
-        return out.select(F.xxhash64(*[cell(name, 0.0, width) for name, _, width in values], *exact).alias("h"), F.col("record_id").alias("id"), "at", "whole", spoilt.alias("spoilt"))
+        return out.select(F.xxhash64(*[cell(name, 0.0, width) for name, _, width in values], *exact).alias("h"), F.col("record_id").alias("id"), "at", spoilt.alias("spoilt"))
     low, two = [f"__l{i}" for i in range(len(values))], [f"__t{i}" for i in range(len(values))]
-    out = out.select("record_id", "at", "whole", spoilt.alias("spoilt"), *exact, *[cell(name, -reach, width).alias(c) for c, (name, reach, width) in zip(low, values)], *[(cell(name, reach, width) - cell(name, -reach, width)).cast("int").alias(c) for c, (name, reach, width) in zip(two, values)])
+    out = out.select("record_id", "at", spoilt.alias("spoilt"), *exact, *[cell(name, -reach, width).alias(c) for c, (name, reach, width) in zip(low, values)], *[(cell(name, reach, width) - cell(name, -reach, width)).cast("int").alias(c) for c, (name, reach, width) in zip(two, values)])
     # A number for each choice of cells: its bits go to the values that touch two.
     total = reduce(lambda a, b: a + b, [F.col(c) for c in two])
     out = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), total) - 1)).alias("__n"))
@@ -62,7 +62,7 @@ def _hashed(rows: DataFrame, groups: list[list[Feature]], band: int, window_s: i
     for l, t in zip(low, two):
         cells.append(F.col(l) + F.col(t) * F.call_function("getbit", F.col("__n"), bit).cast("long"))
         bit = bit + F.col(t)
-    return out.select(F.xxhash64(*cells, *exact).alias("h"), F.col("record_id").alias("id"), "at", "whole", "spoilt")
+    return out.select(F.xxhash64(*cells, *exact).alias("h"), F.col("record_id").alias("id"), "at", "spoilt")
 
 
 def cross_split_pairs(records: DataFrame, fields: list[Feature], window_hours: int = 48, texts: tuple[str, ...] = ()) -> DataFrame:
@@ -90,7 +90,6 @@ def cross_split_pairs(records: DataFrame, fields: list[Feature], window_hours: i
     for band in (*range(len(BANDS)), COPIES):
         a, b = _hashed(train, groups, band, window_s, False).alias("a"), _hashed(other, groups, band, window_s, True).alias("b")
         on = (F.col("a.h") == F.col("b.h")) & (F.abs(F.col("a.at") - F.col("b.at")) <= window_s)
-        on &= F.col("a.whole") == F.col("b.whole") if band == COPIES else F.coalesce(F.col("a.whole") != F.col("b.whole"), F.lit(True))
         # Bands after the first are for pairs of which one misses a field of the group left out: few records on one side.
         sides = [(a, b)] if band in (0, COPIES) else [(a.where("spoilt"), b), (a.where("NOT spoilt"), b.where("spoilt"))]
         met += [p.join(q, on).select(F.lit(band).alias("band"), F.col("a.id").alias("x"), F.col("b.id").alias("y")) for p, q in sides]
