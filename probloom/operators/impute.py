@@ -12,8 +12,13 @@ Similar means: of the same group first. Numeric fields are centred on the mean
 of their group (shrunk to the overall mean where the group is small), and each
 group has its own component weights when cells are filled.
 
-The start is fitted on ``START_ROWS`` rows of smallest hash; every later round,
-the group statistics and the filling cover all rows.
+The start is fitted to the end on ``START_ROWS`` rows of smallest hash; then
+rounds over all rows follow until the log-likelihood gains less than
+``TOLERANCE`` of itself. The group statistics and the filling cover all rows.
+
+Rows are taken by the pattern of their missing cells: sums over the observed
+cells of a pattern are enough, as the expectations of the missing ones are linear
+in them.
 """
 
 from __future__ import annotations
@@ -26,61 +31,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from probloom.runtime import stored
+from probloom.runtime import beside, stored
 from probloom.schema import Feature, known
 
 #: Rows of the start, weight of the overall mean and weights against a group's own, least variance in units of the field's.
 START_ROWS, GROUP_PRIOR, RIDGE = 4096, 20.0, 1e-3
-COMPONENTS, ROUNDS, TOLERANCE = 6, 12, 1e-4
+COMPONENTS, TOLERANCE = 6, 1e-4
 
 
 @dataclass
 class Mixture:
-    """Weights (k), means (k, d), covariances (k, d, d) and one table (k, codes) per categorical field."""
+    """Weights (k), means (k, d), covariances (k, d, d) and one table (k, codes) per categorical field; rounds over all rows and the last gain."""
 
     weights: np.ndarray
     means: np.ndarray
     covs: np.ndarray
     tables: list[np.ndarray] = field(default_factory=list)
+    rounds: int = 0
+    gain: float = math.inf
+
 
+@dataclass
+class Pattern:
+    """The rows that miss the same numbers: observed and missing fields, rows less each mean, and the regression of the missing on the observed."""
 
-def log_joint(m: Mixture, x: np.ndarray, cats: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row and component: log density of the observed cells, and expectation of all numeric cells.
+    rows: np.ndarray
+    seen: np.ndarray
+    gone: np.ndarray
+    off: np.ndarray  # (k, rows, seen)
+    gain: np.ndarray  # (k, gone, seen)
+    rest: np.ndarray  # (k, gone, gone), the covariance left
 
-    Also the pattern of missing cells of each row and the conditional covariances of each pattern.
-    NaN marks a missing number, -1 a missing code.
-    """
+
+def log_joint(m: Mixture, x: np.ndarray, cats: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, list[Pattern]]:
+    """Log density of the observed cells per row and component, and the patterns of the rows. NaN marks a missing number, -1 a missing code."""
     n, d = x.shape
-    k = len(m.weights)
-    ll = np.log(np.maximum(m.weights if prior is None else prior, 1e-300)) + np.zeros((n, k))
-    fill = np.broadcast_to(m.means[None], (n, k, d)).copy()
+    ll = np.log(np.maximum(m.weights if prior is None else prior, 1e-300)) + np.zeros((n, len(m.weights)))
     gone = np.isnan(x)
+    patterns = []
     code = gone @ (1 << np.arange(d)) if d else np.zeros(n, int)
-    patterns, which = np.unique(code, return_inverse=True)
-    covs = np.zeros((len(patterns), k, d, d))
-    for p in range(len(patterns)):
-        rows = np.nonzero(which == p)[0]
-        o = np.nonzero(~gone[rows[0]])[0]
-        u = np.nonzero(gone[rows[0]])[0]
-        seen = x[np.ix_(rows, o)]
-        fill[np.ix_(rows, range(k), o)] = seen[:, None]
-        for j in range(k):
-            if len(o):
-                inv = np.linalg.inv(m.covs[j][np.ix_(o, o)])
-                _, logdet = np.linalg.slogdet(m.covs[j][np.ix_(o, o)])
-                off = seen - m.means[j, o]
-                ll[rows, j] -= 0.5 * ((off @ inv * off).sum(1) + logdet + len(o) * math.log(2 * math.pi))
-                if len(u):
-                    gain = m.covs[j][np.ix_(u, o)] @ inv
-                    fill[np.ix_(rows, [j], u)] = (m.means[j, u] + off @ gain.T)[:, None]
-                    covs[np.ix_([p], [j], u, u)] = m.covs[j][np.ix_(u, u)] - gain @ m.covs[j][np.ix_(o, u)]
-            else:
-                covs[p, j] = m.covs[j]
+    order = np.argsort(code, kind="stable")
+    for rows in np.split(order, np.nonzero(np.diff(code[order]))[0] + 1) if n else []:
+        o, u = np.nonzero(~gone[rows[0]])[0], np.nonzero(gone[rows[0]])[0]
+        off = x[np.ix_(rows, o)][None] - m.means[:, None, o]
+        root = np.linalg.cholesky(m.covs[:, o[:, None], o])
+        back = np.linalg.inv(root)
+        white = off @ back.transpose(0, 2, 1)
+        ll[rows] -= 0.5 * ((white * white).sum(2) + (2 * np.log(np.diagonal(root, axis1=1, axis2=2)).sum(1) + len(o) * math.log(2 * math.pi))[:, None]).T
+        across = m.covs[:, u[:, None], o]
+        gain = across @ (back.transpose(0, 2, 1) @ back)
+        patterns.append(Pattern(rows, o, u, off, gain, m.covs[:, u[:, None], u] - gain @ across.transpose(0, 2, 1)))
     for c, table in enumerate(m.tables):
         seen = cats[:, c] >= 0
         ll[seen] += np.log(np.maximum(table[:, cats[seen, c]].T, 1e-300))
-    return ll, fill, which, covs
+    return ll, patterns
+
+
+def expected(m: Mixture, x: np.ndarray, r: np.ndarray, patterns: list[Pattern]) -> np.ndarray:
+    """The rows with their missing numbers at the conditional expectation."""
+    out = x.copy()
+    for p in patterns:
+        if len(p.gone):
+            fill = m.means[:, None, p.gone] + p.off @ p.gain.transpose(0, 2, 1)
+            out[np.ix_(p.rows, p.gone)] = np.einsum("nk,knu->nu", r[p.rows], fill)
+    return out
 
 
 def responsibilities(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +107,24 @@ def responsibilities(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def statistics(m: Mixture, x: np.ndarray, cats: np.ndarray) -> np.ndarray:
-    """Sums of one batch: log-likelihood, rows, weights, first and second moments, code counts; flat."""
-    ll, fill, which, covs = log_joint(m, x, cats)
+    """Sums of one batch: log-likelihood, rows, weights, first and second moments about the means, code counts; flat."""
+    ll, patterns = log_joint(m, x, cats)
     r, logs = responsibilities(ll)
-    by_pattern = np.zeros((len(covs), r.shape[1]))
-    np.add.at(by_pattern, which, r)
-    first = np.einsum("nk,nkd->kd", r, fill)
-    second = np.stack([(fill[:, j] * r[:, j, None]).T @ fill[:, j] for j in range(r.shape[1])]) + np.einsum("pk,pkde->kde", by_pattern, covs)
+    k, d = m.means.shape
+    first, second = np.zeros((k, d)), np.zeros((k, d, d))  # about the means
+    for p in patterns:
+        w = r[p.rows].T
+        one = (w[:, None] @ p.off)[:, 0]
+        two = (p.off * w[:, :, None]).transpose(0, 2, 1) @ p.off
+        o, u = p.seen, p.gone
+        first[:, o] += one
+        second[:, o[:, None], o] += two
+        if len(u):
+            first[:, u] += (p.gain @ one[:, :, None])[:, :, 0]
+            mixed = p.gain @ two
+            second[:, u[:, None], o] += mixed
+            second[:, o[:, None], u] += mixed.transpose(0, 2, 1)
+            second[:, u[:, None], u] += mixed @ p.gain.transpose(0, 2, 1) + w.sum(1)[:, None, None] * p.rest
     out = [np.array([logs.sum(), len(x)]), r.sum(0), first.ravel(), second.ravel()]
     for c, table in enumerate(m.tables):
         counts = np.zeros_like(table)
@@ -118,8 +145,9 @@ def updated(m: Mixture, sums: np.ndarray) -> Mixture:
     at += k * d
     second = sums[at : at + k * d * d].reshape(k, d, d)
     at += k * d * d
-    means = first / w[:, None]
-    covs = second / w[:, None, None] - means[:, :, None] * means[:, None, :]
+    step = first / w[:, None]
+    means = m.means + step
+    covs = second / w[:, None, None] - step[:, :, None] * step[:, None, :]
     # A weak prior of unit variance keeps thin components regular.
     covs = (covs * w[:, None, None] + np.eye(d)) / (w + 1)[:, None, None] + RIDGE * np.eye(d)
     tables = []
@@ -143,8 +171,13 @@ def start(x: np.ndarray, cats: np.ndarray, codes: list[int], k: int) -> Mixture:
         far = np.min([((filled - c) ** 2).sum(1) for c in centres], axis=0) + 1e-12
         centres.append(filled[seed.choice(len(filled), p=far / far.sum())])
     m = Mixture(np.full(k, 1 / k), np.array(centres).reshape(k, d), np.stack([np.eye(d)] * k), [np.full((k, c), 1 / c) for c in codes])
-    for _ in range(8 if len(x) else 0):
-        m = updated(m, statistics(m, x, cats))
+    last = -math.inf
+    while len(x):
+        sums = statistics(m, x, cats)
+        m = updated(m, sums)
+        if not abs(sums[0] - last) > 0.1 * TOLERANCE * abs(sums[0]):
+            break
+        last = sums[0]
     return m
 
 
@@ -154,13 +187,13 @@ def _arrays(batch: pa.RecordBatch, numbers: int, kinds: int) -> tuple[np.ndarray
     return x, c
 
 
-def fit(rows: DataFrame, numbers: list[str], kinds: list[str], codes: list[int], components: int = COMPONENTS, rounds: int = ROUNDS) -> Mixture:
-    """Fit on all rows; ``numbers`` are centred and scaled columns, ``kinds`` code positions, NULL where missing."""
+def fit(rows: DataFrame, numbers: list[str], kinds: list[str], codes: list[int], components: int = COMPONENTS) -> Mixture:
+    """Fit on all rows; ``numbers`` are centred and scaled columns, ``kinds`` code positions, NULL where missing; ``__o`` orders the rows of the start."""
     cols = [*numbers, *kinds]
-    head = rows.orderBy(F.xxhash64("__id")).limit(START_ROWS).select(*cols).toArrow().combine_chunks().to_batches()
+    head = rows.orderBy("__o").limit(START_ROWS).select(*cols).toArrow().combine_chunks().to_batches()
     x, c = _arrays(head[0], len(numbers), len(kinds)) if head else (np.zeros((0, len(numbers))), np.zeros((0, len(kinds)), int))
     model, last = start(x, c, codes, components), -math.inf
-    for _ in range(rounds):
+    while True:
         held = rows.sparkSession.sparkContext.broadcast(model)
 
         def reduce_(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -174,11 +207,11 @@ def fit(rows: DataFrame, numbers: list[str], kinds: list[str], codes: list[int],
         sums = rows.select(*cols).mapInArrow(reduce_, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
         if not len(sums):
             return model
-        model = updated(model, sums)
-        if abs(sums[0] - last) < TOLERANCE * abs(sums[0]):
-            break
-        last = sums[0]
-    return model
+        rounds, gain = model.rounds + 1, float((sums[0] - last) / max(abs(sums[0]), 1e-300))
+        model, last = updated(model, sums), sums[0]
+        model.rounds, model.gain = rounds, gain
+        if not abs(gain) >= TOLERANCE:
+            return model
 
 
 def fill_missing(
@@ -208,27 +241,36 @@ def fill_missing(
     over = base.agg(*[F.avg(x).alias(f"{x}_m") for x in xs], *[F.stddev_pop(x).alias(f"{x}_s") for x in xs]).first()
     mean = [over[f"{x}_m"] if over[f"{x}_m"] is not None else (f.lo + f.hi) / 2 for x, f in zip(xs, numeric)]
     scale = [over[f"{x}_s"] or 1.0 for x in xs]
+    rows_in = base.count()
     groups = base.groupBy("__g").agg(*[((F.coalesce(F.sum(x), F.lit(0.0)) + F.lit(GROUP_PRIOR * m)) / (F.count(x) + F.lit(GROUP_PRIOR))).alias(f"{x}_g") for x, m in zip(xs, mean)])
-    centred = base.join(groups.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h")))
+    groups = stored(groups.withColumnRenamed("__g", "__h"), "groups")
     scaled = [((F.col(x) - F.col(f"{x}_g")) / F.lit(s)).alias(f"z{i}") for i, (x, s) in enumerate(zip(xs, scale))]
     zs, cs = [f"z{i}" for i in range(len(xs))], [f"__c{i}" for i in range(len(cat))]
-    rows = stored(centred.select("__id", "__g", *scaled, *[F.col(f"{x}_g") for x in xs], *cs), "scaled")
+    rows = beside(base.select("__id", "__g", *xs, *cs), groups, "__g", F.col("__id"), rows_in)
+    rows = stored(rows.select(F.xxhash64("__id").alias("__o"), "__g", *scaled, *cs), "scaled")
     model = fit(rows, zs, cs, [len(f.codes) for f in categorical], components)
     held = spark.sparkContext.broadcast(model)
     k = len(model.weights)
+    rs = [f"r{j}" for j in range(k)]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Responsibilities summed by the groups of a batch."""
         for batch in batches:
             r, _ = responsibilities(log_joint(held.value, *_arrays(batch, len(zs), len(cs)))[0])
-            yield pa.RecordBatch.from_arrays([batch.column(len(zs) + len(cs)), *[pa.array(r[:, j]) for j in range(k)]], ["__g", *[f"r{j}" for j in range(k)]])
-
-    share = rows.select(*zs, *cs, "__g").mapInArrow(weigh, "__g string, " + ", ".join(f"r{j} double" for j in range(k))).groupBy("__g").agg(*[(F.sum(f"r{j}") + F.lit(float(GROUP_PRIOR * model.weights[j]))).alias(f"p{j}") for j in range(k)])
-    share = share.withColumnRenamed("__g", "__h")
+            named = batch.column(len(zs) + len(cs)).dictionary_encode(null_encoding="encode")
+            at = np.asarray(named.indices)
+            total = np.stack([np.bincount(at, r[:, j], len(named.dictionary)) for j in range(k)])
+            yield pa.RecordBatch.from_arrays([named.dictionary, *[pa.array(t) for t in total]], ["__g", *rs])
+
+    share = rows.select(*zs, *cs, "__g").mapInArrow(weigh, "__g string, " + ", ".join(f"{r} double" for r in rs)).groupBy("__g")
+    share = share.agg(*[(F.sum(r) + F.lit(float(GROUP_PRIOR * w))).alias(f"p{j}") for j, (r, w) in enumerate(zip(rs, model.weights))])
+    small = stored(groups.join(share, F.col("__g").eqNullSafe(F.col("__h"))).drop("__g"), "group-weights")
     incomplete = F.lit(False)
     for t in targets:
-        incomplete = incomplete | F.col(f"z{num.index(t)}" if t in num else f"__c{cat.index(t)}").isNull()
-    todo = rows.where(incomplete).join(share, F.col("__g").eqNullSafe(F.col("__h")))
-    id_type = dict(df.dtypes)[id_col]
+        incomplete = incomplete | F.col(f"__x{num.index(t)}" if t in num else f"__c{cat.index(t)}").isNull()
+    todo = beside(base.where(incomplete), small, "__g", F.col("__id"), rows_in)
+    kept = [*own.values(), *xs, *cs]
+    fills = [f"__f{i}" for i in range(len(targets))]
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -237,10 +279,11 @@ def fill_missing(
             at = len(zs) + len(cs)
             prior = np.stack([np.asarray(batch.column(at + j)) for j in range(k)], 1)
             centre = np.stack([np.asarray(batch.column(at + k + i)) for i in range(len(zs))], 1) if zs else np.zeros((batch.num_rows, 0))
-            ll, fill, _, _ = log_joint(m, x, c, prior / prior.sum(1, keepdims=True))
+            at += k + len(zs)
+            ll, patterns = log_joint(m, x, c, prior / prior.sum(1, keepdims=True))
             r, _ = responsibilities(ll)
-            guess = np.einsum("nk,nkd->nd", r, fill) * np.array(scale) + centre
-            out = [batch.column(batch.num_columns - 1)]
+            guess = expected(m, x, r, patterns) * np.array(scale) + centre
+            out = [batch.column(at + i) for i in range(len(kept))]
             for t in targets:
                 if t in num:
                     f = numeric[num.index(t)]
@@ -251,10 +294,12 @@ def fill_missing(
                 else:
                     i = cat.index(t)
                     out.append(pa.array(np.array(categorical[i].codes, float)[(r @ m.tables[i]).argmax(1)]))
-            yield pa.RecordBatch.from_arrays(out, ["__i", *[f"__f{i}" for i in range(len(targets))]])
+            yield pa.RecordBatch.from_arrays(out, [*kept, *fills])
 
-    fills = todo.select(*zs, *cs, *[f"p{j}" for j in range(k)], *[f"{x}_g" for x in xs], F.col("__id").alias("__i")).mapInArrow(complete, f"__i {id_type}, " + ", ".join(f"__f{i} double" for i in range(len(targets))))
-    joined = base.join(fills, F.col("__id").eqNullSafe(F.col("__i")), "left")
+    # Incomplete records alone pass through the model, with all their columns, so nothing is joined by record.
+    shape = StructType([*base.select(*kept).schema.fields, *[StructField(f, DoubleType()) for f in fills]])
+    done = todo.select(*scaled, *[F.col(c) for c in cs], *[f"p{j}" for j in range(k)], *[f"{x}_g" for x in xs], *kept).mapInArrow(complete, shape)
+    joined = base.where(~incomplete).select(*kept, *[F.lit(None).cast("double").alias(f) for f in fills]).unionByName(done)
     out = []
     for c in df.columns:
         if c in targets:

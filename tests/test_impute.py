@@ -67,3 +67,46 @@ def test_em_raises_the_likelihood():
         s = I.statistics(m, x, c)
         assert s[0] > last - 1.0  # the weak prior may cost a little
         last, m = s[0], I.updated(m, s)
+
+
+def test_statistics_equal_row_by_row_expectations():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 3))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    cats = rng.integers(-1, 2, (60, 1))
+    root = rng.normal(0, 1, (2, 3, 3))
+    m = I.Mixture(np.array([0.3, 0.7]), rng.normal(0, 1, (2, 3)), root @ root.transpose(0, 2, 1) + np.eye(3), [np.array([[0.2, 0.8], [0.6, 0.4]])])
+    got = I.statistics(m, x, cats)
+    ll, w, first, second, filled = 0.0, np.zeros(2), np.zeros((2, 3)), np.zeros((2, 3, 3)), []
+    for v, c in zip(x, cats[:, 0]):
+        o, u = np.nonzero(~np.isnan(v))[0], np.nonzero(np.isnan(v))[0]
+        p, mean, cov = np.zeros(2), [], []
+        for j in range(2):
+            s = m.covs[j][np.ix_(o, o)]
+            off = v[o] - m.means[j, o]
+            p[j] = m.weights[j] * np.exp(-0.5 * off @ np.linalg.solve(s, off)) / np.sqrt(np.linalg.det(2 * np.pi * s)) * (m.tables[0][j, c] if c >= 0 else 1)
+            full, rest, g = v.copy(), np.zeros((3, 3)), m.covs[j][np.ix_(u, o)] @ np.linalg.inv(s)
+            full[u] = m.means[j, u] + g @ off
+            rest[np.ix_(u, u)] = m.covs[j][np.ix_(u, u)] - g @ m.covs[j][np.ix_(o, u)]
+            mean.append(full)
+            cov.append(rest)
+        ll += np.log(p.sum())
+        p /= p.sum()
+        filled.append(sum(p[j] * mean[j] for j in range(2)))
+        for j in range(2):
+            w[j] += p[j]
+            first[j] += p[j] * (mean[j] - m.means[j])
+            second[j] += p[j] * (np.outer(mean[j] - m.means[j], mean[j] - m.means[j]) + cov[j])
+    assert np.allclose(got[:4], [ll, 60, *w]) and np.allclose(got[4:10], first.ravel()) and np.allclose(got[10:28], second.ravel())
+    lj, patterns = I.log_joint(m, x, cats)
+    assert np.allclose(I.expected(m, x, I.responsibilities(lj)[0], patterns), filled)
+
+
+def test_many_groups_are_joined_with_salts(spark, monkeypatch):
+    from probloom import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(runtime, "SALT_ROWS", 40)
+    rows = [(i, f"g{i % 7}" if i % 5 else None, float(i % 9), None if i % 4 == 0 else float(i % 3), i % 2) for i in range(300)]
+    out = fill(frame(spark, rows)).collect()
+    assert len(out) == 300 and all(r["y"] is not None for r in out)
