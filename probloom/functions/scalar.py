@@ -182,19 +182,46 @@ def interpolate(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
     """Piecewise-linear interpolation, constant beyond the ends."""
     if len(xs) == 1:
         return F.when(x.isNotNull(), lit(ys[0]))
-    gx, gy = F.array(*[lit(v) for v in xs]), F.array(*[lit(v) for v in ys])
-    i = F.least(F.greatest(F.size(F.filter(gx, lambda v: v <= x)), F.lit(1)), F.lit(len(xs) - 1))
-    x0, x1, y0, y1 = F.element_at(gx, i), F.element_at(gx, i + 1), F.element_at(gy, i), F.element_at(gy, i + 1)
-    return F.when(x <= xs[0], lit(ys[0])).when(x >= xs[-1], lit(ys[-1])).when(x.isNotNull(), y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+
+    def line(i: int) -> Column:
+        slope = (ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i])
+        return lit(ys[i]) + lit(slope) * (x - lit(xs[i]))
+
+    def between(lo: int, hi: int) -> Column:
+        """The line of the piece among lo..hi-1 that holds x, by halving."""
+        if hi - lo == 1:
+            return line(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < lit(xs[mid]), between(lo, mid)).otherwise(between(mid, hi))
+
+    return F.when(x <= xs[0], lit(ys[0])).when(x >= xs[-1], lit(ys[-1])).when(x.isNotNull(), between(0, len(xs) - 1))
 
 
 def bin_index(x: Column, edges: Sequence[float]) -> Column:
-    """Bin from 0 of right-open bins, the last one closed; NULL outside."""
-    e = F.array(*[lit(v) for v in edges])
-    inner = F.size(F.filter(e, lambda v: v <= x)) - 1
+    """Bin from 0 of right-open bins, the last one closed; NULL outside.
+
+    Edges of equal distance give the bin by division, put right by one look at
+    its own edges; others by halving.
+    """
+    e, n = [float(v) for v in edges], len(edges) - 1
+    width = (e[-1] - e[0]) / n if n else 0.0
+    if n > 2 and width > 0 and all(abs(v - (e[0] + i * width)) < 1e-3 * width for i, v in enumerate(e)):
+        at = F.expr("array(" + ",".join(f"{v!r}D" for v in e) + ")")
+        i = F.least(F.greatest(F.floor((x - lit(e[0])) / lit(width)).cast("int"), F.lit(0)), F.lit(n - 1))
+        inner = i + F.when(F.get(at, i) > x, F.lit(-1)).when((F.get(at, i + 1) <= x) & (i < n - 1), F.lit(1)).otherwise(F.lit(0))
+    else:
+        inner = _halved(x, e, 0, n)
     return F.when((x >= edges[0]) & (x < edges[-1]), inner).when(x == edges[-1], F.lit(len(edges) - 2))
 
 
+def _halved(x: Column, edges: Sequence[float], lo: int, hi: int) -> Column:
+    """The i of lo..hi-1 with edges[i] <= x < edges[i + 1]."""
+    if hi - lo <= 1:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x < lit(edges[mid]), _halved(x, edges, lo, mid)).otherwise(_halved(x, edges, mid, hi))
+
+
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 

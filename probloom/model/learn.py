@@ -7,17 +7,24 @@ dependence features, a few for clustering and one that writes the new row
 clusters. Each row carries, per column, the slice that owns that cell, so sibling
 slices over different columns cluster their rows independently.
 
-What reaches the driver is bounded by the number of slices: moments, at most
-``SAMPLE`` rows of each slice (for starts of clusterings, random choices,
-distance correlation, medoids and density), ``QUANTILES`` quantiles a column,
-contingency tables and leaf histograms of at most ``FINE_BINS`` cells.
+That is how slices of more than ``LOCAL_CELLS`` cells are split. A slice within
+that bound is sent whole to one task, which learns its part of the model by the
+same steps in memory; tasks work on such slices side by side, and only their
+models come back. No rows of theirs reach the driver.
+
+What reaches the driver of larger slices is bounded by their number, at most the
+rows over the bound: moments, ``SAMPLE`` rows of each (for starts of clusterings,
+random choices, distance correlation, medoids and density), ``QUANTILES``
+quantiles a column, contingency tables and leaf histograms of at most
+``FINE_BINS`` cells.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +39,12 @@ from probloom.operators.distances import gower_matrix, medoids
 from probloom.operators.graphs import above, significant
 from probloom.operators.histograms import FINE_BINS, domain_edges, leaf_of
 from probloom.operators.metrics import adjusted_mutual_information
-from probloom.runtime import stored
+from probloom.runtime import freed, stored
 
-#: Rows of a slice that may reach the driver, most values of a discrete column, rounds of k-means.
+#: Rows of a large slice that may reach the driver, most values of a discrete column, rounds of k-means.
 SAMPLE, MOST_VALUES, LLOYD = 2000, 2000, 5
+#: Cells (rows times columns) of a slice that one task learns in memory.
+LOCAL_CELLS = 1_000_000
 #: Quantiles that stand for the distribution of a column in a slice of more than SAMPLE rows, most cells of a modal histogram.
 QUANTILES, MODAL_CELLS = 2048, 4096
 
@@ -59,7 +68,6 @@ class Settings:
     smoothing: float = 1.0
     prior_weight: float = 0.01
     seed: int = 17
-    most_levels: int = 40
 
 
 @dataclass
@@ -86,30 +94,6 @@ def _owner(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return x, s, np.asarray(batch.column(2 * d))
 
 
-def _sums(data: DataFrame, d: int, parts: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]], first: dict[int, int]) -> dict[int, np.ndarray]:
-    """Per slice the sum over its rows of a flat vector of statistics."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            x, s, h = _owner(b, d)
-            for no, f in parts.items():
-                mine = s[:, first[no]] == no
-                if mine.any():
-                    v = f(x[mine], h[mine])
-                    total[no] = total[no] + v if no in total else v
-        for no, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), no, np.int64)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float))], ["no", "i", "v"])
-
-    got = data.mapInArrow(run, "no long, i int, v double").groupBy("no", "i").agg(F.sum("v").alias("v")).toPandas()
-    out: dict[int, np.ndarray] = {}
-    for no, g in got.groupby("no"):
-        v = np.zeros(int(g["i"].max()) + 1)
-        v[g["i"].to_numpy()] = g["v"].to_numpy()
-        out[int(no)] = v
-    return out
-
-
 def _numbered(base: DataFrame, own: list[str]) -> DataFrame:
     """The rows with a hash ``h`` of their values and their number among equal rows, so that equal rows are drawn one by one.
 
@@ -121,79 +105,197 @@ def _numbered(base: DataFrame, own: list[str]) -> DataFrame:
     return rows.select(*own, *[F.lit(0).cast("long").alias(f"s{x[1:]}") for x in own], F.xxhash64(*own, "__i").alias("h"))
 
 
-def _samples(data: DataFrame, d: int, slices: list[Slice]) -> None:
-    """The ``SAMPLE`` rows of smallest hash of each slice."""
-    share = {s.no: min(1.0, (SAMPLE + 6 * math.sqrt(SAMPLE)) / max(s.rows, 1)) for s in slices}
-    first = {s.no: s.features[0] for s in slices}
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return (h.astype(np.uint64) % np.uint64(1 << 30)).astype(float) / (1 << 30)
 
-    def uniform(h: np.ndarray) -> np.ndarray:
-        return (h.astype(np.uint64) % np.uint64(1 << 30)).astype(float) / (1 << 30)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, s, h = _owner(b, d)
-            u = uniform(h)
-            for no in share:
-                mine = (s[:, first[no]] == no) & (u < share[no])
-                if mine.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), no, np.int64)), pa.array(h[mine]), pa.FixedSizeListArray.from_arrays(pa.array(x[mine].ravel()), d).cast(pa.list_(pa.float64()))], ["no", "h", "x"])
-
-    got = data.mapInArrow(run, "no long, h long, x array<double>").toPandas()
-    got["u"] = uniform(got["h"].to_numpy())
-    for s in slices:
-        g = got[got["no"] == s.no].sort_values(["u", "h"])["x"].head(SAMPLE)
-        s.sample = np.array(g.tolist()).reshape(-1, d)
+def _pair_counts(c: dict[int, np.ndarray], fs: Sequence[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Distinct code pairs of every pair of features and their counts."""
+    for i, f in enumerate(fs):
+        for g in fs[i + 1 :]:
+            k, n = np.unique(c[f] * WIDE + c[g], return_counts=True)
+            yield f, g, k, n
 
 
-def _quantiles(data: DataFrame, slices: list[Slice], of: dict[int, list[int]] | None = None) -> dict[int, dict[int, tuple[np.ndarray, float, float]]]:
-    """Per slice and feature the sorted values, or ``QUANTILES`` quantiles of all rows where the slice has more than its sample; the least, the greatest."""
-    of = of or {s.no: s.features for s in slices}
-    out: dict[int, dict[int, tuple[np.ndarray, float, float]]] = {}
-    for s in slices:
-        if s.rows <= SAMPLE:
-            out[s.no] = {f: (v, v[0], v[-1]) for f in of[s.no] for v in [np.sort(s.sample[:, f])]}
-    big = [s for s in slices if s.no not in out]
-    if big:
-        cells = [F.when(F.col(f"s{f}") == s.no, F.struct(F.col(f"s{f}").alias("no"), F.lit(f).alias("f"), F.col(f"x{f}").alias("v"))) for s in big for f in of[s.no]]
-        at = [(i + 1) / QUANTILES for i in range(QUANTILES)]
-        rows = data.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").select("c.*")
-        for r in rows.groupBy("no", "f").agg(F.percentile_approx("v", at, 20_000).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
-            out.setdefault(r["no"], {})[r["f"]] = (np.array(r["q"]), r["lo"], r["hi"])
+def _table(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Contingency table of code pairs, without empty rows and columns."""
+    a, b = (np.unique(v, return_inverse=True)[1] for v in (k // WIDE, k % WIDE))
+    out = np.zeros((a.max() + 1, b.max() + 1))
+    out[a, b] = n
     return out
 
 
-def _contingency(data: DataFrame, d: int, slices: list[Slice], codes: dict[int, dict[int, Callable[[np.ndarray], np.ndarray]]]) -> dict[tuple[int, int, int], np.ndarray]:
-    """Per slice and pair of its features the table of counts over all rows, without empty rows and columns."""
-    owner = {s.no: (s.features[0], s.features) for s in slices}
-    wide = 1 << 20
+#: Greater than any code of a column.
+WIDE = 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            x, s, _ = _owner(b, d)
-            for no, (first, fs) in owner.items():
-                mine = s[:, first] == no
-                if not mine.any():
-                    continue
-                c = {f: codes[no][f](x[mine, f]).astype(np.int64) for f in fs}
-                for i, f in enumerate(fs):
-                    for g in fs[i + 1 :]:
-                        k, n = np.unique(c[f] * wide + c[g], return_counts=True)
-                        if (no, f, g) in total:
-                            old = total[no, f, g]
-                            k, where = np.unique(np.concatenate([old[0], k]), return_inverse=True)
-                            n = np.bincount(where, np.concatenate([old[1], n])).astype(np.int64)
-                        total[no, f, g] = (k, n)
-        for (no, f, g), (k, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), v, np.int64)) for v in (no, f, g)] + [pa.array(k), pa.array(n.astype(np.int64))], ["no", "f", "g", "k", "n"])
-
-    got = data.mapInArrow(run, "no long, f long, g long, k long, n long").groupBy("no", "f", "g", "k").agg(F.sum("n").alias("n")).toPandas()
-    out = {}
-    for key, t in got.groupby(["no", "f", "g"]):
-        a, b = (np.unique(v, return_inverse=True)[1] for v in (t["k"].to_numpy() // wide, t["k"].to_numpy() % wide))
-        out[key] = np.zeros((a.max() + 1, b.max() + 1))
-        out[key][a, b] = t["n"]
-    return out
+
+class SparkRows:
+    """The rows of slices of any size: columns x0.. (values), s0.. (owning slices) and h (hash)."""
+
+    def __init__(self, data: DataFrame, d: int) -> None:
+        self.data, self.d, self.held = data, d, []
+
+    def sums(self, slices: Sequence[Slice], parts: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> dict[int, np.ndarray]:
+        """Per slice the sum over its rows of a flat vector of statistics."""
+        d, first = self.d, {s.no: s.features[0] for s in slices}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                x, s, h = _owner(b, d)
+                for no, f in parts.items():
+                    mine = s[:, first[no]] == no
+                    if mine.any():
+                        v = f(x[mine], h[mine])
+                        total[no] = total[no] + v if no in total else v
+            for no, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), no, np.int64)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float))], ["no", "i", "v"])
+
+        got = self.data.mapInArrow(run, "no long, i int, v double").groupBy("no", "i").agg(F.sum("v").alias("v")).toPandas()
+        out: dict[int, np.ndarray] = {}
+        for no, g in got.groupby("no"):
+            v = np.zeros(int(g["i"].max()) + 1)
+            v[g["i"].to_numpy()] = g["v"].to_numpy()
+            out[int(no)] = v
+        return out
+
+    def samples(self, slices: Sequence[Slice]) -> None:
+        """The ``SAMPLE`` rows of smallest hash of each slice."""
+        d, first = self.d, {s.no: s.features[0] for s in slices}
+        share = {s.no: min(1.0, (SAMPLE + 6 * math.sqrt(SAMPLE)) / max(s.rows, 1)) for s in slices}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, s, h = _owner(b, d)
+                u = _uniform(h)
+                for no in share:
+                    mine = (s[:, first[no]] == no) & (u < share[no])
+                    if mine.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), no, np.int64)), pa.array(h[mine]), pa.FixedSizeListArray.from_arrays(pa.array(x[mine].ravel()), d).cast(pa.list_(pa.float64()))], ["no", "h", "x"])
+
+        got = self.data.mapInArrow(run, "no long, h long, x array<double>").toPandas()
+        got["u"] = _uniform(got["h"].to_numpy())
+        for s in slices:
+            g = got[got["no"] == s.no].sort_values(["u", "h"])["x"].head(SAMPLE)
+            s.sample = np.array(g.tolist()).reshape(-1, d)
+
+    def quantiles(self, slices: Sequence[Slice], of: dict[int, list[int]]) -> dict[int, dict[int, tuple[np.ndarray, float, float]]]:
+        """Per slice and feature ``QUANTILES`` quantiles, the least and the greatest value of all rows."""
+        out: dict[int, dict[int, tuple[np.ndarray, float, float]]] = {}
+        cells = [F.when(F.col(f"s{f}") == s.no, F.struct(F.col(f"s{f}").alias("no"), F.lit(f).alias("f"), F.col(f"x{f}").alias("v"))) for s in slices for f in of[s.no]]
+        if cells:
+            at = [(i + 1) / QUANTILES for i in range(QUANTILES)]
+            rows = self.data.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").select("c.*")
+            for r in rows.groupBy("no", "f").agg(F.percentile_approx("v", at, 20_000).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+                out.setdefault(r["no"], {})[r["f"]] = (np.array(r["q"]), r["lo"], r["hi"])
+        return out
+
+    def contingency(self, slices: Sequence[Slice], codes: dict[int, dict[int, Callable[[np.ndarray], np.ndarray]]]) -> dict[tuple[int, int, int], np.ndarray]:
+        """Per slice and pair of its features the table of counts over all rows."""
+        d, owner = self.d, {s.no: s.features for s in slices}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, s, _ = _owner(b, d)
+                for no, fs in owner.items():
+                    mine = s[:, fs[0]] == no
+                    if mine.any():
+                        for f, g, k, n in _pair_counts({f: codes[no][f](x[mine, f]).astype(np.int64) for f in fs}, fs):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), v, np.int64)) for v in (no, f, g)] + [pa.array(k), pa.array(n.astype(np.int64))], ["no", "f", "g", "k", "n"])
+
+        got = self.data.mapInArrow(run, "no long, f long, g long, k long, n long").groupBy("no", "f", "g", "k").agg(F.sum("n").alias("n")).toPandas()
+        return {key: _table(t["k"].to_numpy(), t["n"].to_numpy()) for key, t in got.groupby(["no", "f", "g"])}
+
+    def stability(self, part: dict[int, list[int]]) -> dict[int, np.ndarray]:
+        own = {f"x{f}": f"s{f}" for f in range(self.d)}
+        return D.stability_over_rows(self.data, {no: [f"x{f}" for f in fs] for no, fs in part.items()}, ["h", *[f"x{f}" for f in range(self.d)]], own)
+
+    def products(self, moves: dict[int, dict[int, int]]) -> None:
+        """Cells of the slices go to the slice named for their column."""
+        to = {f"s{f}": [(no, m[f]) for no, m in moves.items() if f in m] for f in range(self.d)}
+        self.data = self.data.withColumns({k: F.expr(f"CASE {k} " + " ".join(f"WHEN {a} THEN {b}" for a, b in v) + f" ELSE {k} END") for k, v in to.items() if v})
+
+    def split(self, slices: Sequence[Slice], assign: dict[int, Assign], renumber: dict[int, dict[int, int]]) -> None:
+        """Write the clusters of all slices at once."""
+        d, cols, names = self.d, {s.no: s.features for s in slices}, [f.name for f in self.data.schema]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, s, h = _owner(b, d)
+                new = s.copy()
+                for no, to in renumber.items():
+                    mine = np.nonzero(s[:, cols[no][0]] == no)[0]
+                    if len(mine):
+                        a = _renamed(assign[no](x[mine], h[mine]), to)
+                        for f in cols[no]:
+                            new[mine, f] = a
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(d)], *[pa.array(new[:, i]) for i in range(d)], b.column(2 * d)], names)
+
+        self.data = self.data.mapInArrow(run, self.data.schema)
+
+    def held_of(self, s: Slice) -> np.ndarray:
+        """The rows that are at hand: the sample."""
+        return s.sample
+
+    def settle(self) -> None:
+        """Write the rows where the level ends, and drop those of the level before."""
+        self.data = stored(self.data, "slices")
+        freed(*self.held)
+        self.held = [self.data]
+
+
+class LocalRows:
+    """The rows of slices that one task holds in memory."""
+
+    def __init__(self, x: np.ndarray, h: np.ndarray, root: int) -> None:
+        self.x, self.h, self.at = x, h, {root: np.argsort(h, kind="stable")}
+
+    def sums(self, slices: Sequence[Slice], parts: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> dict[int, np.ndarray]:
+        return {no: f(self.x[self.at[no]], self.h[self.at[no]]) for no, f in parts.items()}
+
+    def samples(self, slices: Sequence[Slice]) -> None:
+        for s in slices:
+            at = self.at[s.no]
+            s.sample = self.x[at[np.argsort(_uniform(self.h[at]), kind="stable")[:SAMPLE]]]
+
+    def quantiles(self, slices: Sequence[Slice], of: dict[int, list[int]]) -> dict[int, dict[int, tuple[np.ndarray, float, float]]]:
+        out: dict[int, dict[int, tuple[np.ndarray, float, float]]] = {}
+        for s in slices:
+            for f in of[s.no]:
+                v = np.sort(self.x[self.at[s.no], f])
+                q = v if len(v) <= SAMPLE else v[np.ceil(np.arange(1, QUANTILES + 1) / QUANTILES * len(v)).astype(int) - 1]
+                out.setdefault(s.no, {})[f] = (q, v[0], v[-1])
+        return out
+
+    def contingency(self, slices: Sequence[Slice], codes: dict[int, dict[int, Callable[[np.ndarray], np.ndarray]]]) -> dict[tuple[int, int, int], np.ndarray]:
+        return {(s.no, f, g): _table(k, n) for s in slices for f, g, k, n in _pair_counts({f: codes[s.no][f](self.x[self.at[s.no], f]).astype(np.int64) for f in s.features}, s.features)}
+
+    def stability(self, part: dict[int, list[int]]) -> dict[int, np.ndarray]:
+        return {no: D.stability_pvalues(self.x[np.ix_(self.at[no], fs)]) for no, fs in part.items()}
+
+    def products(self, moves: dict[int, dict[int, int]]) -> None:
+        for no, to in moves.items():
+            own = self.at.pop(no)
+            self.at.update(dict.fromkeys(to.values(), own))
+
+    def split(self, slices: Sequence[Slice], assign: dict[int, Assign], renumber: dict[int, dict[int, int]]) -> None:
+        for no, to in renumber.items():
+            own = self.at.pop(no)
+            a = _renamed(assign[no](self.x[own], self.h[own]), to)
+            self.at.update({t: own[a == t] for t in to.values()})
+
+    def held_of(self, s: Slice) -> np.ndarray:
+        """The rows that are at hand: all."""
+        return self.x[self.at[s.no]]
+
+    def settle(self) -> None:
+        pass
+
+
+def _renamed(clusters: np.ndarray, to: dict[int, int]) -> np.ndarray:
+    table = np.zeros(max(to) + 1, np.int64)
+    table[list(to)] = list(to.values())
+    return table[clusters.astype(int)]
 
 
 def _operation(s: Slice, root: bool, c: Settings) -> str:
@@ -219,42 +321,42 @@ def _operation(s: Slice, root: bool, c: Settings) -> str:
 # --- column splits -----------------------------------------------------------
 
 
-def _column_groups(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str], limits: Sequence[float], c: Settings) -> dict[int, list[int]]:
-    """Component of each feature of each slice. ``limits``: the least value of every column."""
+def _column_groups(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequence[str], domains: Sequence[np.ndarray], c: Settings) -> dict[int, list[int]]:
+    """Component of each feature of each slice."""
     if c.columns == "none":
         return {s.no: [1] * len(s.features) for s in slices}
     if c.columns == "rdc":
-        grids = {no: {f: q[0] for f, q in v.items()} for no, v in _quantiles(data, slices).items()}
-        k = D.FEATURES
+        grids = {no: {f: q[0] for f, q in v.items()} for no, v in rows.quantiles(slices, {s.no: s.features for s in slices}).items()}
+        parts, size = {}, {}
+        for s in slices:
+            codes = {f: domains[f] if kinds[f] == "categorical" else None for f in s.features}
+            size[s.no] = D.feature_count([1 if v is None else len(v) for v in codes.values()])
 
-        def moments(no: int, features: list[int]) -> Callable:
-            def run(x: np.ndarray, _: np.ndarray) -> np.ndarray:
-                z = np.hstack([D.nonlinear(x[:, f], grids[no][f], 42 + f, k) for f in features])
+            def moments(x: np.ndarray, _: np.ndarray, s=s, codes=codes, k=size[s.no]) -> np.ndarray:
+                z = np.hstack([D.nonlinear(x[:, f], grids[s.no][f], 42 + f, k, codes[f]) for f in s.features])
                 return np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
 
-            return run
-
-        got = _sums(data, d, {s.no: moments(s.no, s.features) for s in slices}, {s.no: s.features[0] for s in slices})
-        out = {}
+            parts[s.no] = moments
+        got, out = rows.sums(slices, parts), {}
         for s in slices:
-            v, m = got[s.no], len(s.features) * k
-            out[s.no] = above(D.rdc_from_moments(v[0], v[1 : m + 1], v[m + 1 :].reshape(m, m), len(s.features), k), c.threshold)
+            v, m = got[s.no], len(s.features) * size[s.no]
+            out[s.no] = above(D.rdc_from_moments(v[0], v[1 : m + 1], v[m + 1 :].reshape(m, m), len(s.features), size[s.no]), c.threshold)
         return out
-    if c.columns == "distance":  # pairs of rows, hence the sample
-        return {s.no: above(D.distance_matrix(s.sample[:, s.features]), c.threshold) for s in slices}
+    if c.columns == "distance":
+        return {s.no: above(D.distance_matrix(rows.held_of(s)[:, s.features]), c.threshold) for s in slices}
     if c.columns == "ami":
         codes: dict[int, dict[int, Callable]] = {}
-        grids = _quantiles(data, slices, {s.no: [f for f in s.features if kinds[f] == "continuous"] for s in slices})
+        grids = rows.quantiles(slices, {s.no: [f for f in s.features if kinds[f] == "continuous"] for s in slices})
         for s in slices:
             codes[s.no] = {}
             for f in s.features:
-                low = float(limits[f])
+                low = float(domains[f][0])
                 codes[s.no][f] = lambda x, low=low: x - low
                 if kinds[f] == "continuous":
                     q, lo, hi = grids[s.no][f]
-                    edges = np.linspace(lo, hi, _cells(q, lo, hi, s.rows, 64) + 1)[1:-1]
+                    edges = np.linspace(lo, hi, _cells(q, lo, hi, s.rows, WIDE - 1) + 1)[1:-1]
                     codes[s.no][f] = lambda x, edges=edges: np.digitize(x, edges)
-        tables = _contingency(data, d, slices, codes)
+        tables = rows.contingency(slices, codes)
         out = {}
         for s in slices:
             m = np.eye(len(s.features))
@@ -264,11 +366,10 @@ def _column_groups(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence
             out[s.no] = above(m, c.threshold)
         return out
     blocks = {s.no: D.overlapping_blocks(len(s.features)) if c.columns == "blockwise" else [list(range(len(s.features)))] for s in slices}
-    own = {f"x{f}": f"s{f}" for f in range(d)}
     found: dict[int, list[np.ndarray]] = {s.no: [] for s in slices}
     for b in range(max(map(len, blocks.values()))):
-        part = {s.no: [f"x{s.features[i]}" for i in blocks[s.no][b]] for s in slices if b < len(blocks[s.no])}
-        for no, p in D.stability_over_rows(data, part, ["h", *[f"x{f}" for f in range(d)]], own).items():
+        part = {s.no: [s.features[i] for i in blocks[s.no][b]] for s in slices if b < len(blocks[s.no])}
+        for no, p in rows.stability(part).items():
             found[no].append(p)
     out = {}
     for s in slices:
@@ -292,12 +393,14 @@ def _scale(s: Slice, kinds: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (total / n)[s.features], np.where(sd > 0, sd, 1)[s.features]
 
 
-def _encoder(s: Slice, kinds: Sequence[str], grids: dict[int, np.ndarray] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+def _encoder(s: Slice, kinds: Sequence[str], domains: Sequence[np.ndarray], grids: dict[int, np.ndarray] | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """Coordinates for clustering: z-scores and indicators of categories, or dependence features."""
     if grids is not None:
-        return lambda x: np.hstack([D.nonlinear(x[:, f], grids[f], 42 + f) for f in s.features])
+        codes = {f: domains[f] if kinds[f] == "categorical" else None for f in s.features}
+        k = D.feature_count([1 if v is None else len(v) for v in codes.values()])
+        return lambda x: np.hstack([D.nonlinear(x[:, f], grids[f], 42 + f, k, codes[f]) for f in s.features])
     mean, sd = _scale(s, kinds)
-    values = {f: np.unique(s.sample[:, f])[:50] for f in s.features if kinds[f] == "categorical"}
+    values = {f: domains[f] for f in s.features if kinds[f] == "categorical"}
 
     def run(x: np.ndarray) -> np.ndarray:
         return np.hstack([(x[:, f, None] == values[f][None]).astype(float) if f in values else ((x[:, f] - mean[i]) / sd[i])[:, None] for i, f in enumerate(s.features)])
@@ -335,15 +438,15 @@ def dbscan(z: np.ndarray, eps: float, least: int) -> np.ndarray:
     return label
 
 
-def _valleys(data: DataFrame, d: int, slices: list[Slice], rngs: dict[int, np.random.Generator]) -> dict[int, tuple[int, float]]:
+def _valleys(rows: SparkRows | LocalRows, slices: list[Slice], rngs: dict[int, np.random.Generator]) -> dict[int, tuple[int, float]]:
     """A random feature of each slice and the middle of a random valley of its histogram over all rows, else a random value."""
     chosen = {s.no: int(rngs[s.no].choice(s.features)) for s in slices}
-    grids, edges = _quantiles(data, slices, {no: [f] for no, f in chosen.items()}), {}
+    grids, edges = rows.quantiles(slices, {no: [f] for no, f in chosen.items()}), {}
     for s in slices:
         q, lo, hi = grids[s.no][chosen[s.no]]
         cells = _cells(q, lo, hi, s.rows, MODAL_CELLS) if len(np.unique(q)) > 20 else 10
         edges[s.no] = np.linspace(lo, hi if hi > lo else lo + 1, cells + 1)
-    got = _sums(data, d, {no: (lambda x, _, f=f, e=edges[no]: np.histogram(x[:, f], e)[0].astype(float)) for no, f in chosen.items()}, {s.no: s.features[0] for s in slices})
+    got = rows.sums(slices, {no: (lambda x, _, f=f, e=edges[no]: np.histogram(x[:, f], e)[0].astype(float)) for no, f in chosen.items()})
     out = {}
     for s in slices:
         n, e, rng = got[s.no], edges[s.no], rngs[s.no]
@@ -353,18 +456,18 @@ def _valleys(data: DataFrame, d: int, slices: list[Slice], rngs: dict[int, np.ra
     return out
 
 
-def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str], c: Settings) -> dict[int, Assign]:
+def _assigners(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequence[str], domains: Sequence[np.ndarray], c: Settings) -> dict[int, Assign]:
     """For each slice a function from its rows (and their hashes) to clusters."""
     out: dict[int, Assign] = {}
     lloyd: dict[int, tuple[Callable, np.ndarray]] = {}
     rngs = {s.no: np.random.default_rng([c.seed, s.no]) for s in slices}
-    grids = _quantiles(data, slices) if c.rows == "rdc_kmeans" else {}
-    valley = _valleys(data, d, slices, rngs) if c.rows == "modal" else {}
+    grids = rows.quantiles(slices, {s.no: s.features for s in slices}) if c.rows == "rdc_kmeans" else {}
+    valley = _valleys(rows, slices, rngs) if c.rows == "modal" else {}
     for s in slices:
         rng = rngs[s.no]
         x, fs = s.sample, s.features
         if c.rows in ("kmeans", "rdc_kmeans"):
-            enc = _encoder(s, kinds, {f: q[0] for f, q in grids[s.no].items()} if c.rows == "rdc_kmeans" else None)
+            enc = _encoder(s, kinds, domains, {f: q[0] for f, q in grids[s.no].items()} if c.rows == "rdc_kmeans" else None)
             lloyd[s.no] = (enc, _start_centres(enc(x), c.clusters, rng))
         elif c.rows == "random":
             out[s.no] = lambda x, h: (h >> 7) & 1
@@ -385,7 +488,7 @@ def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str
             centre = some[medoids(gower_matrix(some, some, kind, span), c.clusters)]
             out[s.no] = lambda x, h, fs=fs, centre=centre, kind=kind, span=span: gower_matrix(x[:, fs], centre, kind, span).argmin(1)
         elif c.rows == "dbscan":
-            enc = _encoder(s, kinds)
+            enc = _encoder(s, kinds, domains)
             z = enc(x[:1000])
             label = dbscan(z, 0.3 * math.sqrt(z.shape[1]), 10)
             out[s.no] = lambda x, h, enc=enc, z=z, label=label: (lambda q: np.concatenate([label[((q[i : i + 512, None] - z[None]) ** 2).sum(2).argmin(1)] for i in range(0, len(q), 512)]) + 1)(enc(x))
@@ -407,7 +510,7 @@ def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str
 
             return run
 
-        got = _sums(data, d, {no: step(no) for no in lloyd}, {s.no: s.features[0] for s in slices})
+        got = rows.sums(slices, {no: step(no) for no in lloyd})
         for no, v in got.items():
             enc, centres = lloyd[no]
             k = len(centres)
@@ -418,11 +521,9 @@ def _assigners(data: DataFrame, d: int, slices: list[Slice], kinds: Sequence[str
     return out
 
 
-def _split_rows(data: DataFrame, d: int, slices: list[Slice], assign: dict[int, Assign], new_no: Callable[[], int]) -> DataFrame:
-    """Write the clusters of all slices at once; a slice that stays in one piece is marked."""
-    first = {s.no: s.features[0] for s in slices}
-    most = 64
-    counts = _sums(data, d, {no: (lambda x, h, f=f: np.bincount(f(x, h).astype(int), minlength=most)[:most].astype(float)) for no, f in assign.items()}, first)
+def _split_rows(rows: SparkRows | LocalRows, slices: list[Slice], assign: dict[int, Assign], new_no: Callable[[], int], c: Settings) -> None:
+    """Give the clusters of all slices their numbers; a slice that stays in one piece is marked."""
+    counts = rows.sums(slices, {no: (lambda x, h, f=f: np.bincount(f(x, h).astype(int), minlength=SAMPLE + 1).astype(float)) for no, f in assign.items()})  # no more clusters than sampled rows
     renumber: dict[int, dict[int, int]] = {}
     for s in slices:
         used = [i for i, n in enumerate(counts[s.no]) if n > 0]
@@ -436,39 +537,20 @@ def _split_rows(data: DataFrame, d: int, slices: list[Slice], assign: dict[int,
             child = Slice(new_no(), list(s.features), rows=float(counts[s.no][i]))
             renumber[s.no][i] = child.no
             s.children.append(child)
-    if not renumber:
-        return data
-    cols = {s.no: s.features for s in slices}
-    names = [f.name for f in data.schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, s, h = _owner(b, d)
-            new = s.copy()
-            for no, to in renumber.items():
-                mine = np.nonzero(s[:, first[no]] == no)[0]
-                if len(mine):
-                    table = np.zeros(most, np.int64)
-                    for i, t in to.items():
-                        table[i] = t
-                    a = table[assign[no](x[mine], h[mine]).astype(int)]
-                    for f in cols[no]:
-                        new[mine, f] = a
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(d)], *[pa.array(new[:, i]) for i in range(d)], b.column(2 * d)], names)
-
-    return stored(data.mapInArrow(run, data.schema), "slices")
+    if renumber:
+        rows.split(slices, assign, renumber)
 
 
 # --- leaves -------------------------------------------------------------------
 
 
-def _fit_leaves(data: DataFrame, d: int, found: list[Slice], kinds: Sequence[str], families: Sequence[str], domains: list[np.ndarray], c: Settings) -> dict[int, Leaf]:
+def _fit_leaves(rows: SparkRows | LocalRows, found: list[Slice], kinds: Sequence[str], families: Sequence[str], domains: list[np.ndarray], c: Settings) -> dict[int, Leaf]:
     """One pass of bin counts and moments for all leaves."""
     edges: dict[int, np.ndarray] = {}
-    for f in range(d):
+    for f in {s.features[0] for s in found}:
         dom = domains[f]
         if kinds[f] == "continuous":
-            edges[f] = np.linspace(dom[0], dom[1] if dom[1] > dom[0] else dom[0] + 1e-6, FINE_BINS + 1)
+            edges[f] = dom
         else:
             edges[f] = np.array(domain_edges(float(dom.min()), float(dom.max()), 1.0, families[f] in ("histogram", "categorical")))
 
@@ -482,7 +564,7 @@ def _fit_leaves(data: DataFrame, d: int, found: list[Slice], kinds: Sequence[str
 
         return run
 
-    got = _sums(data, d, {s.no: counts(s.features[0]) for s in found}, {s.no: s.features[0] for s in found})
+    got = rows.sums(found, {s.no: counts(s.features[0]) for s in found}) if found else {}
     out: dict[int, Leaf] = {}
     for s in found:
         f, v = s.features[0], got[s.no]
@@ -525,7 +607,8 @@ def learn(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], settings:
     if not d:
         raise ValueError("nothing to learn from")
     data = stored(_numbered(base, own), "slices")
-    limits = data.agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"{x}_lo") for x in own], *[F.max(x).alias(f"{x}_hi") for x in own]).first()
+    ranks = [i * 2 / FINE_BINS for i in range(1, FINE_BINS // 2)]
+    limits = data.agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"{x}_lo") for x in own], *[F.max(x).alias(f"{x}_hi") for x in own], *[F.percentile_approx(x, ranks, 10_000).alias(f"{x}_q") for x in own]).first()
     if not limits["n"]:
         raise ValueError("nothing to learn from")
     domains = []
@@ -533,9 +616,72 @@ def learn(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], settings:
         lo, hi = limits[f"{x}_lo"], limits[f"{x}_hi"]
         if kinds[i] != "continuous" and hi - lo > MOST_VALUES:
             raise ValueError(f"{columns[i]} spans more than {MOST_VALUES} values; declare it continuous")
-        domains.append(np.array([lo, hi]) if kinds[i] == "continuous" else np.arange(lo, hi + 1))
-    root = Slice(0, list(range(d)))
-    level, last, found, depth = [root], [0], [], 0
+        if kinds[i] == "continuous":  # a grid even in width and in rows, so that far values don't put all others into one cell
+            even, ranked = np.linspace(lo, hi if hi > lo else lo + 1e-6, FINE_BINS // 2 + 1), limits[f"{x}_q"]
+            domains.append(np.unique(np.concatenate([even, ranked])))
+        else:
+            domains.append(np.arange(lo, hi + 1))
+    root = Slice(0, list(range(d)), rows=float(limits["n"]))
+    rows = SparkRows(data, d)
+    local = _grow(rows, root, True, d, kinds, families, domains, c, LOCAL_CELLS)
+    models = _in_tasks(rows.data, d, local, root, kinds, families, domains, c)
+    model = N.prune(_built(root, _fit_leaves(rows, _leaves(root), kinds, families, domains, c), models))
+    freed(data, *rows.held)
+    if not isinstance(model, Leaf):
+        N.validate(model)
+    return model
+
+
+def _leaves(s: Slice) -> list[Slice]:
+    return [s] if s.kind == "leaf" else [x for child in s.children for x in _leaves(child)]
+
+
+def _built(s: Slice, leaves: dict[int, Leaf], models: dict[int, Node]) -> Node:
+    if s.kind == "local":
+        return models[s.no]
+    if s.kind == "leaf":
+        return leaves[s.no]
+    kids = tuple(_built(x, leaves, models) for x in s.children)
+    if s.kind == "product":
+        return Product(kids)
+    total = sum(x.rows for x in s.children)
+    return Sum(tuple(x.rows / total for x in s.children), kids)
+
+
+def _in_tasks(data: DataFrame, d: int, local: list[Slice], root: Slice, kinds: Sequence[str], families: Sequence[str], domains: list[np.ndarray], c: Settings) -> dict[int, Node]:
+    """The models of slices within the bound, each learned by one task from its rows."""
+    if not local:
+        return {}
+    state = {s.no: (s.features, s.no_clusters, s.no_independencies, s is root) for s in local}
+    first = np.full((max(state) + 1,), -1)
+    for no, (fs, *_) in state.items():
+        first[no] = fs[0]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each slice that owns cells of a row."""
+        for b in batches:
+            x, s, h = _owner(b, d)
+            for f in range(d):
+                mine = np.nonzero((s[:, f] < len(first)) & (first[np.minimum(s[:, f], len(first) - 1)] == f))[0]
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array(s[mine, f]), pa.array(h[mine]), pa.FixedSizeListArray.from_arrays(pa.array(x[mine].ravel()), d).cast(pa.list_(pa.float64()))], ["no", "h", "x"])
+
+    def work(group: pa.Table) -> pa.Table:
+        no = group["no"][0].as_py()
+        features, no_clusters, no_independencies, is_root = state[no]
+        x = np.concatenate([v.flatten().to_numpy(zero_copy_only=False) for v in group["x"].chunks]).reshape(-1, d)
+        own = Slice(no, features, no_clusters, no_independencies, rows=float(len(x)))
+        rows = LocalRows(x, np.asarray(group["h"]), no)
+        _grow(rows, own, is_root, d, kinds, families, domains, c, 0)
+        return pa.table({"no": [no], "model": pa.array([pickle.dumps(_built(own, _fit_leaves(rows, _leaves(own), kinds, families, domains, c), {}))], pa.binary())})
+
+    got = data.mapInArrow(send, "no long, h long, x array<double>").groupBy("no").applyInArrow(work, "no long, model binary").collect()  # models, no rows
+    return {r["no"]: pickle.loads(r["model"]) for r in got}
+
+
+def _grow(rows: SparkRows | LocalRows, root: Slice, whole: bool, d: int, kinds: Sequence[str], families: Sequence[str], domains: list[np.ndarray], c: Settings, bound: int) -> list[Slice]:
+    """Split ``root`` level by level until leaves are left; slices of at most ``bound`` cells are set aside and returned."""
+    level, last, aside = [root], [root.no], []
 
     def new_no() -> int:
         last[0] += 1
@@ -544,35 +690,41 @@ def learn(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], settings:
     def moments(x: np.ndarray, _: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
 
-    while level:
-        got = _sums(data, d, {s.no: moments for s in level}, {s.no: s.features[0] for s in level})
+    while True:
+        for s in level:
+            if s.rows * len(s.features) <= bound:
+                s.kind = "local"
+                aside.append(s)
+        level = [s for s in level if s.kind != "local"]
+        if not level:
+            return aside
+        got = rows.sums(level, {s.no: moments for s in level})
         for s in level:
             v = got[s.no]
             s.rows, s.moments = v[0], (v[0], v[1 : d + 1], v[d + 1 :].reshape(d, d))
-        _samples(data, d, level)
+        rows.samples(level)
         todo: dict[str, list[Slice]] = {}
         for s in level:
-            op = _operation(s, s is root, c) if depth < c.most_levels else ("leaf" if len(s.features) == 1 else "naive")
+            op = _operation(s, whole and s is root, c)
             if len(s.sample) < 2 and op in ("rows", "columns"):
                 op = "naive" if len(s.features) > 1 else "leaf"
             todo.setdefault(op, []).append(s)
         for s in todo.get("leaf", []):
             s.kind = "leaf"
-            found.append(s)
         split: dict[int, list[list[int]]] = {s.no: [[f] for f in s.features] for s in todo.get("naive", [])}
         for s in todo.get("constant", []):
             flat = [f for f in s.features if s.variances[f] <= 0]
             split[s.no] = [*[[f] for f in flat], [f for f in s.features if f not in flat]]
         pending: list[Slice] = []
         if todo.get("columns"):
-            for no, labels in _column_groups(data, d, todo["columns"], kinds, [float(v[0]) for v in domains], c).items():
+            for no, labels in _column_groups(rows, todo["columns"], kinds, domains, c).items():
                 s = next(x for x in todo["columns"] if x.no == no)
                 if len(set(labels)) < 2:
                     s.no_independencies = True
                     pending.append(s)
                 else:
                     split[no] = [[f for f, k in zip(s.features, labels) if k == g] for g in sorted(set(labels))]
-        renamed: dict[int, dict[int, int]] = {}
+        moves: dict[int, dict[int, int]] = {}
         nxt: list[Slice] = []
         for s in level:
             if s.no in split:
@@ -580,45 +732,24 @@ def learn(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], settings:
                 for group in split[s.no]:
                     child = Slice(new_no(), group, rows=s.rows, no_clusters=s in todo.get("constant", []) and len(group) == 1)
                     s.children.append(child)
-                    renamed.setdefault(s.no, {}).update(dict.fromkeys(group, child.no))
-        if renamed:
-            moves = {f"s{f}": [(no, to[f]) for no, to in renamed.items() if f in to] for f in range(d)}
-            cases = {k: F.expr(f"CASE {k} " + " ".join(f"WHEN {a} THEN {b}" for a, b in v) + f" ELSE {k} END") for k, v in moves.items() if v}
-            data = data.withColumns(cases)
-            for s in level:
-                if s.kind == "product":
-                    single = [x for x in s.children if len(x.features) == 1]
-                    for x in single:
-                        x.kind, x.sample = "leaf", s.sample
-                    found += single
-                    nxt += [x for x in s.children if len(x.features) > 1]
-            if not todo.get("rows"):
-                data = stored(data, "slices")
+                    moves.setdefault(s.no, {}).update(dict.fromkeys(group, child.no))
+                    if len(group) == 1:
+                        child.kind, child.sample = "leaf", s.sample
+                    else:
+                        nxt.append(child)
+        if moves:
+            rows.products(moves)
         if todo.get("rows"):
-            data = _split_rows(data, d, todo["rows"], _assigners(data, d, todo["rows"], kinds, c), new_no)
+            _split_rows(rows, todo["rows"], _assigners(rows, todo["rows"], kinds, domains, c), new_no, c)
             for s in todo["rows"]:
                 if s.kind == "again":
                     s.kind = "open"
                     pending.append(s)
                 else:
                     nxt += s.children
-        level, depth = nxt + pending, depth + 1
-    leaf = _fit_leaves(data, d, found, kinds, families, domains, c)
-
-    def build(s: Slice) -> Node:
-        if s.kind == "leaf":
-            return leaf[s.no]
-        kids = tuple(build(x) for x in s.children)
-        if s.kind == "product":
-            return Product(kids)
-        total = sum(x.rows for x in s.children)
-        return Sum(tuple(x.rows / total for x in s.children), kids)
-
-    model = N.prune(build(root))
-    if not isinstance(model, Leaf):
-        N.validate(model)
-    return model
-
-
-def with_rows(c: Settings, rows: str) -> Settings:
-    return replace(c, rows=rows)
+        if moves or todo.get("rows"):
+            rows.settle()
+        for s in level:
+            if s.kind != "leaf":
+                s.sample = None  # nothing of a finished level stays
+        level = nxt + pending

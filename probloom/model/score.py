@@ -1,8 +1,8 @@
 """Evaluating a model over a DataFrame: likelihood, conditionals, completion, sampling, classification.
 
 Two backends. Small models become one Column expression inside whole-stage code
-generation; models of more than ``EXPRESSION_LEAVES`` leaves go through Arrow
-batches and numpy. Neither shuffles. NULL marks an unobserved cell.
+generation; models of more than ``EXPRESSION_TERMS`` terms (a leaf, or a knot,
+bin or point of one) go through Arrow batches and numpy. Neither shuffles. NULL marks an unobserved cell.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from probloom.model import nodes as N
 from probloom.model.leaves import Leaf
 from probloom.model.nodes import Node, Product, Sum
 
-EXPRESSION_LEAVES = 96
+EXPRESSION_TERMS = 128
 
 
 def expression(node: Node, columns: list[str]) -> Column:
@@ -33,6 +33,11 @@ def expression(node: Node, columns: list[str]) -> Column:
     return S.log_sum_exp(F.array(*[p + S.lit(w) for p, w in zip(parts, node.log_weights)]))
 
 
+def is_small(root: Node) -> bool:
+    """Whether the model is quick as one expression."""
+    return sum(1 + max([len(v) for v in vars(n).values() if isinstance(v, tuple)], default=0) for n in N.walk(root) if isinstance(n, Leaf)) <= EXPRESSION_TERMS
+
+
 def evaluate(node: Node, x: np.ndarray) -> np.ndarray:
     """Log-likelihood of the rows of a matrix; NaN is unobserved."""
     if isinstance(node, Leaf):
@@ -74,8 +79,7 @@ def arrow_rows(df: DataFrame, columns: list[str], out: str, f: Callable[[np.ndar
 
 def log_likelihood(df: DataFrame, root: Node, columns: list[str], out: str = "ll", backend: str = "auto") -> DataFrame:
     """Append the log-likelihood of every row."""
-    small = sum(isinstance(n, Leaf) for n in N.walk(root)) <= EXPRESSION_LEAVES
-    if backend == "expression" or (backend == "auto" and small):
+    if backend == "expression" or (backend == "auto" and is_small(root)):
         return df.withColumn(out, expression(root, columns))
     return arrow_rows(df, columns, f"{out} double", lambda x, _: {out: evaluate(root, x)})
 

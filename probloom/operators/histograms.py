@@ -97,13 +97,13 @@ def to_piecewise(edges: Sequence[float], density: Sequence[float], kind: str) ->
     return xs, [y / area for y in ys] if area > 0 else ys
 
 
-def irregular(counts: np.ndarray, edges: np.ndarray, most: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def irregular(counts: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges and density of the penalised-likelihood histogram over a fine equal-width grid.
 
     Dynamic programming over all partitions of the grid into D bins maximises
     sum N ln(N / (n w)) - (D - 1) (1 + ln(B / D)) - ln(D)^2.5, which charges both
-    for the number of bins and for the choice among their places. The grid has
-    at most a few hundred cells whatever the data's size.
+    for the number of bins and for the choice among their places. It ends where
+    the charge alone outweighs what all cells together could still gain.
     """
     n, b = float(counts.sum()), len(counts)
     if n == 0 or b == 1:
@@ -113,7 +113,10 @@ def irregular(counts: np.ndarray, edges: np.ndarray, most: int = 60) -> tuple[np
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where((mass > 0) & (width > 0), mass * np.log(mass / (n * width)), np.where(width > 0, 0.0, -np.inf))
     best, back, scores = gain[0], [], [(gain[0, b], 1)]
-    for d in range(2, min(most, b) + 1):
+    limit = float(gain[np.arange(b), np.arange(1, b + 1)].sum())  # every cell a bin
+    for d in range(2, b + 1):
+        if limit - (d - 1) * (1 + math.log(b / d)) - math.log(d) ** 2.5 <= max(scores)[0]:
+            break
         total = best[:, None] + gain
         back.append(total.argmax(0))
         best = total.max(0)

@@ -107,6 +107,27 @@ def _log_factorial(v: int | np.ndarray) -> np.ndarray:
     return np.where(v < 256, _LOG_FACTORIALS[np.minimum(v, 255).astype(int)], w * np.log(w) - w + 0.5 * np.log(2 * math.pi * w) + 1 / (12 * w) - 1 / (360 * w**3))
 
 
+def _expected_information(a: np.ndarray, b: np.ndarray, chunk: int = 1 << 20) -> float:
+    """Mean mutual information of the tables with margins ``a`` and ``b``; margins of equal size are taken together."""
+    n = float(a.sum())
+    (x, nx), (y, ny) = (np.unique(v[v > 0], return_counts=True) for v in (np.asarray(a, float), np.asarray(b, float)))
+    x, y, w = (np.repeat(x, len(y)), np.tile(y, len(x)), np.outer(nx, ny).ravel())
+    # Overlaps farther than 40 deviations from the mean have no weight in double precision.
+    mean, wide = x * y / n, 40 * np.sqrt(x * y * (n - x) * (n - y) / (n * n * max(n - 1, 1))) + 40
+    lo = np.maximum(np.maximum(1, x + y - n), np.floor(mean - wide))
+    size = np.maximum(np.minimum(np.minimum(x, y), np.ceil(mean + wide)) - lo + 1, 0).astype(int)
+    total, at = 0.0, 0
+    ends = np.cumsum(size)
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, side="right")))
+        own = np.repeat(np.arange(at, to), size[at:to])
+        u, v, k = x[own], y[own], lo[own] + np.arange(len(own)) - np.repeat(np.cumsum(size[at:to]) - size[at:to], size[at:to])
+        p = np.exp(sum(_log_factorial(t) for t in (u, v, n - u, n - v)) - sum(_log_factorial(t) for t in (n, k, u - k, v - k, n - u - v + k)))
+        total += float((w[own] * k / n * np.log(n * k / (u * v)) * p).sum())
+        at = to
+    return total
+
+
 def adjusted_mutual_information(table: np.ndarray) -> float:
     """Mutual information of a contingency table, corrected for chance (arithmetic mean of entropies)."""
     n = table.sum()
@@ -114,15 +135,7 @@ def adjusted_mutual_information(table: np.ndarray) -> float:
     with np.errstate(divide="ignore", invalid="ignore"):
         mi = np.nansum(np.where(table > 0, table / n * np.log(n * table / np.outer(a, b)), 0))
     entropy = lambda v: -sum(x / n * math.log(x / n) for x in v if x > 0)
-    m, expected = int(n), 0.0
-    for x in map(int, a):
-        for y in map(int, b):
-            # Overlaps farther than 40 deviations from the mean have no weight in double precision.
-            mean, wide = x * y / n, 40 * math.sqrt(x * y * (n - x) * (n - y) / (n * n * max(n - 1, 1))) + 40
-            k = np.arange(max(1, x + y - m, math.floor(mean - wide)), min(x, y, math.ceil(mean + wide)) + 1)
-            if len(k):
-                p = np.exp(sum(_log_factorial(v) for v in (x, y, m - x, m - y)) - sum(_log_factorial(v) for v in (m, k, x - k, y - k, m - x - y + k)))
-                expected += float((k / n * np.log(n * k / (x * y)) * p).sum())
+    expected = _expected_information(a, b)
     ha, hb = entropy(a), entropy(b)
     if ha == 0 and hb == 0:
         return 1.0

@@ -27,36 +27,37 @@ def running_sums(df: DataFrame, order: list[str], values: dict[str, str], by: li
     sums = rows.groupBy(*by, "__part").agg(*[F.sum(v).alias(f"__s_{o}") for o, v in values.items()])
     sums = sums.select(*by, "__part", *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in values])  # a row per group and range
     inner = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"__in_{o}": F.sum(v).over(inner) for o, v in values.items()}).join(F.broadcast(sums), [*by, "__part"])
+    rows = rows.withColumns({f"__in_{o}": F.sum(v).over(inner) for o, v in values.items()})
+    if by:  # as many rows as groups and ranges
+        rows = rows.alias("r").join(sums.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), *[f"__b_{o}" for o in values]).alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)] + [F.col("__part") == F.col("__p")])
+    else:  # a row per range
+        rows = rows.join(F.broadcast(sums), "__part")
     return rows.select(*df.columns, *[(F.col(f"__in_{o}") + F.col(f"__b_{o}")).alias(o) for o in values])
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Running sum in ``order`` (which must be total), per group or over the whole table.
-
-    The whole table is range-partitioned; each range is summed on its own and
-    shifted by the sums of the ranges before it.
-    """
-    if by:
-        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = _ranged(df, order)
-    sums = rows.groupBy("__part").agg(F.sum(value).alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    inner = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__in", inner).join(F.broadcast(sums.withColumn("__b", before).drop("__s")), "__part").select(*df.columns, (F.col("__in") + F.col("__b")).alias(out))
+    """Running sum in ``order`` (which must be total), per group or over the whole table."""
+    return running_sums(df, order, {out: value}, by)
 
 
 def ecdf(df: DataFrame, column: str, out: str = "ecdf", by: list[str] | None = None) -> DataFrame:
-    """Share of values not above this one (ties take the greatest rank); NULLs have none and don't count."""
+    """Share of values not above this one, in each group or all rows (ties take the greatest rank); NULLs have none and don't count.
+
+    Rows are counted by value first, so a value that many rows share is one row
+    of the running sum, and the shares are joined back to the rows.
+    """
+    by = by or []
     rows = df.where(F.col(column).isNotNull())
-    if by:
-        return rows.withColumn(out, F.cume_dist().over(Window.partitionBy(*by).orderBy(column)))
-    parts = _ranged(rows, [column])
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__part")
-    shifted = counts.select("__part", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"), F.sum("__n").over(Window.partitionBy()).alias("__t"))
-    inner = F.count(F.lit(1)).over(Window.partitionBy("__part").orderBy(column).rangeBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("__in", inner).join(F.broadcast(shifted), "__part").select(*df.columns, ((F.col("__in") + F.col("__b")) / F.col("__t")).alias(out))
+    key = [f"__k{i}" for i in range(len(by))]
+    counts = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, key)], F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    sums = running_sums(counts, ["__v"], {"__below": "__n"}, key)
+    total = sums.groupBy(*key).agg(F.max("__below").alias("__all"))
+    if key:
+        sums = sums.alias("s").join(total.select(*[F.col(k).alias(f"__t{k}") for k in key], "__all"), [F.col(f"s.{k}").eqNullSafe(F.col(f"__t{k}")) for k in key]).drop(*[f"__t{k}" for k in key])
+    else:
+        sums = sums.crossJoin(F.broadcast(total))  # one row
+    on = [F.col(column) == F.col("__v")] + [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, key)]
+    return rows.join(sums, on).select(*df.columns, (F.col("__below") / F.col("__all")).alias(out))
 
 
 def pairs_in_order(df: DataFrame, order: list[str], columns: list[str], by: list[str]) -> DataFrame:

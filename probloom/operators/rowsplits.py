@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from probloom.functions import scalar as S
+from probloom.operators import dependence as D
 from probloom.operators.graphs import connected
 from probloom.runtime import stored
 
@@ -25,22 +28,25 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int = 2, seed: int = 17, ou
     return scored.unionByName(df.where(~(S.add([F.col(c).isNull().cast("int") for c in columns]) == 0)).withColumn(out, F.lit(None).cast("int")))
 
 
-def _share_below(edges: Column, x: Column, n: int) -> Column:
-    return F.size(F.filter(edges, lambda e: e <= x)) / float(n)
-
-
-def rdc_kmeans(df: DataFrame, columns: Sequence[str], k: int = 2, features: int = 10, seed: int = 17, out: str = "cluster") -> DataFrame:
-    """k-means on sine features of the rank-transformed columns (ranks from 256 quantiles)."""
-    at = [(i + 1) / 256 for i in range(256)]
+def rdc_kmeans(df: DataFrame, columns: Sequence[str], k: int = 2, seed: int = 17, out: str = "cluster") -> DataFrame:
+    """k-means on the sine features of the rank-transformed columns (ranks from 256 quantiles); rows with a NULL get none."""
+    at = [(i + 1) / D.QUANTILES for i in range(D.QUANTILES)]
     grid = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, 10_000).alias(c) for c in columns]).first()
-    rng, made = np.random.default_rng(seed), {}
-    for c in columns:
-        q = sorted(grid[c] or [0.0])
-        edges = F.array(*[S.lit(v) for v in q])
-        u = _share_below(edges, F.col(c).cast("double"), len(q))
-        for i, (w, b) in enumerate(zip(rng.normal(0, 6, features), rng.uniform(0, 2 * math.pi, features))):
-            made[f"__f_{c}_{i}"] = F.sin(u * S.lit(w) + S.lit(b))
-    return kmeans(df.withColumns(made), list(made), k, seed, out).drop(*made)
+    grids = [np.array(sorted(grid[c] or [0.0])) for c in columns]
+    features = D.feature_count([1] * len(columns))
+    made = [f"__f{i}" for i in range(features * len(columns))]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.hstack([D.nonlinear(np.asarray(b.column(i).to_numpy(zero_copy_only=False), float), grids[i], seed + i, features) for i in range(len(grids))])
+            gone = np.isnan(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(grids))], 1).astype(float)).any(1)
+            yield pa.RecordBatch.from_arrays([*b.columns[len(grids) :], *[pa.array(v, mask=gone) for v in f.T]], [*b.schema.names[len(grids) :], *made])
+
+    given = [f"__u{i}" for i in range(len(df.columns))]
+    rows = df.select(*[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)], *[F.col(c).alias(u) for c, u in zip(df.columns, given)])
+    shape = StructType([*rows.select(*given).schema.fields, *[StructField(m, DoubleType()) for m in made]])
+    scored = kmeans(rows.mapInArrow(project, shape), made, k, seed, "__cluster")
+    return scored.select(*[F.col(u).alias(c) for c, u in zip(df.columns, given)], F.col("__cluster").alias(out))
 
 
 def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, least: int, out: str = "cluster") -> DataFrame:

@@ -255,7 +255,7 @@ GLASS_KINDS = ["continuous"] * 4 + ["categorical"]
 
 def _learned(spark: SparkSession, d: str, **settings: object) -> tuple[DataFrame, N.Node]:
     x = _glass(spark, d).dropna()
-    return x, L.learn(x, GLASS, GLASS_KINDS, L.Settings(min_rows=max(200, x.count() // 20), **settings))
+    return x, L.learn(x, GLASS, GLASS_KINDS, L.Settings(**settings))
 
 
 @query("learn_glass")
@@ -267,11 +267,10 @@ def learn_glass(spark: SparkSession, d: str) -> DataFrame:
 
 @query("learn_strategies")
 def learn_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Mean likelihood and size of models by other row and column splits (all of them are covered by tests)."""
-    out, x = [], _glass(spark, d).dropna()
-    least = x.count() // 3
-    for rows, columns in (("modal", "rdc"), ("gower", "distance"), ("hyperplane", "ami")):
-        model = L.learn(x, GLASS, GLASS_KINDS, L.Settings(rows=rows, columns=columns, min_rows=least))
+    """Mean likelihood and size of models by the other row and column splits."""
+    out, x = [], stored(_glass(spark, d).dropna(), "glass")
+    for rows, columns in (("random", "none"), ("hyperplane", "ami"), ("conditioning", "stability"), ("modal", "rdc"), ("gower", "distance"), ("dbscan", "ami"), ("rdc_kmeans", "rdc"), ("poisson", "blockwise")):
+        model = L.learn(x, GLASS, GLASS_KINDS, L.Settings(rows=rows, columns=columns))
         mean = score.log_likelihood(x, model, GLASS).agg(F.avg("ll")).first()[0]
         out.append((rows, columns, round(float(mean), 4), N.size(model)["nodes"]))
     return spark.createDataFrame(out, "rows string, columns string, mean_ll double, nodes int")
@@ -283,7 +282,7 @@ def learn_folds(spark: SparkSession, d: str) -> DataFrame:
     spec = features_of(table(spark, d, "feature_domain"), "pima_indians_diabetes")
     cols = ["bmi", "diabetes_pedigree", "age", "pregnant"]
     x = table(spark, d, "pima_indians_diabetes").select("record_id", *[known(F.col(c), spec[c]).alias(c) for c in cols]).dropDuplicates(["record_id"]).dropna()
-    x = folds.k_fold(x, ["record_id"], 3)
+    x = stored(folds.k_fold(x, ["record_id"], 3), "folds")
     out = []
     for i in range(3):
         model = L.learn(x.where(F.col("fold") != i), cols, ["continuous", "continuous", "discrete", "discrete"], L.Settings(min_rows=1000, families=("gaussian", "piecewise", "isotonic", "poisson")))

@@ -421,7 +421,7 @@ def kmeans_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rdc_kmeans_split")
 def rdc_kmeans_split(spark: SparkSession, d: str) -> DataFrame:
-    return rowsplits.rdc_kmeans(_glass(spark, d).dropna(), ["na2o", "mgo", "al2o3"], 2, 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return rowsplits.rdc_kmeans(_glass(spark, d).dropna(), ["na2o", "mgo", "al2o3"], 2).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("density_split")

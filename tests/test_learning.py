@@ -94,3 +94,31 @@ def test_dependency_network(spark):
     holes = df.limit(5).unionByName(spark.createDataFrame([(None, 9), (2, None)], "a int, b int"))
     done = DependencyNetwork(["a", "b"], "tree", 3).fit(df).complete(holes)
     assert done.where("a IS NULL OR b IS NULL").count() == 0
+
+
+@pytest.mark.parametrize(("rows", "columns"), [("kmeans", "rdc"), ("rdc_kmeans", "ami"), ("hyperplane", "stability"), ("modal", "none")])
+def test_large_slices_are_learned_as_small_ones(spark, mixed, monkeypatch, rows, columns):
+    found = {}
+    for cells in (0, 1200, 10**6):  # all by passes over the table, a part in tasks, all in one task
+        monkeypatch.setattr(L, "LOCAL_CELLS", cells)
+        model = L.learn(mixed, COLS, KINDS, L.Settings(rows=rows, columns=columns, min_rows=300))
+        nodes.validate(model)
+        found[cells] = score.log_likelihood(mixed.dropna().where("NOT isnan(a)"), model, COLS).agg(F.avg("ll")).first()[0]
+    assert max(found.values()) - min(found.values()) < 0.6
+
+
+def test_independent_columns_stay_below_the_threshold():
+    rng = np.random.default_rng(8)
+    above = [D.rdc_matrix(rng.normal(size=(200, 2)))[0, 1] > 0.3 for _ in range(100)]
+    assert np.mean(above) <= 0.05
+    c = rng.integers(0, 4, 500)
+    m = D.rdc_matrix(np.column_stack([np.where(c == 2, 5.0, 0.0) + rng.normal(0, 1, 500), c, rng.integers(0, 3, 500)]), {1: range(4), 2: range(3)})
+    assert m[0, 1] > 0.6 and m[0, 2] < 0.3 and m[1, 2] < 0.3
+
+
+def test_exact_coefficients_over_all_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 30, 900).astype(float)
+    y = np.column_stack([x, (x - 15) ** 2 + rng.normal(0, 20, 900), rng.normal(size=900)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in y] + [(None, 1.0, 2.0)], "a double, b double, c double")
+    assert np.abs(D.rdc_exact(df, ["a", "b", "c"]) - D.rdc_matrix(y)).max() < 1e-4

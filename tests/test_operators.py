@@ -178,5 +178,5 @@ def test_splits_keep_all_rows(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=200), "y": rng.normal(size=200)}))
     assert rowsplits.kmeans(df, ["x", "y"]).where("cluster IS NOT NULL").count() == 200
-    assert rowsplits.rdc_kmeans(df, ["x", "y"], features=3).count() == 200
+    assert rowsplits.rdc_kmeans(df, ["x", "y"]).count() == 200
     assert rowsplits.hyperplane(df, ["x", "y"], [1.0, 0.0]).count() == 200
