@@ -343,7 +343,8 @@ def _column_groups(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequ
             out[s.no] = above(D.rdc_from_moments(v[0], v[1 : m + 1], v[m + 1 :].reshape(m, m), len(s.features), size[s.no]), c.threshold)
         return out
     if c.columns == "distance":
-        return {s.no: above(D.distance_matrix(rows.held_of(s)[:, s.features]), c.threshold) for s in slices}
+        ranked = lambda x: np.column_stack([D.ranks(v, np.sort(v)) for v in x.T])
+        return {s.no: above(D.distance_matrix(ranked(rows.held_of(s)[:, s.features])), c.threshold) for s in slices}
     if c.columns == "ami":
         codes: dict[int, dict[int, Callable]] = {}
         grids = rows.quantiles(slices, {s.no: [f for f in s.features if kinds[f] == "continuous"] for s in slices})

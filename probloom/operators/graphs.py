@@ -94,7 +94,7 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dependency_graphs(kinds: Sequence[str] = ("continuous", "discrete", "categorical")) -> list[dict]:
-    """All labelled three-node graphs: type of each node times presence of each link."""
+    """All three-node graphs: type of each node times the state of each link (0 none, 1 from the first node, 2 from the second)."""
     from itertools import product
 
-    return [{"types": t, "links": links} for t in product(kinds, repeat=3) for links in product((0, 1), repeat=3)]
+    return [{"types": t, "links": links} for t in product(kinds, repeat=3) for links in product((0, 1, 2), repeat=3)]

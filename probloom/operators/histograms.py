@@ -31,6 +31,13 @@ def equal_edges(lo: float, hi: float, bins: int) -> list[float]:
     return [lo + (hi - lo) * i / bins for i in range(bins)] + [hi] if hi > lo else [lo - 0.5, lo + 0.5]
 
 
+def same_binning(a: object, b: object) -> bool:
+    """Whether two settings of bins agree: of one type, and equal names or numbers, or edges close to one another."""
+    if type(a) is not type(b):
+        return False
+    return a == b if isinstance(a, (str, int)) else bool(np.shape(a) == np.shape(b) and np.allclose(a, b))
+
+
 def freedman_diaconis(lo: float, hi: float, iqr: float, n: int, most: int = FINE_BINS) -> int:
     """Number of equal bins by the Freedman-Diaconis rule."""
     width = 2 * iqr / max(n, 1) ** (1 / 3)

@@ -43,6 +43,12 @@ def improvement(value: Column, base: Column) -> Column:
     return (value - base) / base * 100
 
 
+def improvement_summary(df: DataFrame, value: str, base: str, by: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of the improvement over runs."""
+    gain = improvement(F.col(value), F.col(base))
+    return df.groupBy(*by).agg(F.avg(gain).alias("mean_gain"), F.stddev_pop(gain).alias("std_gain"))
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Counts per pair of labels, and the same over the greatest count."""
     n = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
@@ -69,6 +75,23 @@ def multilabel(df: DataFrame, truth: Sequence[str], predicted: Sequence[str]) ->
     return df.agg(F.avg((same == len(truth)).cast("double")).alias("exact_match"), (F.avg(same) / len(truth)).alias("one_minus_hamming"), F.avg(F.when(either == 0, S.lit(1)).otherwise(both / either)).alias("jaccard"))
 
 
+def multilabel_f1(df: DataFrame, truth: Sequence[str], predicted: Sequence[str]) -> DataFrame:
+    """Micro- and macro-averaged F1 of 0/1 labels, from counts of each label; a label never set nor predicted has F1 0."""
+    hit = [F.sum((F.col(t) * F.col(p)).cast("long")) for t, p in zip(truth, predicted)]
+    both = [F.sum((F.col(t) + F.col(p)).cast("long")) for t, p in zip(truth, predicted)]
+    return df.agg((2 * S.add(hit) / S.add(both)).alias("micro_f1"), (S.add([F.when(b > 0, 2 * h / b).otherwise(S.lit(0)) for h, b in zip(hit, both)]) / len(truth)).alias("macro_f1"))
+
+
+def multilabel_precision(df: DataFrame, truth: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """Micro- and macro-averaged average precision of 0/1 labels and their scores."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(t).alias("label"), F.col(t).cast("long").alias("y"), F.col(s).cast("double").alias("s")) for t, s in zip(truth, scores)])).alias("c")).select("c.*")
+    each = [average_precision(cells.where(F.col("label") == t), "y", "s").select(F.lit("macro").alias("kind"), "average_precision") for t in truth]
+    out = average_precision(cells, "y", "s").select(F.lit("micro").alias("kind"), "average_precision")
+    for e in each:
+        out = out.unionByName(e)
+    return out.groupBy("kind").agg(F.avg("average_precision").alias("average_precision"))
+
+
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under precision over recall by steps; equal scores are taken together.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probloom.functions import scalar as S
+from probloom.operators.ordered import running_sums
 
 
 def one_hot(column: str, domain: Sequence[object], strict: bool = True) -> Column:
@@ -28,6 +31,32 @@ def domain_of(df: DataFrame, column: str, most: int = 10_000) -> list:
     return sorted(got)
 
 
+#: Accuracy of the first, approximate pass of exact quantiles.
+NARROW = 2000
+
+
+def exact_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float]:
+    """Exact quantiles with linear interpolation (NULLs don't count), in two passes of bounded memory.
+
+    Approximate quantiles bracket the ranks wanted; the values within the
+    brackets, a small share of all, are counted and give the exact ranks.
+    """
+    x = F.col(column).cast("double")
+    rows = df.select(x.alias("v")).where("v IS NOT NULL")
+    pad = 2.0 / NARROW
+    lo_hi = [min(max(p + e, 0.0), 1.0) for p in at for e in (-pad, pad)]
+    n, least, greatest, near = rows.agg(F.count("v"), F.min("v"), F.max("v"), F.percentile_approx("v", lo_hi, NARROW)).first()
+    bounds = [(least if p - pad <= 0 else near[2 * i], greatest if p + pad >= 1 else near[2 * i + 1]) for i, p in enumerate(at)]
+    below = rows.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(bounds)]).first()
+    out = []
+    for i, (p, (lo, hi)) in enumerate(zip(at, bounds)):
+        rank = p * (n - 1)
+        some = running_sums(rows.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"], {"to": "n"})
+        a, b = (some.where(F.col("to") + below[i] > r).agg(F.min("v")).first()[0] for r in (math.floor(rank), math.ceil(rank)))
+        out.append(a + (b - a) * (rank - math.floor(rank)))
+    return out
+
+
 def without_outliers(df: DataFrame, columns: Sequence[str], k: float = 5.0) -> DataFrame:
     """Column by column keep |x - median| < k * population deviation, each on what the one before left.
 
@@ -35,9 +64,10 @@ def without_outliers(df: DataFrame, columns: Sequence[str], k: float = 5.0) -> D
     """
     for c in columns:
         x = F.col(c).cast("double")
-        m, s = df.agg(F.percentile(x, 0.5), F.stddev_pop(x)).first()
-        if m is None:
+        s = df.agg(F.stddev_pop(x)).first()[0]
+        if s is None:
             return df.where(F.lit(False))
+        m = exact_quantiles(df, c, [0.5])[0]
         df = df.where(F.abs(x - S.lit(m)) < S.lit(k * s))
     return df
 
@@ -69,7 +99,10 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def discretised(df: DataFrame, column: str, out: str) -> DataFrame:
     """z-score, then the number of Freedman-Diaconis edges not above it (0 below the first edge)."""
     x = F.col(column).cast("double")
-    m, s, lo, hi, n, q = df.agg(F.avg(x), F.stddev_pop(x), F.min(x), F.max(x), F.count(x), F.percentile(x, F.array(S.lit(0.25), S.lit(0.75)))).first()
+    m, s, lo, hi, n = df.agg(F.avg(x), F.stddev_pop(x), F.min(x), F.max(x), F.count(x)).first()
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    q = exact_quantiles(df, column, [0.25, 0.75])
     s = s or 1.0
     lo, hi, iqr = (lo - m) / s, (hi - m) / s, (q[1] - q[0]) / s
     width = 2 * iqr / n ** (1 / 3)
@@ -103,8 +136,16 @@ def gray(pixels: Column) -> Column:
     return F.zip_with(F.zip_with(r, g, lambda x, y: x * 0.2989 + y * 0.5870), b, lambda s, z: s + z * 0.1140)
 
 
-#: Named predicates on a digit.
-DIGIT_RULES = {"even": (0, 2, 4, 6, 8), "odd": (1, 3, 5, 7, 9), "prime": (2, 3, 5, 7), "small": (0, 1, 2, 3, 4), "curved": (0, 2, 3, 5, 6, 8, 9), "looped": (0, 6, 8, 9), "fives": (0, 5)}
+#: Digits with a stroke of each shape (fixed values).
+DIGIT_RULES = {
+    "vertical_stroke": (1, 4, 7),
+    "circle_stroke": (0, 6, 8, 9),
+    "curve_left": (2, 3, 5, 8, 9),
+    "curve_right": (5, 6),
+    "horizontal_stroke": (2, 3, 4, 5, 7),
+    "double_curve": (3, 8),
+    "four_or_nine": (4, 9),
+}
 
 
 def label_rules(column: str, rules: dict[str, Sequence[int]] | None = None) -> list[Column]:
@@ -112,6 +153,22 @@ def label_rules(column: str, rules: dict[str, Sequence[int]] | None = None) -> l
     return [F.col(column).isin(*v).cast("int").alias(k) for k, v in (rules or DIGIT_RULES).items()]
 
 
+def random_rules(rules: int, codes: Sequence[int], seed: int = 1337) -> dict[str, list[int]]:
+    """Random patterns: for every rule a random half of the codes."""
+    rng = np.random.default_rng(seed)
+    return {f"rule_{i}": sorted(int(c) for c, on in zip(codes, rng.random(len(codes)) < 0.5) if on) for i in range(rules)}
+
+
+def without_classes(df: DataFrame, label: str, classes: Sequence[object]) -> DataFrame:
+    """Rows of other classes; rows without a class stay."""
+    return df.where(F.col(label).isNull() | ~F.col(label).isin(*classes)) if classes else df
+
+
+def log_counts(columns: Sequence[str], root: bool = False) -> list[Column]:
+    """Counts on a scale for clustering: log(1 + x), or the square root."""
+    return [(F.sqrt(c) if root else F.log1p(c)).alias(c) for c in columns]
+
+
 def informative(tokens: DataFrame, token: str, count: str, least: float, last: Sequence[str] = ()) -> DataFrame:
     """Tokens whose total count is above ``least``; those of ``last`` come last in ``place`` whatever their count."""
     total = tokens.groupBy(token).agg(F.sum(count).alias("total")).where((F.col("total") > least) | F.col(token).isin(*last) if last else F.col("total") > least)

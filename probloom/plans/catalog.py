@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from probloom.plans import preparation  # noqa: E402, F401  (registers its queries)
-from probloom.plans import models, tables  # noqa: E402, F401
+from probloom.plans import files, models, tables  # noqa: E402, F401

@@ -43,6 +43,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled_patients(spark, sf_dir, df).select("record_id", F.explode(F.array_compact(cells)).alias("field_name"))
 
 
+@query(
+    "p1_counts",
+    " UNION ALL ".join(
+        f"""SELECT '{f}' AS field_name, count(*) AS records, count_if(gone)::BIGINT AS filled, 0::BIGINT AS wrong, 0::BIGINT AS changed FROM (SELECT record_id, any_value(NOT coalesce({'list_contains(domain_codes, class_code)' if f == 'class_code' else f'NOT isnan({f}) AND {f} BETWEEN domain_lo AND domain_hi'}, false)) AS gone
+        FROM pima_indians_diabetes, feature_domain WHERE table_name = 'pima_indians_diabetes' AND field_name = '{f}' GROUP BY 1)"""
+        for f in P1_TARGETS
+    ),
+)
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field: records, filled cells, fills outside the domain, and known cells that came out changed."""
+    spec = features_of(table(spark, sf_dir, "feature_domain"), "pima_indians_diabetes")
+    before = table(spark, sf_dir, "pima_indians_diabetes").dropDuplicates(["record_id"])
+    before = stored(before.withColumns({f"was_{t}": F.col(t) for t in P1_TARGETS}), "patients")
+    after = stored(filled_patients(spark, sf_dir, before), "filled")
+    cells = [F.struct(F.lit(t).alias("field_name"), F.col(f"{t}_filled").alias("filled"), known(F.col(t), spec[t]).isNull().alias("wrong"), (~F.col(f"{t}_filled") & ~F.col(t).eqNullSafe(F.col(f"was_{t}"))).alias("changed")) for t in P1_TARGETS]
+    rows = after.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return rows.groupBy("field_name").agg(F.count(F.lit(1)).alias("records"), *[F.count_if(c).alias(c) for c in ("filled", "wrong", "changed")])
+
+
 @query("p1_error")
 def p1_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills of known cells against their values, a tenth of the cells of each field hidden in turn by hash.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product as cross
 
+import numpy as np
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,76 @@ def multilabel_scores(spark: SparkSession, d: str) -> DataFrame:
     return metrics.multilabel(x, ["a", "b"], ["u", "v"]).select(*[r(c, 8).alias(c) for c in ("exact_match", "one_minus_hamming", "jaccard")])
 
 
+_LABELS = "SELECT l_linenumber % 2 AS a, (l_linenumber < 4)::INT AS b, (l_quantity > 25)::INT AS u, (l_discount > 0.05)::INT AS v, l_quantity AS s, l_extendedprice AS t FROM lineitem"
+
+
+@query("multilabel_f1", f"WITH x AS ({_LABELS}) SELECT round(2.0 * (sum(a * u) + sum(b * v)) / (sum(a + u) + sum(b + v)), 8) AS micro_f1, round((2.0 * sum(a * u) / sum(a + u) + 2.0 * sum(b * v) / sum(b + v)) / 2, 8) AS macro_f1 FROM x")
+def multilabel_f1(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).alias("a"), (F.col("l_linenumber") < 4).cast("int").alias("b"), (F.col("l_quantity") > 25).cast("int").alias("u"), (F.col("l_discount") > 0.05).cast("int").alias("v"))
+    return metrics.multilabel_f1(x, ["a", "b"], ["u", "v"]).select(*[r(c, 8).alias(c) for c in ("micro_f1", "macro_f1")])
+
+
+@query(
+    "multilabel_precision",
+    f"WITH x AS ({_LABELS}), c AS (SELECT 'a' AS l, a AS y, s FROM x UNION ALL SELECT 'b', b, t FROM x), g AS (SELECT l, y, s FROM c UNION ALL SELECT 'micro', y, s FROM c), p AS (SELECT l, s, sum(y) AS tp, count(*) AS n FROM g GROUP BY l, s), "
+    "k AS (SELECT l, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM p WINDOW w AS (PARTITION BY l ORDER BY s DESC)), e AS (SELECT l, sum(tp * ctp / cn) / sum(tp) AS ap FROM k GROUP BY l) "
+    "SELECT CASE WHEN l = 'micro' THEN 'micro' ELSE 'macro' END AS kind, round(avg(ap), 8) AS average_precision FROM e GROUP BY 1",
+)
+def multilabel_precision(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).alias("a"), (F.col("l_linenumber") < 4).cast("int").alias("b"), "l_quantity", "l_extendedprice")
+    return metrics.multilabel_precision(x, ["a", "b"], ["l_quantity", "l_extendedprice"]).select("kind", r("average_precision", 8).alias("average_precision"))
+
+
+@query("improvement_summary", "SELECT c_mktsegment, round(avg((c_acctbal - 500) / 500 * 100), 6) AS mean_gain, round(stddev_pop((c_acctbal - 500) / 500 * 100), 6) AS std_gain FROM customer GROUP BY 1")
+def improvement_summary(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "customer").withColumn("base", F.lit(500.0))
+    return metrics.improvement_summary(x, "c_acctbal", "base", ["c_mktsegment"]).select("c_mktsegment", r("mean_gain").alias("mean_gain"), r("std_gain").alias("std_gain"))
+
+
+@query("class_filter", "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber NOT IN (2, 5) GROUP BY 1")
+def class_filter(spark: SparkSession, d: str) -> DataFrame:
+    return P.without_classes(table(spark, d, "lineitem"), "l_linenumber", [2, 5]).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("log_counts", "SELECT round(sum(ln(1 + l_quantity)), 4) AS logs, round(sum(sqrt(l_quantity)), 4) AS roots FROM lineitem")
+def log_counts(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem")
+    return x.select(*P.log_counts(["l_quantity"]), P.log_counts(["l_quantity"], True)[0].alias("root")).agg(r(F.sum("l_quantity"), 4).alias("logs"), r(F.sum("root"), 4).alias("roots"))
+
+
+@query("exact_quantiles", "SELECT round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.99), 6) AS q99 FROM lineitem")
+def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    q = P.exact_quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.99])
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in q)], "q10 double, q50 double, q99 double")
+
+
+def _fixed_features(u: str, w: list, b: list) -> list[str]:
+    return [f"sin({u} * {x} + {y})" for x, y in zip(w, b)]
+
+
+#: Weights (value, constant) of two columns' features, fixed so that SQL can state the coefficient.
+_W = [([0.11, -0.07], [0.05, 0.14]), ([-0.09, 0.13], [0.12, -0.03])]
+
+
+def _coefficient_sql() -> str:
+    f = [*_fixed_features("u", *_W[0]), *_fixed_features("v", *_W[1])]
+    cov = ", ".join(f"covar_pop(f{i}, f{j}) AS c{i}{j}" for i in range(4) for j in range(i, 4))
+    return f"""WITH r AS (SELECT cume_dist() OVER (ORDER BY l_quantity) AS u, cume_dist() OVER (ORDER BY l_extendedprice) AS v FROM lineitem),
+      f AS (SELECT {', '.join(f'{x} AS f{i}' for i, x in enumerate(f))} FROM r), c AS (SELECT {cov} FROM f),
+      a AS (SELECT *, c00 * c11 - c01 * c01 AS dx, c22 * c33 - c23 * c23 AS dy FROM c),
+      p AS (SELECT (c11 * c02 - c01 * c12) / dx AS p00, (c11 * c03 - c01 * c13) / dx AS p01, (c00 * c12 - c01 * c02) / dx AS p10, (c00 * c13 - c01 * c03) / dx AS p11,
+        (c33 * c02 - c23 * c03) / dy AS q00, (c33 * c12 - c23 * c13) / dy AS q01, (c22 * c03 - c23 * c02) / dy AS q10, (c22 * c13 - c23 * c12) / dy AS q11 FROM a),
+      m AS (SELECT p00 * q00 + p01 * q10 + p10 * q01 + p11 * q11 AS t, (p00 * p11 - p01 * p10) * (q00 * q11 - q01 * q10) AS d FROM p)
+      SELECT round(sqrt(t / 2 + sqrt(greatest(t * t / 4 - d, 0))), 4) AS coefficient FROM m"""
+
+
+@query("dependence_coefficient", _coefficient_sql())
+def dependence_coefficient(spark: SparkSession, d: str) -> DataFrame:
+    """The whole randomised dependence coefficient of two columns, from exact ranks."""
+    m = dependence.rdc_exact(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], [np.array(w) for w in _W])
+    return spark.createDataFrame([(round(float(m[0, 1]), 4),)], "coefficient double")
+
+
 @query("average_precision", "WITH s AS (SELECT value AS v, sum((event_type = 'click')::INT) AS tp, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY value), c AS (SELECT tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM s WINDOW w AS (ORDER BY v DESC)) SELECT round(sum(tp * ctp / cn) / sum(tp), 8) AS average_precision FROM c")
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "events").select((F.col("event_type") == "click").alias("y"), "value")
@@ -460,9 +531,16 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.connected(p.distinct())
 
 
-@query("dependency_graphs")
+_KINDS = "(SELECT unnest(['continuous', 'discrete', 'categorical']) AS k, generate_subscripts([1, 2, 3], 1) - 1 AS i)"
+_STATES = "(SELECT unnest([0, 1, 2])::INT AS l)"
+
+
+@query(
+    "dependency_graphs",
+    f"SELECT (a.i * 243 + b.i * 81 + c.i * 27 + x.l * 9 + y.l * 3 + z.l)::BIGINT AS graph, a.k || ',' || b.k || ',' || c.k AS types, x.l || ',' || y.l || ',' || z.l AS links FROM {_KINDS} a, {_KINDS} b, {_KINDS} c, {_STATES} x, {_STATES} y, {_STATES} z",
+)
 def dependency_graphs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(i, list(g["types"]), list(g["links"])) for i, g in enumerate(graphs.dependency_graphs())], "graph int, types array<string>, links array<int>")
+    return spark.createDataFrame([(i, ",".join(g["types"]), ",".join(map(str, g["links"]))) for i, g in enumerate(graphs.dependency_graphs())], "graph long, types string, links string")
 
 
 # --- distances ------------------------------------------------------------------------

@@ -6,7 +6,10 @@ from __future__ import annotations
 import atexit
 import math
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder, deleted when the program ends."""
+    at = f"{shared_dir(spark)}/probloom/{label}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark, at))
+    return at
+
+
 def freed(*frames: DataFrame) -> None:
     """Delete stored tables that no later plan reads; other frames are left alone."""
     for df in frames:
@@ -77,6 +87,21 @@ def _clean() -> None:
         _delete(*entry)
 
 
+class Timer:
+    """Seconds of a block, and of several blocks by name."""
+
+    def __init__(self) -> None:
+        self.elapsed: dict[str, float] = {}
+
+    @contextmanager
+    def measure(self, name: str = "block") -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.elapsed[name] = self.elapsed.get(name, 0.0) + time.perf_counter() - began
+
+
 #: Rows of one salt of a group, rows of a table that may be broadcast.
 SALT_ROWS, BROADCAST_ROWS = 100_000, 50_000
 

@@ -30,6 +30,14 @@ def save_splits(df: DataFrame, columns: Sequence[S.Column_], path: str) -> None:
     df.select(*S.output_formats(df, columns), "split").write.mode("overwrite").partitionBy("split").csv(path)
 
 
+def save_named(df: DataFrame, columns: Sequence[S.Column_], name: str, folder: str) -> None:
+    """The files that ``load_splits`` reads: the schema, and a data file (a folder of parts) per split."""
+    lines = S.format_columns(columns).splitlines()
+    df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(f"{folder}/{name}.features")  # a line per column
+    for s in SPLITS:
+        df.where(F.col("split") == s).select(*S.output_formats(df, columns)).write.mode("overwrite").csv(f"{folder}/{name}.{s}.data")
+
+
 def save_folds(df: DataFrame, path: str, by: Sequence[str] = ("fold", "split")) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
@@ -52,10 +60,19 @@ def tokenised(spark: SparkSession, path: str, sep: str = ",", header: bool = Fal
     return lines.select("line_no", F.transform(F.split(F.regexp_replace("value", r"\.\s*$", ""), re.escape(sep)), lambda x: F.trim(x)).alias("tokens"))
 
 
-def without_missing(spark: SparkSession, path: str, mark: str = "?") -> DataFrame:
-    """Lines without blank ones and without any that holds the mark as a value."""
+def without_missing(spark: SparkSession, path: str, mark: str = "?", header: bool = False, last: bool = False, save: str | None = None) -> DataFrame:
+    """Lines without blank ones and without any that holds the mark before a comma (``last``: or at its end); the first may be a header, which goes.
+
+    ``save``: a folder that the lines are written to as text.
+    """
     v = F.trim("value")
-    return spark.read.text(path).where((v != "") & ~v.contains(f"{mark},") & ~v.endswith(mark))
+    raw = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    if header:
+        raw = raw.join(F.broadcast(raw.agg(F.min("line_no").alias("m"))), F.col("line_no") > F.col("m"))  # one row
+    out = raw.where((v != "") & ~v.contains(f"{mark},") & (~v.endswith(mark) if last else F.lit(True))).select("value")
+    if save:
+        out.write.mode("overwrite").text(save)
+    return out
 
 
 def encoded(tokens: DataFrame, columns: Sequence[S.Column_], codes: Mapping[str, Mapping[str, int]]) -> DataFrame:
@@ -204,7 +221,7 @@ def read_results(spark: SparkSession, path: str, not_run: Sequence[str] = ()) ->
 
 
 def write_log(df: DataFrame, path: str) -> None:
-    """An experiment log as tab-separated text with a header, the mean over runs as last row."""
+    """An experiment log (a row per run, hence small: one file) as tab-separated text with a header, the mean over runs as last row."""
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     mean = df.agg(*[F.avg(c).alias(c) for c in numbers]).select(*[F.col(c).cast("string") if c in numbers else F.lit("mean").alias(c) for c in df.columns])
     rows = df.select(*[F.col(c).cast("string") for c in df.columns]).withColumn("__o", F.lit(0)).unionByName(mean.withColumn("__o", F.lit(1)))
