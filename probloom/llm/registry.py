@@ -116,6 +116,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _p3_report_sql() -> str:
+    pairs = _p3_sql()
+    ends = " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS table_name, record_id, lower(trim(split)) AS split, {c} AS source FROM {t} WHERE record_id IS NOT NULL AND lower(trim(split)) IN ('valid', 'test')" for t, c in SOURCES.items()
+    )
+    return f"""WITH p AS ({pairs}), e AS ({ends}),
+      m AS (SELECT e.table_name, e.record_id, e.split, e.source, count(p.record_a) AS pairs FROM e LEFT JOIN p ON p.table_name = e.table_name AND e.record_id IN (p.record_a, p.record_b) GROUP BY ALL)
+      SELECT table_name, split, source, count(*) AS records, count_if(pairs > 0)::BIGINT AS overlapping, sum(pairs)::BIGINT AS pairs FROM m GROUP BY ALL"""
+
+
+@query("p3_overlaps", _p3_report_sql())
+def p3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's counts of records and pairs, without those of exact copies."""
+    return p3_report(spark, sf_dir).drop("exact_pairs")
+
+
 @query("p3_report")
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps with the training split per evaluation split and lab or clinic."""
@@ -135,7 +151,19 @@ def glass_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Feat
     return table(spark, sf_dir, "glass").select("record_id", *[known(F.col(f.name), f).alias(f.name) for f in fields]), fields
 
 
-@query("p4_found")
+def _p4_sql() -> str:
+    fields = "ri na2o mgo al2o3".split()
+    pick = lambda f, c: f"(SELECT {c} FROM feature_domain WHERE table_name = 'glass' AND field_name = '{f}')"
+    known_ = " AND ".join(f"{f} BETWEEN {pick(f, 'domain_lo')} AND {pick(f, 'domain_hi')} AND NOT isnan({f})" for f in fields)
+    scaled = ", ".join(f"{f} / {pick(f, 'cluster_step')} AS {f}" for f in fields)
+    gap = " + ".join(f"(a.{f} - b.{f}) ** 2" for f in fields)
+    return f"""WITH RECURSIVE r AS MATERIALIZED (SELECT DISTINCT ON (record_id) record_id, {scaled} FROM glass WHERE {known_}),
+      n AS MATERIALIZED (SELECT a.record_id AS x, b.record_id AS y FROM r a JOIN r b ON abs(a.ri - b.ri) <= 1.000001 AND {gap} <= 1 + 1e-9 AND a.record_id <> b.record_id),
+      w AS (SELECT record_a, record_b, record_a AS here FROM glass_pairs WHERE record_a IN (SELECT record_id FROM r) UNION SELECT w.record_a, w.record_b, n.y FROM w JOIN n ON n.x = w.here)
+      SELECT DISTINCT record_a, record_b FROM w WHERE here = record_b"""
+
+
+@query("p4_found", _p4_sql())
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = clusters.similarity_clusters(*glass_points(spark, sf_dir)).select("record_id", "cluster_id")
     pairs = table(spark, sf_dir, "glass_pairs").select("record_a", "record_b")
@@ -195,6 +223,29 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.sample_report(plan, sample)
 
 
+@query(
+    "p2_totals",
+    """
+    WITH r AS (
+      SELECT DISTINCT 'glass' AS table_name, record_id, cohort_key, glass_type AS c FROM glass
+      UNION ALL SELECT DISTINCT 'pima_indians_diabetes', record_id, cohort_key, class_code FROM pima_indians_diabetes),
+    n AS (SELECT table_name, cohort_key, c, count(*) AS available FROM r WHERE c IS NOT NULL GROUP BY ALL)
+    SELECT request_no, least(any_value(sample_size), coalesce(sum(available), 0))::BIGINT AS drawn, least(any_value(sample_size), coalesce(sum(available), 0))::BIGINT AS different, 0::BIGINT AS strangers
+    FROM sample_requests q LEFT JOIN n ON n.table_name = q.table_name AND n.cohort_key = q.cohort_key AND n.c = q.category_code GROUP BY 1""",
+)
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request: records drawn, different ones, and any that aren't of the cohort and category asked."""
+    held = stored(categorised(spark, sf_dir), "categorised")
+    requests = table(spark, sf_dir, "sample_requests")
+    plan, sample = proportions.matched_sample(held, requests)
+    sample = stored(sample, "sample")
+    of = sample.join(plan.select("request_no", "category_code", "table_name", "cohort_key"), ["request_no", "category_code"])
+    good = of.join(held.dropDuplicates(["table_name", "record_id"]), ["table_name", "cohort_key", "category_code", "record_id"], "left_semi").groupBy("request_no").agg(F.count(F.lit(1)).alias("good"))
+    per = sample.groupBy("request_no").agg(F.count(F.lit(1)).alias("drawn"), F.countDistinct("record_id").alias("different"))
+    out = requests.select("request_no").distinct().join(per, "request_no", "left").join(good, "request_no", "left").na.fill(0)
+    return out.select("request_no", "drawn", "different", (F.col("drawn") - F.col("good")).alias("strangers"))
+
+
 # --- containers and mixes ---------------------------------------------------
 
 #: A character that isn't white space, for DuckDB.
@@ -223,6 +274,22 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+@query(
+    "p6_totals",
+    f"""
+    WITH s AS (SELECT doc_id, {SIZE_SQL} AS size FROM documents)
+    SELECT spec_code, count(*) AS documents, sum(size)::BIGINT AS tokens, sum(ceil(size / capacity_tokens))::BIGINT AS pieces, count_if(size > capacity_tokens)::BIGINT AS cut, 0::BIGINT AS overfull, 0::BIGINT AS gaps
+    FROM s, container_specs WHERE size > 0 GROUP BY 1""",
+)
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per spec: what was packed, containers above the capacity and documents whose pieces don't follow one another."""
+    packed = stored(_packed(spark, sf_dir), "containers")
+    docs = packed.groupBy("spec_code", "doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max("end").alias("to"), F.min("start").alias("from"))
+    per = docs.groupBy("spec_code").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), F.count_if(F.col("pieces") > 1).alias("cut"), F.count_if((F.col("to") != F.col("tokens")) | (F.col("from") != 0)).alias("gaps"))
+    load = packed.groupBy("spec_code", "container").agg(F.sum(F.col("end") - F.col("start")).alias("load")).join(F.broadcast(_specs(spark, sf_dir)), "spec_code")
+    return per.join(load.groupBy("spec_code").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull")), "spec_code").select("spec_code", "documents", "tokens", "pieces", "cut", "overfull", "gaps")
+
+
 @query("p6_report")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used, their fill and the gaps of their source shares, per spec."""
@@ -238,7 +305,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of which all that may be used was placed, and it isn't enough."""
-    return p7_report(spark, sf_dir).where("used_tokens = most_tokens AND used_tokens < wanted_tokens").select("plan_no", "source")
+    return _mixed(spark, sf_dir).where("used_tokens = most_tokens AND used_tokens < wanted_tokens").select("plan_no", "source")
 
 
 @query("p7_mix")
@@ -247,9 +314,21 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans"))
 
 
-@query("p7_report")
+@query(
+    "p7_report",
+    f"""
+    WITH s AS (SELECT lower(trim(source)) AS source, sum({SIZE_SQL})::BIGINT AS size FROM documents WHERE trim(source) <> '' GROUP BY ALL),
+    q AS (SELECT plan_no, p.source, target_share, target_share * size_factor * (SELECT sum(size) FROM s)::BIGINT AS wanted, coalesce(size, 0) AS size, max_repeats * coalesce(size, 0) AS most FROM mix_plans p LEFT JOIN s USING (source)),
+    u AS (SELECT *, least(round(wanted), most)::BIGINT AS used FROM q)
+    SELECT plan_no, source, target_share, round(used / greatest(sum(used) OVER (PARTITION BY plan_no), 1), 6) AS actual_share, round(wanted, 3) AS wanted_tokens, size AS source_tokens, most AS most_tokens, used AS used_tokens,
+      CASE WHEN size > 0 THEN ceil(used / size) ELSE 0 END::INT AS passes, wanted > most AS short FROM u""",
+)
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of every plan and source."""
+    return _mixed(spark, sf_dir).withColumn("wanted_tokens", F.round("wanted_tokens", 3))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, plans = tokens.sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_plans")
     return mixing.mix_report(items, plans, mixing.mix(items, plans))
 
