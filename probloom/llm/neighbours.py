@@ -36,7 +36,8 @@ from probloom.runtime import salted_rank, stored
 BUCKET, BLOCK, FIT_ROWS = 8192, 4096, 2048
 CURVES, CURVE_DIMS, CURVE_BITS, ROTATED = 8, 10, 5, 24
 RANK_DIMS, BOUND_DIMS = 64, 128
-PER_WINDOW, RERANK, RERANK_ROWS = 16, 24, 8192
+#: Best entries of a window, candidates of a query, pairs of a group, bytes of vectors of a task.
+PER_WINDOW, RERANK, RERANK_ROWS, TASK_BYTES = 16, 24, 8192, 1 << 27
 
 
 @dataclass
@@ -49,6 +50,7 @@ class VectorIndex:
     basis: np.ndarray
     dim: int
     kind: str
+    size: int = 0
 
 
 def matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
@@ -182,7 +184,7 @@ def build_index(df: DataFrame, id_col: str, vec_col: str, dim: int, lo: float, h
 
     entries = rows.select("h", "vec").mapInArrow(project, "h long, proj binary, keys array<long>")
     entries = stored(entries.groupBy("h").agg(F.first("proj").alias("proj"), F.first("keys").alias("keys")), "entries")
-    return VectorIndex(rows, entries, mean, basis, dim, kind)
+    return VectorIndex(rows, entries, mean, basis, dim, kind, n)
 
 
 def curve_candidates(index: VectorIndex, wanted: DataFrame, window: int = 64) -> DataFrame:
@@ -280,14 +282,20 @@ def reranked(index: VectorIndex, pairs: DataFrame, keep: int) -> DataFrame:
     """
     dim, kind = index.dim, index.kind
     pairs = pairs.select("q", "c")
-    needed = pairs.select(F.col("c").alias("h")).distinct()
-    vectors = index.rows.select("h", "vec").join(needed, "h", "left_semi").groupBy("h").agg(F.first("vec").alias("vec"))
-    parts = max(1, math.ceil(pairs.count() / RERANK_ROWS))
+    width, total, least = dim * np.dtype(kind).itemsize, pairs.count(), int(index.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda vectors: max(least, math.ceil(vectors * width / TASK_BYTES))
+    parts = max(1, math.ceil(total / RERANK_ROWS))
+    # The row of smallest id stands for its copies.
+    stands = index.rows.select("h", "id").groupBy("h").agg(F.min("id").alias("id"))
+    asked = pairs.join(stands, F.col("c") == F.col("h")).select("q", "c", F.col("id").alias("of")).repartition(tasks(index.size), "of")
 
     def near(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         q, c = np.asarray(group["q"]), np.asarray(group["c"])
         x = np.vstack([matrix(v, dim, kind) for v in group["vec"].chunks])
+        once = np.lexsort((c, q))
+        once = once[np.concatenate([[True], (np.diff(q[once]) != 0) | (np.diff(c[once]) != 0)])]  # repeated deliveries of a row
+        q, c, x = q[once], c[once], x[once]
         own = np.nonzero(q == c)[0]
         own = own[np.argsort(q[own])]
         d = _measure(x, np.arange(len(q)), x, own[np.searchsorted(q[own], q)])
@@ -298,8 +306,8 @@ def reranked(index: VectorIndex, pairs: DataFrame, keep: int) -> DataFrame:
         ok = d <= limit
         return pa.table({"q": q[ok], "c": c[ok], "d": d[ok]})
 
-    met = pairs.join(vectors, F.col("c") == F.col("h")).select("q", "c", "vec", F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"))
-    return met.groupBy("part").applyInArrow(near, "q long, c long, d double")
+    met = index.rows.join(asked, (F.col("id") == F.col("of")) & (F.col("h") == F.col("c"))).select("q", "c", "vec", F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"))
+    return met.repartition(tasks(total), "part").groupBy("part").applyInArrow(near, "q long, c long, d double")
 
 
 def exact_check(index: VectorIndex, wanted: DataFrame, found: DataFrame, keep: int) -> DataFrame:
