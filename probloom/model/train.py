@@ -141,26 +141,78 @@ def em(df: DataFrame, root: Node, columns: list[str], rounds: int = 10, smoothin
     return root, history
 
 
-def adam(df: DataFrame, root: Node, columns: list[str], rounds: int = 50, rate: float = 0.1, label: int | None = None) -> tuple[Node, list[float]]:
-    """Gradient ascent on the sums' weights; with ``label`` on log p(label | rest) instead of log p. Returns the mean objective before each round."""
+def _free(leaf: Leaf) -> np.ndarray:
+    """A leaf's parameters on an unbounded scale; none where its family has no gradient here."""
+    if isinstance(leaf, Gaussian):
+        return np.array([leaf.mu, np.log(leaf.sd)])
+    if isinstance(leaf, Poisson):
+        return np.array([np.log(leaf.rate)])
+    if isinstance(leaf, Bernoulli):
+        return np.array([np.log(leaf.p / (1 - leaf.p)) if 0 < leaf.p < 1 else np.sign(leaf.p - 0.5) * 15.0])
+    return np.zeros(0)
+
+
+def _leaf_at(leaf: Leaf, free: np.ndarray) -> Leaf:
+    if isinstance(leaf, Gaussian):
+        return Gaussian(leaf.feature, float(free[0]), max(float(np.exp(free[1])), 1e-3))
+    if isinstance(leaf, Poisson):
+        return Poisson(leaf.feature, float(np.exp(np.clip(free[0], -30, 30))))
+    if isinstance(leaf, Bernoulli):
+        return Bernoulli(leaf.feature, float(1 / (1 + np.exp(-np.clip(free[0], -30, 30)))))
+    return leaf
+
+
+def _leaf_gradient(leaf: Leaf, stats: np.ndarray) -> np.ndarray:
+    """Gradient by the free parameters from (count, sum, sum of squares); that of a mean in its deviations."""
+    w, x, q = stats
+    if isinstance(leaf, Gaussian):
+        m, sd = leaf.mu, leaf.sd
+        return np.array([(x - m * w) / sd, (q - 2 * m * x + m * m * w) / (sd * sd) - w])
+    if isinstance(leaf, Poisson):
+        return np.array([x - leaf.rate * w])
+    if isinstance(leaf, Bernoulli):
+        return np.array([x - leaf.p * w])
+    return np.zeros(0)
+
+
+def adam(df: DataFrame, root: Node, columns: list[str], rounds: int = 50, rate: float = 0.1, label: int | None = None, leaves: bool = True) -> tuple[Node, list[float]]:
+    """Gradient ascent on the sums' weights and, with ``leaves``, on Gaussian, Poisson and Bernoulli leaves.
+
+    The objective is log p, with ``label`` log p(label | rest). Returns the
+    model and the mean objective before each round.
+    """
     logits = [np.log(np.maximum(n.weights, 1e-12)) for n in N.walk(root) if isinstance(n, Sum)]
     fitted = [x for x in N.walk(root) if isinstance(x, Leaf)]
-    m, s, history = [np.zeros_like(x) for x in logits], [np.zeros_like(x) for x in logits], []
+    free = [_free(x) if leaves else np.zeros(0) for x in fitted]
+    theta = logits + free
+    m, s, history = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta], []
     hidden = [F.lit(None).cast("double").alias(c) if i == label else F.col(c) for i, c in enumerate(columns)]
+
+    def now() -> tuple[Node, list[np.ndarray]]:
+        weights = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in theta[: len(logits)]]
+        own = [_leaf_at(x, t) if len(t) else x for x, t in zip(fitted, theta[len(logits) :])]
+        return _rebuilt(root, [tuple(map(float, w)) for w in weights], own), weights
+
     for t in range(1, rounds + 1):
-        weights = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logits]
-        root = _rebuilt(root, [tuple(map(float, w)) for w in weights], fitted)
-        n, ll, v = _totals(df, columns, root)
-        up = _cut(root, v)[0]
-        grad = [u - w * u.sum() for u, w in zip(up, weights)]
+        model, weights = now()
+        own = [x for x in N.walk(model) if isinstance(x, Leaf)]
+        n, ll, v = _totals(df, columns, model)
+
+        def gradient(v: np.ndarray, model: Node = model, weights: list[np.ndarray] = weights, own: list[Leaf] = own) -> list[np.ndarray]:
+            up, stats = _cut(model, v)
+            return [u - w * u.sum() for u, w in zip(up, weights)] + [_leaf_gradient(x, y) if len(f) else f for x, y, f in zip(own, stats, free)]
+
+        grad = gradient(v)
         if label is not None:
-            _, other, v = _totals(df.select(*hidden), columns, root)
+            _, other, v = _totals(df.select(*hidden), columns, model)
             ll -= other
-            grad = [g - (u - w * u.sum()) for g, u, w in zip(grad, _cut(root, v)[0], weights)]
+            grad = [g - h for g, h in zip(grad, gradient(v))]
         history.append(ll / max(n, 1))
         for i, g in enumerate(grad):
             g = g / max(n, 1)
             m[i], s[i] = 0.9 * m[i] + 0.1 * g, 0.999 * s[i] + 0.001 * g * g
-            logits[i] = logits[i] + rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
-    weights = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logits]
-    return _rebuilt(root, [tuple(map(float, w)) for w in weights], fitted), history
+            step = rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
+            if i >= len(logits) and isinstance(own[i - len(logits)], Gaussian) and len(step):
+                step = step * np.array([own[i - len(logits)].sd, 1.0])
+            theta[i] = theta[i] + step
+    return now()[0], history

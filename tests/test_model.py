@@ -157,3 +157,20 @@ def test_training_raises_the_likelihood(spark):
     fixed = Sum((0.5, 0.5), model.children)
     tuned, history = train.adam(df, fixed, ["a", "b"], 25, 0.2)
     assert history[-1] > history[0] and tuned.weights[0] == pytest.approx(0.3, abs=0.1)
+
+
+def test_gradients_of_leaves_move_them_to_the_data(spark):
+    from probloom.model.leaves import Poisson
+
+    rng = np.random.default_rng(1)
+    c = rng.random(800) < 0.4
+    x = np.stack([np.where(c, rng.normal(0, 1, 800), rng.normal(6, 2, 800)), rng.poisson(np.where(c, 2, 9)), rng.random(800) < np.where(c, 0.2, 0.9)], 1).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    first = Sum((0.5, 0.5), (Product((Gaussian(0, 1.0, 2.0), Poisson(1, 3.0), Bernoulli(2, 0.5))), Product((Gaussian(0, 4.0, 2.0), Poisson(1, 6.0), Bernoulli(2, 0.5)))))
+    tuned, history = train.adam(df, first, ["a", "b", "c"], 40, 0.15)
+    still, other = train.adam(df, first, ["a", "b", "c"], 40, 0.15, leaves=False)
+    assert history[-1] > other[-1] + 0.1 and still.children == first.children
+    g, p, b = tuned.children[1].children
+    assert abs(g.mu - 6) < 0.6 and abs(p.rate - 9) < 1 and abs(b.p - 0.9) < 0.12
+    sure, hist = train.adam(df, first, ["a", "b", "c"], 25, 0.15, label=2)
+    assert hist[-1] > hist[0]

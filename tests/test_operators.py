@@ -180,3 +180,65 @@ def test_splits_keep_all_rows(spark):
     assert rowsplits.kmeans(df, ["x", "y"]).where("cluster IS NOT NULL").count() == 200
     assert rowsplits.rdc_kmeans(df, ["x", "y"]).count() == 200
     assert rowsplits.hyperplane(df, ["x", "y"], [1.0, 0.0]).count() == 200
+
+
+def test_exact_quantiles_with_hot_values(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.full(3000, 4.0), rng.normal(4, 3, 6000), [1e9]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).unionByName(spark.createDataFrame([(None,)], "x double"))
+    at = [0.0, 0.013, 0.25, 0.5, 0.77, 0.999, 1.0]
+    assert np.allclose(P.exact_quantiles(df, "x", at), np.quantile(x, at), rtol=1e-12)
+    assert P.discretised(df.where("x > 1e10"), "x", "b").count() == 0 and P.without_outliers(df.where("x > 1e10"), ["x"]).count() == 0
+
+
+def test_bins_and_pieces_by_halving(spark):
+    from probloom.functions import scalar as S
+
+    x = np.concatenate([np.linspace(-2, 12, 300), [0.0, 0.1, 0.3, 10.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for edges in ([i * 0.1 for i in range(101)], [0.0, 0.5, 0.7, 5.0, 10.0], [0.0, 10.0]):
+        want = [None if v < edges[0] or v > edges[-1] else min(int(np.searchsorted(edges, v, side="right")) - 1, len(edges) - 2) for v in x]
+        assert [r[0] for r in df.select(S.bin_index(F.col("x"), edges)).collect()] == want
+    xs, ys = [0.0, 1.0, 1.5, 4.0, 9.0], [1.0, 3.0, 0.0, 2.0, 5.0]
+    assert np.allclose([r[0] for r in df.select(S.interpolate(F.col("x"), xs, ys)).collect()], np.interp(x, xs, ys))
+
+
+def test_distance_correlation_equals_all_pairs():
+    from probloom.operators.dependence import distance_correlation
+
+    def centred(v):
+        d = np.abs(v[:, None] - v[None])
+        return d - d.mean(0)[None] - d.mean(1)[:, None] + d.mean()
+
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 50, 333):
+        x = rng.integers(0, 9, n).astype(float)
+        y = x * 2 + rng.normal(0, 3, n)
+        a, b = centred(x), centred(y)
+        want = np.sqrt(max((a * b).mean(), 0) / np.sqrt((a * a).mean() * (b * b).mean())) if a.any() and b.any() else 0.0
+        assert abs(distance_correlation(x, y) - want) < 1e-9
+
+
+def test_shares_of_hot_values_by_group(spark):
+    rows = [(i % 3, float(v)) for i, v in enumerate([5.0] * 400 + list(range(200)))] + [(None, 1.0), (None, 2.0), (1, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {(r["g"], r["x"]): r["ecdf"] for r in ordered.ecdf(df, "x", by=["g"]).collect()}
+    for (g, x), v in got.items():
+        own = [b for a, b in rows if a == g and b is not None]
+        assert abs(v - sum(b <= x for b in own) / len(own)) < 1e-12
+
+
+def test_small_helpers(spark):
+    from probloom import runtime
+
+    t = runtime.Timer()
+    with t.measure("a"):
+        pass
+    assert t.elapsed["a"] >= 0
+    assert H.same_binning([0.0, 1.0], [0.0, 1.0 + 1e-12]) and not H.same_binning("auto", 3) and H.same_binning("auto", "auto")
+    assert set(P.random_rules(3, range(10))) == {"rule_0", "rule_1", "rule_2"}
+    held = runtime.stored(spark.range(5), "held")
+    assert held.count() == 5
+    runtime.freed(held)
+    with pytest.raises(Exception):
+        spark.read.parquet(held._probloom_at).count()

@@ -58,9 +58,10 @@ def _level(spark, x, most):
     base = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"x{i} double" for i in range(d)))
     data = stored(L._numbered(base, [f"x{i}" for i in range(d)]), "slices")
     s = L.Slice(0, list(range(d)), rows=float(len(x)))
-    L._samples(data, d, [s])
+    rows = L.SparkRows(data, d)
+    rows.samples([s])
     assert data.count() == len(x) and len(s.sample) == min(most, len(x))
-    return data, s
+    return rows, s
 
 
 def test_samples_take_equal_rows_by_their_share_and_no_more_than_the_bound(spark, monkeypatch):
@@ -77,12 +78,12 @@ def test_column_splits_count_all_rows(spark, monkeypatch):
     a, e = rng.poisson(4, n), rng.normal(size=n)
     x = np.stack([a, rng.poisson(1 + a / 12), e, e + rng.normal(size=n)], 1).astype(float)
     kinds = ["discrete", "discrete", "continuous", "continuous"]
-    data, s = _level(spark, x, 200)
-    seen = []
+    level, s = _level(spark, x, 200)
+    data, seen = level.data, []
     monkeypatch.setattr(L, "above", lambda m, t: seen.append(m) or [1] * len(m))
     monkeypatch.setattr(L, "significant", lambda m, t: seen.append(m) or [1] * len(m))
     for columns in ("ami", "rdc", "stability", "blockwise"):
-        L._column_groups(data, 4, [s], kinds, list(x.min(0)), L.Settings(columns=columns))
+        L._column_groups(level, [s], kinds, [np.array([v]) for v in x.min(0)], L.Settings(columns=columns))
     ami, rdc, stable, block = seen
     assert np.abs(ami - D.ami_matrix(x, kinds)).max() < 0.01
     assert np.abs(rdc - D.rdc_matrix(x)).max() < 0.02
@@ -94,11 +95,11 @@ def test_column_splits_count_all_rows(spark, monkeypatch):
 def test_modal_split_lies_in_the_valley_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "SAMPLE", 50)
     x = np.concatenate([np.full(3000, 0.0) + np.arange(3000) % 30, np.full(3000, 60.0) + np.arange(3000) % 30, [45.0] * 3])[:, None]
-    data, s = _level(spark, x, 50)
+    rows, s = _level(spark, x, 50)
     seen = []
-    own = L._sums
-    monkeypatch.setattr(L, "_sums", lambda *a: seen.append(own(*a)) or seen[-1])
-    L._valleys(data, 1, [s], {0: np.random.default_rng(1)})
+    own = rows.sums
+    monkeypatch.setattr(rows, "sums", lambda *a: seen.append(own(*a)) or seen[-1])
+    L._valleys(rows, [s], {0: np.random.default_rng(1)})
     assert seen[0][0].sum() == 6003
 
 
