@@ -19,7 +19,8 @@ from probloom.model import nodes as N
 from probloom.model.leaves import Leaf
 from probloom.model.nodes import Node, Product, Sum
 
-EXPRESSION_TERMS = 128
+#: Above this the generated method is longer than the virtual machine compiles.
+EXPRESSION_TERMS = 24
 
 
 def expression(node: Node, columns: list[str]) -> Column:
@@ -33,6 +34,37 @@ def expression(node: Node, columns: list[str]) -> Column:
     return S.log_sum_exp(F.array(*[p + S.lit(w) for p, w in zip(parts, node.log_weights)]))
 
 
+def staged(df: DataFrame, root: Node, columns: list[str], out: str) -> DataFrame:
+    """Append the log-likelihood by plain columns, a projection for each level of sums.
+
+    A sum needs its terms twice (the greatest, then the rest against it); as
+    columns of a projection below they are worked out once, and all of it stays
+    in generated code.
+    """
+    stages: list[dict[str, Column]] = []
+
+    def visit(node: Node) -> tuple[Column, int]:
+        if isinstance(node, Leaf):
+            return expression(node, columns), 0
+        parts = [visit(c) for c in node.children]
+        level = max(at for _, at in parts)
+        if isinstance(node, Product):
+            return S.add([p for p, _ in parts]), level
+        if len(parts) == 1:
+            return parts[0][0] + S.lit(node.log_weights[0]), level
+        while len(stages) <= level:
+            stages.append({})
+        names = [f"__term_{level}_{len(stages[level]) + i}" for i in range(len(parts))]
+        stages[level].update({n: p + S.lit(w) for n, (p, _), w in zip(names, parts, node.log_weights)})
+        top = F.greatest(*names)
+        return top + F.ln(S.add([F.exp(F.col(n) - top) for n in names])), level + 1
+
+    value, _ = visit(root)
+    for s in stages:
+        df = df.withColumns(s)
+    return df.withColumn(out, value).drop(*[n for s in stages for n in s])
+
+
 def is_small(root: Node) -> bool:
     """Whether the model is quick as one expression."""
     return sum(1 + max([len(v) for v in vars(n).values() if isinstance(v, tuple)], default=0) for n in N.walk(root) if isinstance(n, Leaf)) <= EXPRESSION_TERMS
@@ -80,7 +112,7 @@ def arrow_rows(df: DataFrame, columns: list[str], out: str, f: Callable[[np.ndar
 def log_likelihood(df: DataFrame, root: Node, columns: list[str], out: str = "ll", backend: str = "auto") -> DataFrame:
     """Append the log-likelihood of every row."""
     if backend == "expression" or (backend == "auto" and is_small(root)):
-        return df.withColumn(out, expression(root, columns))
+        return staged(df, root, columns, out)
     return arrow_rows(df, columns, f"{out} double", lambda x, _: {out: evaluate(root, x)})
 
 
@@ -223,6 +255,16 @@ def sample(df: DataFrame, root: Node, columns: list[str], soft: bool = False) ->
 
 def classify(df: DataFrame, root: Node, columns: list[str], label: int, classes: list[float]) -> DataFrame:
     """Append the class with the greatest joint likelihood; ties go to the first class."""
+    if not is_small(root):
+
+        def best(x: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+            asked, scores = x.copy(), []
+            for c in classes:
+                asked[:, label] = c
+                scores.append(evaluate(root, asked))
+            return {"predicted": np.array(classes, float)[np.argmax(scores, axis=0)]}
+
+        return arrow_rows(df, columns, "predicted double", best)
     scored = df
     for i, c in enumerate(classes):
         cols = [f"__label{i}" if j == label else n for j, n in enumerate(columns)]
