@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probloom.model import nodes as N
-from probloom.model.leaves import Bernoulli, Categorical, Gaussian, KernelDensity, Leaf, Poisson
+from probloom.model.leaves import ALIASES, Bernoulli, Categorical, Gaussian, KernelDensity, Leaf, Poisson
 from probloom.model.nodes import Node, Product, Sum
 from probloom.operators import dependence as D
 from probloom.operators.distances import gower_matrix, medoids
@@ -49,12 +49,18 @@ LOCAL_CELLS = 1_000_000
 QUANTILES, MODAL_CELLS = 2048, 4096
 
 Assign = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Further strategies by name. A row split gets a slice (its sample, features, moments), the feature types and a random generator, and
+#: gives a function from rows and their hashes to cluster numbers; a column split gets rows of a slice, its own columns alone, and their
+#: types, and gives scores of dependence that are held against the threshold.
+ROW_SPLITS: dict[str, Callable[[Slice, Sequence[str], np.random.Generator], Assign]] = {}
+COLUMN_SPLITS: dict[str, Callable[[np.ndarray, Sequence[str]], np.ndarray]] = {}
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: kmeans, rdc_kmeans, random, hyperplane, conditioning, modal, gower, dbscan or poisson;
-    columns: rdc, distance, ami, stability, blockwise or none; families per column or one for all."""
+    """rows: kmeans, rdc_kmeans, random, hyperplane, conditioning, modal, gower, dbscan, poisson or one of ROW_SPLITS;
+    columns: rdc, distance, ami, stability, blockwise, none or one of COLUMN_SPLITS; families per column or one for all;
+    shape: the nonlinearity of the dependence features."""
 
     rows: str = "kmeans"
     columns: str = "rdc"
@@ -68,6 +74,7 @@ class Settings:
     smoothing: float = 1.0
     prior_weight: float = 0.01
     seed: int = 17
+    shape: Callable[[np.ndarray], np.ndarray] = np.sin
 
 
 @dataclass
@@ -333,7 +340,7 @@ def _column_groups(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequ
             size[s.no] = D.feature_count([1 if v is None else len(v) for v in codes.values()])
 
             def moments(x: np.ndarray, _: np.ndarray, s=s, codes=codes, k=size[s.no]) -> np.ndarray:
-                z = np.hstack([D.nonlinear(x[:, f], grids[s.no][f], 42 + f, k, codes[f]) for f in s.features])
+                z = np.hstack([D.nonlinear(x[:, f], grids[s.no][f], 42 + f, k, codes[f], c.shape) for f in s.features])
                 return np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
 
             parts[s.no] = moments
@@ -345,6 +352,8 @@ def _column_groups(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequ
     if c.columns == "distance":
         ranked = lambda x: np.column_stack([D.ranks(v, np.sort(v)) for v in x.T])
         return {s.no: above(D.distance_matrix(ranked(rows.held_of(s)[:, s.features])), c.threshold) for s in slices}
+    if c.columns in COLUMN_SPLITS:
+        return {s.no: above(COLUMN_SPLITS[c.columns](rows.held_of(s)[:, s.features], [kinds[f] for f in s.features]), c.threshold) for s in slices}
     if c.columns == "ami":
         codes: dict[int, dict[int, Callable]] = {}
         grids = rows.quantiles(slices, {s.no: [f for f in s.features if kinds[f] == "continuous"] for s in slices})
@@ -366,6 +375,8 @@ def _column_groups(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequ
                     m[i, j] = m[j, i] = adjusted_mutual_information(tables[s.no, f, s.features[j]])
             out[s.no] = above(m, c.threshold)
         return out
+    if c.columns not in ("stability", "blockwise"):
+        raise ValueError(f"unknown column split {c.columns!r}")
     blocks = {s.no: D.overlapping_blocks(len(s.features)) if c.columns == "blockwise" else [list(range(len(s.features)))] for s in slices}
     found: dict[int, list[np.ndarray]] = {s.no: [] for s in slices}
     for b in range(max(map(len, blocks.values()))):
@@ -394,12 +405,12 @@ def _scale(s: Slice, kinds: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (total / n)[s.features], np.where(sd > 0, sd, 1)[s.features]
 
 
-def _encoder(s: Slice, kinds: Sequence[str], domains: Sequence[np.ndarray], grids: dict[int, np.ndarray] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+def _encoder(s: Slice, kinds: Sequence[str], domains: Sequence[np.ndarray], grids: dict[int, np.ndarray] | None = None, shape: Callable = np.sin) -> Callable[[np.ndarray], np.ndarray]:
     """Coordinates for clustering: z-scores and indicators of categories, or dependence features."""
     if grids is not None:
         codes = {f: domains[f] if kinds[f] == "categorical" else None for f in s.features}
         k = D.feature_count([1 if v is None else len(v) for v in codes.values()])
-        return lambda x: np.hstack([D.nonlinear(x[:, f], grids[f], 42 + f, k, codes[f]) for f in s.features])
+        return lambda x: np.hstack([D.nonlinear(x[:, f], grids[f], 42 + f, k, codes[f], shape) for f in s.features])
     mean, sd = _scale(s, kinds)
     values = {f: domains[f] for f in s.features if kinds[f] == "categorical"}
 
@@ -468,7 +479,7 @@ def _assigners(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequence
         rng = rngs[s.no]
         x, fs = s.sample, s.features
         if c.rows in ("kmeans", "rdc_kmeans"):
-            enc = _encoder(s, kinds, domains, {f: q[0] for f, q in grids[s.no].items()} if c.rows == "rdc_kmeans" else None)
+            enc = _encoder(s, kinds, domains, {f: q[0] for f, q in grids[s.no].items()} if c.rows == "rdc_kmeans" else None, c.shape)
             lloyd[s.no] = (enc, _start_centres(enc(x), c.clusters, rng))
         elif c.rows == "random":
             out[s.no] = lambda x, h: (h >> 7) & 1
@@ -497,6 +508,8 @@ def _assigners(rows: SparkRows | LocalRows, slices: list[Slice], kinds: Sequence
             from probloom.model.networks import mixture_assigner
 
             out[s.no] = mixture_assigner(x[:, fs], fs, c.clusters, rng)
+        elif c.rows in ROW_SPLITS:
+            out[s.no] = ROW_SPLITS[c.rows](s, kinds, rng)
         else:
             raise ValueError(f"unknown row split {c.rows!r}")
     for _ in range(LLOYD if lloyd else 0):
@@ -571,10 +584,10 @@ def _fit_leaves(rows: SparkRows | LocalRows, found: list[Slice], kinds: Sequence
         f, v = s.features[0], got[s.no]
         n, mean = v[0], v[1] / v[0]
         var = max(v[2] / n - mean * mean, 0.0)
-        family = families[f]
+        family = ALIASES.get(families[f], families[f])
         if family == "baseline":
             family = "gaussian" if kinds[f] == "continuous" else "categorical"
-        if family in ("gaussian", "normal"):
+        if family == "gaussian":
             out[s.no] = Gaussian(f, mean, max(math.sqrt(var), 0.4))
         elif family == "poisson":
             out[s.no] = Poisson(f, max(mean, 1e-15))
@@ -667,7 +680,13 @@ def _in_tasks(data: DataFrame, d: int, local: list[Slice], root: Slice, kinds: S
                 if len(mine):
                     yield pa.RecordBatch.from_arrays([pa.array(s[mine, f]), pa.array(h[mine]), pa.FixedSizeListArray.from_arrays(pa.array(x[mine].ravel()), d).cast(pa.list_(pa.float64()))], ["no", "h", "x"])
 
+    more = dict(ROW_SPLITS), dict(COLUMN_SPLITS)  # a task's process has only the module's own
+
     def work(group: pa.Table) -> pa.Table:
+        from probloom.model import learn as own_module
+
+        own_module.ROW_SPLITS.update(more[0])
+        own_module.COLUMN_SPLITS.update(more[1])
         no = group["no"][0].as_py()
         features, no_clusters, no_independencies, is_root = state[no]
         x = np.concatenate([v.flatten().to_numpy(zero_copy_only=False) for v in group["x"].chunks]).reshape(-1, d)

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from probloom.model import nodes as N
-from probloom.model.nodes import Node
+from probloom.model.leaves import Leaf
+from probloom.model.nodes import Node, Product
 from probloom.model.score import evaluate
 
 #: Points of the midpoint rule.
@@ -95,3 +96,13 @@ def all_pairs(spark: SparkSession, root: Node, axes: dict[int, Axis], width: int
             yield pd.DataFrame(out, columns=["i", "j", *MEASURES])
 
     return pairs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "i int, j int, " + ", ".join(f"{m} double" for m in MEASURES))
+
+
+def informative_features(root: Node, names: Sequence[str], least: float = 1.0, together: int = 4) -> list[tuple[int, list[str]]]:
+    """(number of the product in walking order, names) of the products below which at least ``together`` features have their mode at ``least`` or more."""
+    out = []
+    for i, n in enumerate(x for x in N.walk(root) if isinstance(x, Product)):
+        found = sorted({names[leaf.feature] for leaf in N.walk(n) if isinstance(leaf, Leaf) and leaf.mode()[0] >= least})
+        if len(found) >= together:
+            out.append((i, found))
+    return out

@@ -108,7 +108,7 @@ def relaxed_transport(bags: DataFrame, key: str, word: str, weight: str, vectors
     vec = spark.createDataFrame([(w, [float(x) for x in v]) for w, v in vectors.items()], "__w string, v array<double>")
     ref = [(w, float(p) / sum(reference.values())) for w, p in reference.items()]
     rv = {w: F.array(*[S.lit(x) for x in vectors[w]]) for w, _ in ref}
-    sized = bags.join(F.broadcast(vec), F.col(word) == F.col("__w"))  # the vocabulary given
+    sized = bags.join(vec, F.col(word) == F.col("__w"))  # the vocabulary given may be large
     cost = [F.sqrt(squared(F.col("v"), rv[w])) for w, _ in ref]
     there = sized.withColumn("near", F.least(*cost) if len(cost) > 1 else cost[0])
     agg = there.groupBy(key).agg((F.sum(F.col(weight) * F.col("near")) / F.sum(weight)).alias("go"), *[F.min(c).alias(f"b{i}") for i, c in enumerate(cost)])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probloom.functions import scalar as S
-from probloom.model.leaves import Gaussian, Histogram, Isotonic, Leaf, Piecewise
+from probloom.model.leaves import Histogram, Isotonic, Leaf, Piecewise
 
 #: Width of the tail that closes a continuous density, bins of the fine grid below an irregular histogram, variance of a single bin.
 TAIL, FINE_BINS, NO_VARIANCE = 1e-8, 256, 1e-10
@@ -198,7 +198,3 @@ def leaf_of(feature: int, family: str, kind: str, counts: Sequence[float], edges
         return Isotonic(feature, tuple(xs), tuple(float(v) for v in fit / area), prior, weight)
     return Piecewise(feature, tuple(xs), tuple(ys), prior, weight)
 
-
-def gaussian_leaf(feature: int, mean: float, sd: float) -> Gaussian:
-    """A Gaussian with the deviation floored."""
-    return Gaussian(feature, mean, max(sd, 0.4))

@@ -122,3 +122,26 @@ def test_exact_coefficients_over_all_rows(spark):
     y = np.column_stack([x, (x - 15) ** 2 + rng.normal(0, 20, 900), rng.normal(size=900)])
     df = spark.createDataFrame([tuple(map(float, r)) for r in y] + [(None, 1.0, 2.0)], "a double, b double, c double")
     assert np.abs(D.rdc_exact(df, ["a", "b", "c"]) - D.rdc_matrix(y)).max() < 1e-4
+
+
+def test_own_strategies_and_nonlinearity(spark, mixed, monkeypatch):
+    monkeypatch.setitem(L.ROW_SPLITS, "first_column", lambda s, kinds, rng: lambda x, h, f=s.features[0], m=float(np.median(s.sample[:, s.features[0]])): (x[:, f] > m).astype(int))
+    monkeypatch.setitem(L.COLUMN_SPLITS, "correlation", lambda x, kinds: np.abs(np.nan_to_num(np.corrcoef(x.T))))
+    for cells in (0, 10**6):
+        monkeypatch.setattr(L, "LOCAL_CELLS", cells)
+        model = L.learn(mixed, COLS, KINDS, L.Settings(rows="first_column", columns="correlation", min_rows=300, families="normal"))
+        nodes.validate(model)
+        assert isinstance(model, (Sum, Product))
+    nodes.validate(L.learn(mixed, COLS, KINDS, L.Settings(shape=np.tanh, min_rows=500)))
+    for bad in (L.Settings(rows="odd", min_rows=300, cluster_first=True), L.Settings(columns="odd", min_rows=300, cluster_first=False)):
+        with pytest.raises(Exception):
+            L.learn(mixed, COLS, KINDS, bad)
+
+
+def test_informative_features():
+    from probloom.model.leaves import Piecewise
+    from probloom.model.measures import informative_features
+
+    leaf = lambda f, top: Piecewise(f, (0.0, float(top), float(top) + 1), (0.1, 0.9, 0.1))
+    model = Sum((0.5, 0.5), (Product(tuple(leaf(i, 2) for i in range(5))), Product(tuple(leaf(i, 2 if i < 2 else 0.5) for i in range(5)))))
+    assert informative_features(model, list("abcde")) == [(0, list("abcde"))] and len(informative_features(model, list("abcde"), together=2)) == 2
