@@ -90,6 +90,12 @@ def matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(n)], 1) if n else np.zeros((batch.num_rows, 0))
 
 
+def listed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists; NaN is NULL."""
+    flat = x.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(flat, mask=np.isnan(flat)))
+
+
 def arrow_rows(df: DataFrame, columns: list[str], out: str, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """Append columns computed batch by batch from a float matrix; f gets it and a seed per row."""
     given = [c for c in df.columns]
@@ -103,7 +109,7 @@ def arrow_rows(df: DataFrame, columns: list[str], out: str, f: Callable[[np.ndar
             x = matrix(b, len(columns))
             made = f(x, np.asarray(b.column(len(columns))))
             kept = [b.column(i) for i in range(len(columns) + 1, b.num_columns)]
-            new = [pa.array(made[a], from_pandas=True) for a, _ in extra]
+            new = [made[a] if isinstance(made[a], pa.Array) else pa.array(made[a], from_pandas=True) for a, _ in extra]
             yield pa.RecordBatch.from_arrays([*kept, *new], [*given, *[a for a, _ in extra]])
 
     return inner.mapInArrow(run, ddl)
@@ -171,7 +177,7 @@ def most_probable(df: DataFrame, root: Node, columns: list[str]) -> DataFrame:
 
     def run(x: np.ndarray, _: np.ndarray) -> dict:
         score, done = complete(root, x)
-        return {"mpe_score": score, "mpe_ll": evaluate(root, done), "completion": [[None if np.isnan(v) else v for v in r] for r in done]}
+        return {"mpe_score": score, "mpe_ll": evaluate(root, done), "completion": listed(done)}
 
     return arrow_rows(df, columns, "mpe_score double, mpe_ll double, completion array<double>", run)
 
@@ -250,7 +256,7 @@ def draw(node: Node, x: np.ndarray, seeds: np.ndarray, soft: bool = False) -> np
 
 def sample(df: DataFrame, root: Node, columns: list[str], soft: bool = False) -> DataFrame:
     """Append ``sampled``: the row with unobserved cells drawn from the model (array in column order)."""
-    return arrow_rows(df, columns, "sampled array<double>", lambda x, s: {"sampled": [[None if np.isnan(v) else v for v in r] for r in draw(root, x, s, soft)]})
+    return arrow_rows(df, columns, "sampled array<double>", lambda x, s: {"sampled": listed(draw(root, x, s, soft))})
 
 
 def classify(df: DataFrame, root: Node, columns: list[str], label: int, classes: list[float]) -> DataFrame:

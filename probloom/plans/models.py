@@ -303,11 +303,10 @@ def em_training(spark: SparkSession, d: str) -> DataFrame:
 @query("dependency_networks")
 def dependency_networks(spark: SparkSession, d: str) -> DataFrame:
     """Perplexity of Poisson dependency networks over the events of users."""
-    x, cols, out = user_counts(spark, d).cache(), ["click", "view", "purchase"], []
+    x, cols, out = stored(user_counts(spark, d), "user-counts"), ["click", "view", "purchase"], []
     for kind in ("glm", "tree", "boosted"):
         net = DependencyNetwork(cols, kind, 3, 3).fit(x)
         out.append((kind, round(float(net.perplexity(x).first()[0]), 6), net.size()))
-    x.unpersist()
     return spark.createDataFrame(out, "kind string, perplexity double, size int")
 
 
